@@ -1,0 +1,5 @@
+"""No streaming operators: every job works on a finished extract of the tables.
+
+``operators.clean.orders_clean`` and the label fixes are row-by-row DataFrame
+transformations, so they also accept a streaming DataFrame as it is.
+"""
