@@ -19,14 +19,14 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*groups, value).agg(F.count("*").alias("rows"))
 
 
-def weighted_percentile(value: str, p: float, rows: str | Column = "rows") -> Column:
+def weighted_percentile(value: str, p: float, rows: Column | None = None) -> Column:
     """Aggregate for a value whose set of distinct values is small.
 
     The buffer is a map of distinct values. That suits whole days (bounded by
     the calendar) and orders per seller: k distinct volumes need at least
     k(k+1)/2 orders, so 10^12 orders give at most 1.5 million of them.
     """
-    return F.percentile(value, p, rows)
+    return F.percentile(value, p, F.col("rows") if rows is None else rows)
 
 
 def selected_percentiles(
