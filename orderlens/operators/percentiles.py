@@ -43,11 +43,14 @@ def selected_percentiles(
     wanted rank are ordered value by value. A task therefore sees the ranges of
     one group, or the at most 2^bits values of one range.
     """
-    present = counts.where(F.col(value).isNotNull()).select(
+    number = F.col(value).cast("long")
+    # A NULL value has no weight. A filter would do the same, but Spark would move
+    # it below the counts, whose shuffle could then not be shared with a report.
+    present = counts.select(
         *groups,
-        F.col(value).cast("long").alias("_value"),
-        F.col("rows").alias("_rows"),
-        F.shiftright(F.col(value).cast("long"), bits).alias("_range"),
+        number.alias("_value"),
+        (F.col("rows") * number.isNotNull().cast("long")).alias("_rows"),
+        F.coalesce(F.shiftright(number, bits), F.lit(0)).alias("_range"),
     )
     in_group = Window.partitionBy(*groups)
     up_to_range = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -204,7 +204,7 @@ def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int) -> Data
             "review_comment_message",
             "order_delivered_customer_date",
         )
-        .orderBy(*order)
+        .orderBy(*order, "row_number")
         .limit(limit)
     )
 

@@ -73,17 +73,17 @@ def freight_by_delivery_bucket(
     Does freight still matter at equal delivery time? A half without orders has
     a NULL percentage.
     """
-    bucket = delivery_bucket(F.col("delivery_days"), bounds).alias("delivery_bucket")
-    counts = (
-        reviewed.join(freight, "order_id")
-        .groupBy(bucket, "freight_cents")
-        .agg(F.count("*").alias("rows"), F.count_if(is_bad(bad_max)).alias("bad"))
+    orders = reviewed.join(freight, "order_id").select(
+        delivery_bucket(F.col("delivery_days"), bounds).alias("delivery_bucket"),
+        F.coalesce(is_bad(bad_max), F.lit(False)).alias("_bad"),
+        "freight_cents",
     )
+    counts = value_counts(orders, ["delivery_bucket", "_bad"], "freight_cents")
     median = selected_percentiles(counts, [], "freight_cents", {"median": 0.50}).scalar()
 
     def half(condition: Column) -> tuple[Column, Column]:
         orders = F.sum(F.when(condition, F.col("rows")).otherwise(0))
-        bad = F.sum(F.when(condition, F.col("bad")).otherwise(0))
+        bad = F.sum(F.when(condition & F.col("_bad"), F.col("rows")).otherwise(0))
         return orders, percent(bad, orders)
 
     low_orders, low_pct = half(F.col("freight_cents") <= F.col("_median"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 
 from orderlens import constants as C
 from orderlens.operators import clean as ops
 from orderlens.plans import delivery, freight, risk
-from orderlens.sources.catalog import stored
+from orderlens.sources.catalog import Tables, stored
 from orderlens.sources.csv import write_report
 
 
@@ -19,14 +19,20 @@ def fixed_tables(
     tables: Mapping[str, DataFrame],
     missing: Sequence[tuple[str, str]] = tuple(C.MISSING_TRANSLATIONS),
     corrections: Mapping[str, str] = C.LABEL_CORRECTIONS,
-) -> dict[str, DataFrame]:
+) -> Tables:
     """The tables with blank categories nulled and translations completed and corrected."""
-    translation = ops.append_rows(tables["category_translation"], missing)
-    return {
-        **tables,
-        "products": ops.blank_to_null(tables["products"], "product_category_name"),
-        "category_translation": ops.correct_labels(translation, corrections, "product_category_name_english"),
-    }
+
+    def translation() -> DataFrame:
+        complete = ops.append_rows(tables["category_translation"], missing)
+        return ops.correct_labels(complete, corrections, "product_category_name_english")
+
+    return Tables(
+        {
+            **{name: partial(tables.__getitem__, name) for name in tables},
+            "products": lambda: ops.blank_to_null(tables["products"], "product_category_name"),
+            "category_translation": translation,
+        }
+    )
 
 
 @dataclass(frozen=True)
@@ -46,7 +52,7 @@ class Analysis:
     """The derived tables of one set of fixed tables, each a lazy DataFrame built on first use."""
 
     def __init__(self, tables: Mapping[str, DataFrame], thresholds: Thresholds | None = None):
-        self.tables = dict(tables)
+        self.tables = tables
         self.thresholds = thresholds or Thresholds()
 
     @cached_property

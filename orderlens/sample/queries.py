@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,11 @@ NULL_ORDER = {
 NULL_ITEM = {"price": "null_price", "freight_value": "null_freight"}
 
 
-def _raw(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+def _raw(spark: SparkSession, directory: str) -> Mapping[str, DataFrame]:
     return sample_tables(spark, directory)
 
 
-def _fixed(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+def _fixed(spark: SparkSession, directory: str) -> Mapping[str, DataFrame]:
     return fixed_tables(_raw(spark, directory), UNTRANSLATED)
 
 
@@ -51,7 +51,7 @@ def _analysis(spark: SparkSession, directory: str) -> Analysis:
     return Analysis(_fixed(spark, directory), THRESHOLDS)
 
 
-def _all_delivered(tables: dict[str, DataFrame]) -> DataFrame:
+def _all_delivered(tables: Mapping[str, DataFrame]) -> DataFrame:
     return ops.orders_clean(tables["orders"], delivered=DELIVERED)
 
 
@@ -67,7 +67,7 @@ def _load_reviews_csv(spark: SparkSession, directory: str) -> DataFrame:
     reviews = reviews.withColumns({"review_comment_message": message, "review_comment_title": title})
     path = new_folder(spark, "reviews-csv")
     csv.write_csv(reviews, path)
-    return csv.read_csv_table(spark, path, reviews.schema)
+    return csv.read_csv_table(spark, path, reviews.schema, multiline=True)
 
 
 def _register_tables(spark: SparkSession, directory: str) -> DataFrame:
@@ -94,11 +94,11 @@ def _bucket_report(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _on_raw(job: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _on_raw(job: Callable[[Mapping[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, directory: job(_raw(spark, directory))
 
 
-def _on_fixed(job: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _on_fixed(job: Callable[[Mapping[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, directory: job(_fixed(spark, directory))
 
 

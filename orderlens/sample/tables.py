@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.sources.catalog import Tables
+
 DELIVERED = "F"
 ESTIMATE_DAYS = 1000
 
@@ -49,14 +51,33 @@ _COLUMNS = {
 }
 
 
-def sample_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+def sample_tables(spark: SparkSession, directory: str) -> Tables:
     def table(name: str) -> DataFrame:
         return spark.read.schema(_COLUMNS[name]).parquet(f"{directory}/{name}.parquet")
 
-    lineitem, part = table("lineitem"), table("part")
+    return Tables(
+        {
+            "customers": lambda: table("customer").select(
+                F.col("c_custkey").alias("customer_id"),
+                (F.col("c_custkey") + F.col("c_nationkey")).alias("customer_unique_id"),
+            ),
+            "geolocation": lambda: table("customer").select(
+                F.col("c_nationkey").alias("geolocation_zip_code_prefix")
+            ),
+            "order_items": lambda: _order_items(table("lineitem")),
+            "payments": lambda: table("orders").select(F.col("o_orderkey").alias("order_id")),
+            "reviews": lambda: _reviews(table("events")),
+            "orders": lambda: _orders(table("orders"), table("lineitem")),
+            "products": lambda: _products(table("part")),
+            "sellers": lambda: table("supplier").select(F.col("s_suppkey").alias("seller_id")),
+            "category_translation": lambda: _translation(table("part")),
+        }
+    )
+
+
+def _orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     shipped = lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("order_delivered_customer_date"))
-    ordered = table("orders")
-    orders = ordered.join(shipped, ordered.o_orderkey == shipped.l_orderkey, "left").select(
+    return orders.join(shipped, orders.o_orderkey == shipped.l_orderkey, "left").select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderstatus").alias("order_status"),
@@ -66,8 +87,11 @@ def sample_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
             "order_estimated_delivery_date"
         ),
     )
+
+
+def _order_items(lineitem: DataFrame) -> DataFrame:
     money = F.col("l_extendedprice").cast("decimal(12,2)")
-    items = lineitem.select(
+    return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
@@ -75,8 +99,11 @@ def sample_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
         money.alias("price"),
         money.alias("freight_value"),
     )
+
+
+def _reviews(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    reviews = table("events").select(
+    return events.select(
         F.col("user_id").alias("review_id"),
         F.shiftright("event_id", 1).alias("order_id"),
         F.when(kind == "error", 1)
@@ -90,36 +117,27 @@ def sample_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
         F.col("ts").alias("review_creation_date"),
         F.col("ts").alias("review_answer_timestamp"),
     )
+
+
+def _products(part: DataFrame) -> DataFrame:
     size = F.col("p_size")
-    products = part.select(
+    return part.select(
         F.col("p_partkey").alias("product_id"),
         F.when(size == 1, "").when(size != 2, F.col("p_brand")).alias("product_category_name"),
         F.col("p_retailprice").alias("product_weight_g"),
         size.cast("double").alias("product_length_cm"),
         (size / 4).alias("product_height_cm"),
     )
+
+
+def _translation(part: DataFrame) -> DataFrame:
     brand = F.col("p_brand")
     label = F.lower(F.replace(brand, F.lit("#"), F.lit("_")))
     for value, text in RAW_LABELS.items():
         label = F.when(brand == value, text).otherwise(label)
-    translation = (
+    return (
         part.select("p_brand")
         .distinct()
         .where(~brand.isin(*[name for name, _ in UNTRANSLATED]))
         .select(brand.alias("product_category_name"), label.alias("product_category_name_english"))
     )
-    customer = table("customer")
-    return {
-        "customers": customer.select(
-            F.col("c_custkey").alias("customer_id"),
-            (F.col("c_custkey") + F.col("c_nationkey")).alias("customer_unique_id"),
-        ),
-        "geolocation": customer.select(F.col("c_nationkey").alias("geolocation_zip_code_prefix")),
-        "order_items": items,
-        "payments": ordered.select(F.col("o_orderkey").alias("order_id")),
-        "reviews": reviews,
-        "orders": orders,
-        "products": products,
-        "sellers": table("supplier").select(F.col("s_suppkey").alias("seller_id")),
-        "category_translation": translation,
-    }

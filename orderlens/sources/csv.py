@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.sources.catalog import Tables
+from orderlens.sources.schemas import TABLE_SCHEMAS, TABLES_WITH_NEWLINES
+
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 # Stands for a quoted empty cell while reading, since Spark would make it NULL.
 _BLANK = "\u001a"
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def read_csv_table(
+    spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False
+) -> DataFrame:
     """A CSV file or folder with a header. ``""`` is empty text, an empty cell is NULL.
 
-    A malformed row is an error. A cell may span lines, so Spark does not split a
-    file: land a large table as many files, or as Parquet after the first read.
+    A malformed row is an error. Set ``multiline`` when cells hold newlines, as
+    review comments do. Spark then reads each file in one task, so such a table
+    should arrive as many files; any other is split by size.
     """
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("nullValue", "")
@@ -34,6 +43,18 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str) -
     return df.withColumns({c: F.when(F.col(c) == _BLANK, "").otherwise(F.col(c)) for c in texts})
 
 
+def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> Tables:
+    """The tables of ``TABLE_SCHEMAS`` that have a path, each read on first use."""
+    return Tables(
+        {
+            name: partial(
+                read_csv_table, spark, path, TABLE_SCHEMAS[name], multiline=name in TABLES_WITH_NEWLINES
+            )
+            for name, path in paths.items()
+        }
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Write with a header, one file per partition, such that ``read_csv_table`` restores it."""
     (

@@ -37,3 +37,6 @@ TABLE_SCHEMAS = {
     "category_translation": """
         product_category_name string, product_category_name_english string""",
 }
+
+# Review comments span lines; no other table has such a cell.
+TABLES_WITH_NEWLINES = {"reviews"}

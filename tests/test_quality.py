@@ -1,0 +1,154 @@
+from collections import defaultdict
+from datetime import timedelta
+
+import marketplace as m
+import pytest
+from pyspark.sql import functions as F
+
+from orderlens.operators import quality as q
+
+
+def one(df):
+    return df.first().asDict()
+
+
+def test_join_key_match_counts_rows_on_both_sides(spark):
+    left = spark.createDataFrame([("a",), ("a",), ("b",), ("x",), (None,)], "customer_id string")
+    right = spark.createDataFrame(
+        [("a", "a"), ("b", "u"), ("c", "c"), (None, "a")], "customer_id string, customer_unique_id string"
+    )
+    found = q.join_key_match(left, right, "customer_id", "customer_id", ["customer_id", "customer_unique_id"])
+    assert one(found) == {"customer_id_match": 3, "customer_unique_id_match": 2}
+
+
+def test_blank_profile_tells_empty_from_null(spark):
+    df = spark.createDataFrame([("",), ("",), (None,), ("x",)], "c string")
+    assert {tuple(r) for r in q.blank_profile(df, "c").collect()} == {("", 2), (None, 1)}
+
+
+def test_unmatched_keys_skip_null(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string")
+    dimension = spark.createDataFrame([("a",)], "k string")
+    assert [tuple(r) for r in q.unmatched_keys(df, dimension, "k").collect()] == [("b", 2)]
+
+
+def ranked_by_hand(data, limit, keep):
+    counts = defaultdict(int)
+    for review_id, *_ in data:
+        counts[review_id] += 1
+    kept = sorted((r for r in data if r[0] is not None and counts[r[0]] > 1 and keep(r)), key=lambda r: r[:2])
+    return [(r[0], r[1], 1 + sum(o[0] == r[0] and o[1] < r[1] for o in kept)) for r in kept][:limit]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+@pytest.mark.parametrize("with_message", [False, True])
+def test_rank_after_the_cut_equals_rank_before_it(spark, limit, with_message):
+    data = [(f"r{i % 13:02}", f"o{i % 7}", 3, "text" if i % 3 else None) for i in range(80)]
+    data += [("hot", f"o{i % 20:02}", 3, "text" if i % 2 else None) for i in range(60)]
+    data += [("single", "o1", 3, "text"), (None, "o1", 1, "text"), (None, "o2", 1, "text")]
+    keep = F.col("review_comment_message").isNotNull() if with_message else None
+    found = q.duplicate_rows_ranked(m.reviews(spark, data), "review_id", "order_id", limit, keep)
+    actual = [(r["review_id"], r["order_id"], r["rnk"]) for r in found.collect()]
+    assert actual == ranked_by_hand(data, limit, lambda r: not with_message or r[3] is not None)
+
+
+def test_reviews_vs_products_counts_each_side_alone(spark):
+    orders = m.delivered(spark, [1, 1, 1])
+    reviews = m.reviews(spark, [("r1", "o0", 1), ("r2", "o0", 1), ("r2", "o0", 2), ("r3", "o1", 1), ("r4", "o2", 1), ("r5", "o2", 1), ("r6", "o2", 1)])
+    items = m.items(spark, [("o0", "p1", "s", "1"), ("o0", "p1", "s", "1"), ("o0", "p2", "s", "1"), ("o2", "p1", "s", "1")])
+    assert [tuple(r) for r in q.reviews_vs_products(orders, reviews, items, 10).collect()] == [
+        ("o2", 3, 1),
+        ("o0", 2, 2),
+    ]
+    assert [r["order_id"] for r in q.reviews_vs_products(orders, reviews, items, 1).collect()] == ["o2"]
+
+
+def shared_reviews(spark):
+    """Three reviews with orders at chosen seconds; r-single occurs once, o-none has no order."""
+    seconds = {"r1": [0, 0, 2, 3, 7200, 7203, 90000], "r2": [3599, 3601, 3601, 10], "r3": [5]}
+    orders, reviews = [], []
+    for review_id, moments in seconds.items():
+        for i, second in enumerate(moments):
+            orders.append((f"{review_id}-{i}", second))
+            reviews.append((review_id, f"{review_id}-{i}", 3))
+    reviews += [("r3", "o-none", 3), ("r4", "o-none", 3)]
+    frame = spark.createDataFrame(
+        [(o, m.START + timedelta(seconds=s), None) for o, s in orders],
+        "order_id string, order_purchase_timestamp timestamp_ntz, order_delivered_customer_date timestamp_ntz",
+    )
+    return m.reviews(spark, reviews), frame, seconds
+
+
+@pytest.mark.parametrize("limit", [1, 5, 8, 100])
+def test_gap_to_the_next_order_of_a_review(spark, limit):
+    reviews, orders, seconds = shared_reviews(spark)
+    expected = []
+    for review_id, moments in sorted(seconds.items()):
+        ordered = sorted(moments)
+        expected += [
+            (review_id, i, later - second if later is not None else None)
+            for i, (second, later) in enumerate(zip(ordered, [*ordered[1:], None]), start=1)
+        ]
+    found = q.shared_review_gap(reviews, orders, limit).collect()
+    assert [(r["review_id"], r["row_number"], r["seconds_to_next_order"]) for r in found] == expected[:limit]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 3600, 100000])
+def test_pairs_within_some_seconds(spark, limit):
+    reviews, orders, seconds = shared_reviews(spark)
+    gaps = [b - a for v in seconds.values() for a, b in zip(sorted(v), sorted(v)[1:])]
+    assert one(q.shared_review_gap_within(reviews, orders, limit)) == {
+        "consecutive_pairs": len(gaps),
+        "pairs_within": sum(g <= limit for g in gaps),
+    }
+
+
+def test_pairs_do_not_depend_on_the_time_zone(spark):
+    reviews, orders, _ = shared_reviews(spark)
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        assert one(q.shared_review_gap_within(reviews, orders, 3)) == {"consecutive_pairs": 9, "pairs_within": 6}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_share_of_total_rounds_half_away_from_zero(spark):
+    df = spark.createDataFrame([("a",)] * 1 + [("b",)] * 15 + [(None,)] * 16, "v string")
+    share = q.share_of_total(df, "v", "n", [F.asc_nulls_last("v")])
+    assert [tuple(r) for r in share.collect()] == [("a", 1, 3.13), ("b", 15, 46.88), (None, 16, 50.0)]
+
+
+def test_primary_key_check_reports_repeats_and_nulls(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", None)], "k string, n int")
+    assert {tuple(r) for r in q.primary_key_check(df, ["k", "n"]).collect()} == {("a", 1, 2), ("b", None, 1)}
+    assert one(q.primary_key_summary({"t": (df, ["k", "n"])})) == {
+        "table_name": "t",
+        "key_columns": "k, n",
+        "duplicate_keys": 1,
+        "duplicate_rows": 2,
+        "null_key_rows": 1,
+    }
+
+
+def test_foreign_key_check_counts_rows_and_keys(spark):
+    child = spark.createDataFrame([("a",), ("x",), ("x",), ("y",), (None,)], "k string")
+    parent = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert one(q.foreign_key_check(child, parent, "k")) == {"orphan_keys": 2, "orphan_rows": 3}
+    assert one(q.foreign_key_check(parent, parent, "k")) == {"orphan_keys": 0, "orphan_rows": 0}
+
+
+def test_delivered_without_date_and_reconcile(spark):
+    orders = m.orders(spark, [("a", "delivered", None, 1), ("b", "delivered", 30, 1), ("c", "shipped", None, 1)])
+    assert [r["order_id"] for r in q.delivered_without_date(orders).collect()] == ["a"]
+    assert one(q.reconcile_count(orders, 5)) == {"difference": 2}
+    assert one(q.reconcile_count(orders.limit(1), orders)) == {"difference": 2}
+
+
+def test_null_counts(spark):
+    df = spark.createDataFrame([("a", None), (None, None)], "x string, y string")
+    assert one(q.null_counts(df, "t", {"x": "null_x", "y": "null_y"})) == {
+        "table_name": "t",
+        "total_rows": 2,
+        "null_x": 1,
+        "null_y": 2,
+    }
