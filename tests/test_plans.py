@@ -1,0 +1,216 @@
+"""Physical plans: what is read, what is shuffled, and what happens to a hot key."""
+
+import re
+from contextlib import contextmanager
+from datetime import timedelta
+from decimal import Decimal
+
+import marketplace as m
+import pytest
+
+from __spark_entry__ import queries
+from orderlens.operators import clean as ops
+from orderlens.operators import quality as q
+from orderlens.plans import delivery, freight, risk
+from orderlens.plans.workflow import Analysis
+
+DIRECTORY = "/root/testdata/sf0.001"
+
+
+@contextmanager
+def settings(spark, **values):
+    names = {name.replace("__", "."): str(value) for name, value in values.items()}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+def initial_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def pushed_filters(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return re.findall(r"PushedFilters: \[(.*)\]", df._jdf.queryExecution().explainString(mode))
+
+
+def final_plan(df):
+    """The plan as it ran, without the plans that adaptive execution started from."""
+    df.collect()
+    kept, initial_at = [], None
+    for line in initial_plan(df).splitlines():
+        depth = len(line) - len(line.lstrip(" :"))
+        if initial_at is not None and depth > initial_at:
+            continue
+        initial_at = depth if "== Initial Plan ==" in line else None
+        kept.append(line)
+    return "\n".join(kept)
+
+
+@pytest.fixture(scope="module")
+def market(spark, tmp_path_factory):
+    """Parquet tables in which one order, seller, product and review_id each hold a third of the rows."""
+    folder = tmp_path_factory.mktemp("market")
+    n = 6000
+    moment = m.START
+    orders = [
+        (f"o{i}", f"c{i % 50}", "delivered" if i % 10 else "shipped", moment,
+         moment + timedelta(days=i % 40, hours=5), moment + timedelta(days=20))
+        for i in range(n)
+    ]
+    hot = lambda i, name, count: f"{name}-hot" if i % 3 == 0 else f"{name}{i % count}"
+    items = [
+        ("o1" if i % 3 == 1 else f"o{i % n}", i, hot(i, "p", 300), hot(i, "s", 90), Decimal("1.00"),
+         Decimal(i % 997) / 100)
+        for i in range(3 * n)
+    ]
+    reviews = [
+        (hot(i, "r", 2000), "o2" if i % 3 == 1 else f"o{i % n}", i % 5 + 1, None, "long comment", moment, moment)
+        for i in range(3 * n)
+    ]
+    products = [("p-hot", "c0", 1.0, 1.0, 1.0)] + [(f"p{i}", f"c{i % 7}", 1.0, 1.0, 1.0) for i in range(300)]
+    translation = [(f"c{i}", f"label-{i}") for i in range(7)]
+    frames = {
+        "orders": spark.createDataFrame(orders, m.ORDER_SCHEMA),
+        "order_items": spark.createDataFrame(items, m.ITEM_SCHEMA),
+        "reviews": spark.createDataFrame(reviews, m.REVIEW_SCHEMA),
+        "products": spark.createDataFrame(
+            products,
+            """product_id string, product_category_name string, product_weight_g double,
+            product_length_cm double, product_height_cm double""",
+        ),
+        "category_translation": spark.createDataFrame(
+            translation, "product_category_name string, product_category_name_english string"
+        ),
+    }
+    tables = {}
+    for name, df in frames.items():
+        df.repartition(6).write.parquet(f"{folder}/{name}")
+        tables[name] = spark.read.parquet(f"{folder}/{name}")
+    rows = {"orders": orders, "order_items": items, "reviews": reviews, "products": products}
+    return Analysis(tables), rows
+
+
+def test_no_query_leaves_the_jvm_or_pairs_all_rows(spark):
+    for name, query in queries().items():
+        if name.endswith("_csv"):
+            continue
+        plan = initial_plan(query(spark, DIRECTORY))
+        for operator in ("Python", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert operator not in plan, (name, operator)
+
+
+def test_reports_read_only_their_columns_and_push_filters(spark, market):
+    analysis, _ = market
+    report = delivery.bad_reviews_by_bucket(analysis.reviewed)
+    plan = initial_plan(report)
+    assert "ReadSchema: struct<order_id:string,review_score:int>" in plan
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert not any("comment" in s or "customer_id" in s or "estimated" in s for s in schemas)
+    (orders_filter,) = [f for f in pushed_filters(report) if "order_status" in f]
+    assert "EqualTo(order_status,delivered)" in orders_filter
+    assert "IsNotNull(order_delivered_customer_date)" in orders_filter
+
+
+def test_one_shuffle_per_table_and_one_for_the_buckets(spark, market):
+    analysis, _ = market
+    report = delivery.bad_reviews_by_bucket(analysis.reviewed)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold=-1):
+        plan = initial_plan(report)
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Exchange rangepartitioning") == 1
+
+
+def test_freight_report_runs_its_joins_once(spark, market):
+    analysis, _ = market
+    for report in (
+        freight.freight_by_delivery_bucket(analysis.reviewed, analysis.freight),
+        freight.freight_percentiles_by_score(analysis.reviewed, analysis.freight),
+    ):
+        plan = final_plan(report)
+        assert plan.count("ReusedExchange") >= 2
+        assert len(re.findall(r"FileScan parquet .*freight_value", plan)) == 1
+
+
+def test_segments_reuse_the_base_for_the_platform_average(spark, market):
+    analysis, _ = market
+    plan = final_plan(risk.seller_risk_segments(analysis.seller_pairs, analysis.reviewed))
+    assert len(re.findall(r"FileScan parquet .*review_score", plan)) == 1
+
+
+def test_dedup_drops_rows_before_the_shuffle(spark, market):
+    analysis, _ = market
+    plan = initial_plan(ops.reviews_deduped(analysis.tables["reviews"]))
+    below = plan[plan.index("Exchange") :]
+    assert "WindowGroupLimit" in below and "Partial" in below
+
+
+def test_top_lists_sort_no_more_than_they_keep(spark, market):
+    analysis, _ = market
+    reviews = analysis.tables["reviews"]
+    plans = [
+        initial_plan(risk.worst_sellers(analysis.seller_pairs, analysis.reviewed)),
+        initial_plan(q.duplicate_rows_ranked(reviews, "review_id", "order_id", 300)),
+        initial_plan(q.shared_review_gap(reviews, analysis.tables["orders"], 2000)),
+    ]
+    assert all("TakeOrderedAndProject" in plan for plan in plans)
+
+
+def test_repeated_rows_are_found_without_shuffling_comments(spark, market):
+    analysis, _ = market
+    plan = initial_plan(q.duplicate_rows_ranked(analysis.tables["reviews"], "review_id", "order_id", 300))
+    assert "BroadcastHashJoin [review_id" in plan
+    shuffle = plan[plan.rindex("Exchange hashpartitioning(review_id") :]
+    assert "comment" not in shuffle
+
+
+def test_hot_product_is_split_when_products_are_too_large_to_broadcast(spark, market):
+    analysis, rows = market
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold=-1,
+        spark__sql__adaptive__autoBroadcastJoinThreshold=-1,
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="8k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="16k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor=2,
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="1k",
+    ):
+        pairs = Analysis(analysis.tables).category_pairs
+        found = {tuple(r) for r in pairs.collect()}
+        plan = initial_plan(pairs)
+    assert "SortMergeJoin(skew=true)" in plan
+    label = {p[0]: f"label-{p[1][1:]}" for p in rows["products"]}
+    assert found == {(r[0], label[r[2]]) for r in rows["order_items"]}
+
+
+def test_hot_keys_give_the_same_result_as_by_hand(spark, market):
+    analysis, rows = market
+    days = {o[0]: (o[4] - o[3]).days for o in rows["orders"] if o[2] == "delivered" and (o[4] - o[3]).days > 0}
+    score = {}
+    for r in rows["reviews"]:
+        score[r[1]] = min(score.get(r[1], 9), r[2])
+    orders_of = {}
+    for i in rows["order_items"]:
+        if i[0] in days and i[0] in score:
+            orders_of.setdefault(i[3], set()).add(i[0])
+    expected = {
+        s: (len(ids), sum(score[o] <= 3 for o in ids)) for s, ids in orders_of.items() if len(ids) >= 20
+    }
+    found = risk.seller_risk_all(analysis.seller_pairs, analysis.reviewed).collect()
+    assert {r["seller_id"]: (r["order_count"], r["bad_reviews"]) for r in found} == expected
+    assert expected["s-hot"][0] > 1000
+
+
+def test_pairs_of_a_hot_review_match_a_plain_count(spark, market):
+    analysis, rows = market
+    bought = {o[0]: o[3] for o in rows["orders"]}
+    moments = {}
+    for r in rows["reviews"]:
+        moments.setdefault(r[0], []).append(bought[r[1]])
+    pairs = sum(len(v) - 1 for v in moments.values())
+    found = q.shared_review_gap_within(analysis.tables["reviews"], analysis.tables["orders"]).first()
+    assert tuple(found) == (pairs, pairs)
