@@ -10,6 +10,8 @@ MIN_CATEGORY_ORDERS = 10
 TOP_SELLERS = 30
 LONG_DELIVERY_DAYS = 60
 NEAR_SIMULTANEOUS_SECONDS = 3
+DUPLICATES_SHOWN = 300
+GAPS_SHOWN = 2000
 SELLER_VOLUME_CUTS = (10, 15, 20, 30, 40, 50, 75, 100)
 
 # Categories that occur in products but have no translation.

@@ -96,27 +96,34 @@ def reviewed_orders(clean: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def order_freight(items: DataFrame) -> DataFrame:
-    """Freight per order. Money is summed as whole cents, which stays in long arithmetic."""
-    return order_freight_cents(items).select(
-        "order_id",
-        (F.col("freight_cents").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("total_freight"),
+def scored_orders(clean: DataFrame, scores: DataFrame) -> DataFrame:
+    """All clean orders, with their score if ``is_reviewed``."""
+    joined = clean.select("order_id", "delivery_days", "delivery_delay_days").join(
+        scores.select("order_id", "review_score", F.lit(True).alias("is_reviewed")), "order_id", "left"
     )
+    return joined.withColumn("is_reviewed", F.coalesce("is_reviewed", F.lit(False)))
 
 
-def order_freight_cents(items: DataFrame) -> DataFrame:
-    cents = (F.col("freight_value") * F.lit(100).cast("decimal(3,0)")).cast("long")
-    return items.groupBy("order_id").agg(F.sum(cents).alias("freight_cents"))
+def order_item_facts(items: DataFrame) -> DataFrame:
+    """Per order: freight in whole cents, and whether one seller or several sold its items.
 
-
-def order_seller_groups(items: DataFrame) -> DataFrame:
-    """Per order, whether its items come from one seller or from several.
-
-    Lowest and highest seller are equal exactly when there is one. That takes one
-    shuffle of one row per order and task; a distinct count would take two.
+    Money summed as whole cents stays in long arithmetic. Lowest and highest
+    seller are equal exactly when there is one seller, so one shuffle of one row
+    per order and task is enough, where a distinct count would take two.
     """
+    cents = (F.col("freight_value") * F.lit(100).cast("decimal(3,0)")).cast("long")
+    one_seller = F.min("seller_id") == F.max("seller_id")
     return items.groupBy("order_id").agg(
-        F.when(F.min("seller_id") == F.max("seller_id"), "1 seller").otherwise("2+ sellers").alias("seller_group")
+        F.sum(cents).alias("freight_cents"),
+        F.when(one_seller, "1 seller").otherwise("2+ sellers").alias("seller_group"),
+    )
+
+
+def order_freight(items: DataFrame) -> DataFrame:
+    """Freight per order."""
+    return order_item_facts(items).select(
+        "order_id",
+        (F.col("freight_cents").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("total_freight"),
     )
 
 

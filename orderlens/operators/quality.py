@@ -353,6 +353,8 @@ PRIMARY_KEYS = {
     "order_items": ("order_id", "order_item_id"),
 }
 
+CATEGORY_KEY = ("products", "category_translation", "product_category_name")
+
 FOREIGN_KEYS = [
     ("order_items", "orders", "order_id"),
     ("order_items", "products", "product_id"),
@@ -360,5 +362,5 @@ FOREIGN_KEYS = [
     ("orders", "customers", "customer_id"),
     ("reviews", "orders", "order_id"),
     ("payments", "orders", "order_id"),
-    ("products", "category_translation", "product_category_name"),
+    CATEGORY_KEY,
 ]

@@ -125,20 +125,15 @@ def bad_reviews_by_bucket(
     )
 
 
-def headline_kpis(clean: DataFrame, scores: DataFrame, bad_max: int = BAD_MAX) -> DataFrame:
+def headline_kpis(scored: DataFrame, bad_max: int = BAD_MAX) -> DataFrame:
     """One row: clean orders, reviewed orders, their median delivery days and bad-review rate.
 
-    ``scores`` has at most one row per order, so a left join counts both
-    populations in one pass over the orders.
+    ``scored`` holds all clean orders, so one pass counts both populations.
     """
-    reviewed = F.col("_reviewed")
-    counts = (
-        clean.select("order_id", "delivery_days")
-        .join(scores.select("order_id", "review_score", F.lit(True).alias("_reviewed")), "order_id", "left")
-        .groupBy(reviewed.isNotNull().alias("_reviewed"), "delivery_days")
-        .agg(F.count("*").alias("rows"), F.count_if(is_bad(bad_max)).alias("bad"))
+    counts = scored.groupBy("is_reviewed", "delivery_days").agg(
+        F.count("*").alias("rows"), F.count_if(is_bad(bad_max)).alias("bad")
     )
-    reviewed_rows = F.when(reviewed, F.col("rows")).otherwise(0)
+    reviewed_rows = F.when(F.col("is_reviewed"), F.col("rows")).otherwise(0)
     return counts.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("orders_analyzed"),
         F.coalesce(F.sum(reviewed_rows), F.lit(0)).alias("reviewed_orders"),

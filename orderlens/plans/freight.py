@@ -1,4 +1,4 @@
-"""Reports on freight cost. ``freight`` has one row per order: ``order_freight_cents``.
+"""Reports on freight cost. ``orders`` are reviewed orders joined to ``order_item_facts``.
 
 Order totals can take very many distinct values, so their percentiles come from
 ``selected_percentiles``. It and the counts read the same value counts, so the
@@ -20,10 +20,6 @@ from orderlens.plans.delivery import is_bad
 FREIGHT_PERCENTILES = {"p25_freight": 0.25, "median_freight": 0.50, "p75_freight": 0.75, "p99_freight": 0.99}
 
 
-def _score_counts(reviewed: DataFrame, freight: DataFrame) -> DataFrame:
-    return value_counts(reviewed.join(freight, "order_id"), ["review_score"], "freight_cents")
-
-
 def _with_percentiles(per_score: DataFrame, counts: DataFrame, probabilities: Mapping[str, float]) -> DataFrame:
     cents = selected_percentiles(counts, ["review_score"], "freight_cents", probabilities)
     money = cents.select(
@@ -36,9 +32,9 @@ def _with_percentiles(per_score: DataFrame, counts: DataFrame, probabilities: Ma
     )
 
 
-def score_vs_freight(reviewed: DataFrame, freight: DataFrame) -> DataFrame:
+def score_vs_freight(orders: DataFrame) -> DataFrame:
     """Per score: orders, mean and median freight per order."""
-    counts = _score_counts(reviewed, freight)
+    counts = value_counts(orders, ["review_score"], "freight_cents")
     cents, rows = F.col("freight_cents"), F.col("rows")
     total = F.sum(cents.cast("decimal(19,0)") * rows.cast("decimal(18,0)"))
     per_score = counts.groupBy("review_score").agg(
@@ -49,10 +45,10 @@ def score_vs_freight(reviewed: DataFrame, freight: DataFrame) -> DataFrame:
 
 
 def freight_percentiles_by_score(
-    reviewed: DataFrame, freight: DataFrame, probabilities: Mapping[str, float] = FREIGHT_PERCENTILES
+    orders: DataFrame, probabilities: Mapping[str, float] = FREIGHT_PERCENTILES
 ) -> DataFrame:
     """Per score: orders and freight percentiles, to two places."""
-    counts = _score_counts(reviewed, freight)
+    counts = value_counts(orders, ["review_score"], "freight_cents")
     per_score = counts.groupBy("review_score").agg(F.sum("rows").alias("order_count"))
     table = _with_percentiles(per_score, counts, probabilities)
     return table.select(
@@ -63,28 +59,25 @@ def freight_percentiles_by_score(
 
 
 def freight_by_delivery_bucket(
-    reviewed: DataFrame,
-    freight: DataFrame,
-    bounds: Sequence[int] = BUCKET_BOUNDS,
-    bad_max: int = BAD_MAX,
+    orders: DataFrame, bounds: Sequence[int] = BUCKET_BOUNDS, bad_max: int = BAD_MAX
 ) -> DataFrame:
     """Each delivery bucket split at the median freight of all reviewed clean orders.
 
     Does freight still matter at equal delivery time? A half without orders has
     a NULL percentage.
     """
-    orders = reviewed.join(freight, "order_id").select(
+    bucketed = orders.select(
         delivery_bucket(F.col("delivery_days"), bounds).alias("delivery_bucket"),
         F.coalesce(is_bad(bad_max), F.lit(False)).alias("_bad"),
         "freight_cents",
     )
-    counts = value_counts(orders, ["delivery_bucket", "_bad"], "freight_cents")
+    counts = value_counts(bucketed, ["delivery_bucket", "_bad"], "freight_cents")
     median = selected_percentiles(counts, [], "freight_cents", {"median": 0.50}).scalar()
 
     def half(condition: Column) -> tuple[Column, Column]:
-        orders = F.sum(F.when(condition, F.col("rows")).otherwise(0))
+        count = F.sum(F.when(condition, F.col("rows")).otherwise(0))
         bad = F.sum(F.when(condition & F.col("_bad"), F.col("rows")).otherwise(0))
-        return orders, percent(bad, orders)
+        return count, percent(bad, count)
 
     low_orders, low_pct = half(F.col("freight_cents") <= F.col("_median"))
     high_orders, high_pct = half(F.col("freight_cents") > F.col("_median"))

@@ -1,7 +1,8 @@
 """Reports on sellers, product categories and orders split across sellers.
 
 ``pairs`` holds distinct (entity, order_id) rows, so that an order with several
-items counts once for each seller or category.
+items counts once for each seller or category. ``orders`` are reviewed orders
+joined to ``order_item_facts``.
 """
 
 from __future__ import annotations
@@ -115,21 +116,16 @@ def category_risk(
 
 
 def multi_seller_by_bucket(
-    reviewed: DataFrame,
-    seller_groups: DataFrame,
-    bounds: Sequence[int] = BUCKET_BOUNDS,
-    bad_max: int = BAD_MAX,
+    orders: DataFrame, bounds: Sequence[int] = BUCKET_BOUNDS, bad_max: int = BAD_MAX
 ) -> DataFrame:
     """Bad-review rate per delivery bucket, for orders of one seller and of several."""
-    return bad_reviews_by_bucket(
-        reviewed.join(seller_groups, "order_id"), bounds, bad_max, extra_group=["seller_group"]
-    )
+    return bad_reviews_by_bucket(orders, bounds, bad_max, extra_group=["seller_group"])
 
 
-def seller_group_median_days(reviewed: DataFrame, seller_groups: DataFrame) -> DataFrame:
+def seller_group_median_days(orders: DataFrame) -> DataFrame:
     """Median delivery days of orders of one seller and of several."""
     return (
-        value_counts(reviewed.join(seller_groups, "order_id"), ["seller_group"], "delivery_days")
+        value_counts(orders, ["seller_group"], "delivery_days")
         .groupBy("seller_group")
         .agg(
             F.sum("rows").alias("order_count"),
@@ -139,10 +135,10 @@ def seller_group_median_days(reviewed: DataFrame, seller_groups: DataFrame) -> D
     )
 
 
-def split_order_share(reviewed: DataFrame, seller_groups: DataFrame) -> DataFrame:
+def split_order_share(orders: DataFrame) -> DataFrame:
     """Orders split across sellers, as a count and as a percentage of all."""
     split = F.count_if(F.col("seller_group") != "1 seller")
-    return reviewed.join(seller_groups, "order_id").agg(
+    return orders.agg(
         split.alias("split_orders"),
         F.count("*").alias("order_count"),
         percent(split, F.count("*")).alias("split_order_pct"),

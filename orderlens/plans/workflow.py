@@ -1,30 +1,63 @@
-"""The whole analysis: fix the tables, derive the shared ones, write the ten reports."""
+"""All jobs on one set of tables, and the export of the ten main reports."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orderlens import constants as C
+from orderlens.functions.measures import ascending, descending
 from orderlens.operators import clean as ops
-from orderlens.plans import delivery, freight, risk
+from orderlens.operators import quality as q
+from orderlens.plans import delivery, freight, policy, risk
 from orderlens.sources.catalog import Tables, stored
 from orderlens.sources.csv import write_report
 
+EXPORTED = (
+    "headline_kpis",
+    "score_vs_delivery_days",
+    "score_vs_delay",
+    "score_vs_freight",
+    "delivery_bucket_bad_reviews",
+    "freight_by_delivery_bucket",
+    "multi_seller_by_bucket",
+    "seller_risk_segments",
+    "worst_sellers",
+    "category_risk",
+)
 
-def fixed_tables(
-    tables: Mapping[str, DataFrame],
-    missing: Sequence[tuple[str, str]] = tuple(C.MISSING_TRANSLATIONS),
-    corrections: Mapping[str, str] = C.LABEL_CORRECTIONS,
-) -> Tables:
+
+@dataclass(frozen=True)
+class Parameters:
+    """Thresholds and fixes, with their usual values."""
+
+    delivered: str = C.DELIVERED
+    bad_max: int = C.BAD_MAX
+    bounds: Sequence[int] = C.BUCKET_BOUNDS
+    high_risk_pct: float = C.HIGH_RISK_PCT
+    min_seller_orders: int = C.MIN_SELLER_ORDERS
+    min_category_orders: int = C.MIN_CATEGORY_ORDERS
+    top_sellers: int = C.TOP_SELLERS
+    seller_volume_cuts: Sequence[int] = C.SELLER_VOLUME_CUTS
+    long_delivery_days: int = C.LONG_DELIVERY_DAYS
+    near_seconds: int = C.NEAR_SIMULTANEOUS_SECONDS
+    duplicates_shown: int = C.DUPLICATES_SHOWN
+    gaps_shown: int = C.GAPS_SHOWN
+    missing_translations: Sequence[tuple[str, str]] = tuple(C.MISSING_TRANSLATIONS)
+    label_corrections: Mapping[str, str] = field(default_factory=lambda: dict(C.LABEL_CORRECTIONS))
+
+
+def fixed_tables(tables: Mapping[str, DataFrame], parameters: Parameters | None = None) -> Tables:
     """The tables with blank categories nulled and translations completed and corrected."""
+    p = parameters or Parameters()
 
     def translation() -> DataFrame:
-        complete = ops.append_rows(tables["category_translation"], missing)
-        return ops.correct_labels(complete, corrections, "product_category_name_english")
+        complete = ops.append_rows(tables["category_translation"], p.missing_translations)
+        return ops.correct_labels(complete, p.label_corrections, "product_category_name_english")
 
     return Tables(
         {
@@ -35,45 +68,41 @@ def fixed_tables(
     )
 
 
-@dataclass(frozen=True)
-class Thresholds:
-    """Parameters of the reports, with their usual values."""
-
-    delivered: str = C.DELIVERED
-    bad_max: int = C.BAD_MAX
-    bounds: Sequence[int] = C.BUCKET_BOUNDS
-    high_risk_pct: float = C.HIGH_RISK_PCT
-    min_seller_orders: int = C.MIN_SELLER_ORDERS
-    min_category_orders: int = C.MIN_CATEGORY_ORDERS
-    top_sellers: int = C.TOP_SELLERS
-
-
 class Analysis:
-    """The derived tables of one set of fixed tables, each a lazy DataFrame built on first use."""
+    """The derived tables and jobs of one set of tables. Nothing runs until a result is used."""
 
-    def __init__(self, tables: Mapping[str, DataFrame], thresholds: Thresholds | None = None):
-        self.tables = tables
-        self.thresholds = thresholds or Thresholds()
+    def __init__(self, tables: Mapping[str, DataFrame], parameters: Parameters | None = None):
+        self.raw = tables
+        self.parameters = parameters or Parameters()
+        self.tables = fixed_tables(tables, self.parameters)
+
+    @cached_property
+    def all_delivered(self) -> DataFrame:
+        return ops.orders_clean(self.tables["orders"], delivered=self.parameters.delivered)
 
     @cached_property
     def clean(self) -> DataFrame:
-        return ops.orders_clean(self.tables["orders"], min_days=0, delivered=self.thresholds.delivered)
+        return ops.orders_clean(self.tables["orders"], min_days=0, delivered=self.parameters.delivered)
+
+    @cached_property
+    def measures(self) -> DataFrame:
+        return self.clean.select("order_id", "delivery_days", "delivery_delay_days")
 
     @cached_property
     def scores(self) -> DataFrame:
         return ops.order_scores(self.tables["reviews"])
 
     @cached_property
-    def reviewed(self) -> DataFrame:
-        return ops.reviewed_orders(self.clean, self.scores)
+    def scored(self) -> DataFrame:
+        return ops.scored_orders(self.measures, self.scores)
 
     @cached_property
-    def freight(self) -> DataFrame:
-        return ops.order_freight_cents(self.tables["order_items"])
+    def reviewed(self) -> DataFrame:
+        return ops.reviewed_orders(self.measures, self.scores)
 
     @cached_property
-    def seller_groups(self) -> DataFrame:
-        return ops.order_seller_groups(self.tables["order_items"])
+    def reviewed_with_items(self) -> DataFrame:
+        return self.reviewed.join(ops.order_item_facts(self.tables["order_items"]), "order_id")
 
     @cached_property
     def seller_pairs(self) -> DataFrame:
@@ -85,48 +114,197 @@ class Analysis:
         return ops.category_pairs(t["order_items"], t["products"], t["category_translation"])
 
     def stored(self) -> Analysis:
-        """The same, with the tables most reports read written out once, one row per order."""
-        copy = Analysis(self.tables, self.thresholds)
-        copy.clean = stored(self.clean.select("order_id", "delivery_days", "delivery_delay_days"), "orders-clean")
-        copy.scores = stored(self.scores, "order-scores")
-        copy.reviewed = stored(ops.reviewed_orders(copy.clean, copy.scores), "reviewed-orders")
+        """The same analysis, with one row of facts per clean order written out once.
+
+        Score, delivery, freight and seller group are joined in that one job, so
+        seven of the ten exports then read a narrow table and join nothing.
+        """
+        item_facts = ops.order_item_facts(self.tables["order_items"])
+        facts = stored(
+            self.scored.join(item_facts.withColumn("has_items", F.lit(True)), "order_id", "left"), "order-facts"
+        )
+        copy = Analysis(self.raw, self.parameters)
+        copy.measures = facts
+        copy.scored = facts
+        copy.reviewed = facts.where("is_reviewed")
+        copy.reviewed_with_items = copy.reviewed.where("has_items")
         return copy
 
-    def exports(self) -> dict[str, Callable[[], DataFrame]]:
-        """The ten reports that are exported, by name."""
-        p = self.thresholds
+    def jobs(self) -> dict[str, Callable[[], DataFrame]]:
+        """Every check, fix, derived table and report by name."""
+        return {**self._checks(), **self._fixes(), **self._reports()}
+
+    def _checks(self) -> dict[str, Callable[[], DataFrame]]:
+        p, raw, fixed = self.parameters, self.raw, self.tables
+        category, label = "product_category_name", "product_category_name_english"
+        return {
+            "table_row_counts": lambda: q.table_row_counts(raw),
+            "join_key_match": lambda: q.join_key_match(
+                raw["orders"],
+                raw["customers"],
+                "customer_id",
+                "customer_id",
+                ["customer_id", "customer_unique_id"],
+            ),
+            "blank_category_profile": lambda: q.blank_profile(raw["products"], category, "product_count"),
+            "unmatched_categories": lambda: q.unmatched_keys(
+                fixed["products"], raw["category_translation"], category, "product_count"
+            ),
+            "category_labels_sorted": lambda: q.category_labels(raw["category_translation"]),
+            "category_dimensions_telephony": lambda: q.category_dimensions(
+                raw["products"], raw["category_translation"], C.TELEPHONY_LABELS
+            ),
+            "category_dimensions_kitchen": lambda: q.category_dimensions(
+                fixed["products"], fixed["category_translation"], C.KITCHEN_LABELS, by_weight=True
+            ),
+            "duplicate_labels": lambda: q.duplicate_values(fixed["category_translation"], label, "label_count"),
+            "review_id_uniqueness": lambda: q.key_uniqueness(
+                raw["reviews"], "review_id", "total_rows", "unique_review_ids"
+            ),
+            "review_order_id_uniqueness": lambda: q.key_uniqueness(
+                raw["reviews"], "order_id", "total_rows", "unique_order_ids"
+            ),
+            "deduped_order_uniqueness": lambda: q.key_uniqueness(
+                ops.reviews_deduped(raw["reviews"]), "order_id", "total", "unique_orders"
+            ),
+            "duplicate_review_ids": lambda: q.duplicate_rows_ranked(
+                raw["reviews"],
+                "review_id",
+                "order_id",
+                p.duplicates_shown,
+                F.col("review_comment_message").isNotNull(),
+                ["review_creation_date"],
+            ),
+            "duplicate_order_ids": lambda: q.duplicate_rows_ranked(
+                raw["reviews"], "order_id", "review_id", p.duplicates_shown, ties=["review_creation_date"]
+            ),
+            "multi_review_vs_products": lambda: q.reviews_vs_products(
+                raw["orders"], raw["reviews"], raw["order_items"], p.duplicates_shown
+            ),
+            "shared_review_gap": lambda: q.shared_review_gap(raw["reviews"], raw["orders"], p.gaps_shown),
+            "shared_review_gap_within": lambda: q.shared_review_gap_within(
+                raw["reviews"], raw["orders"], p.near_seconds
+            ),
+            "null_counts_reviews": lambda: q.null_counts(
+                ops.reviews_deduped(raw["reviews"]), "reviews_deduped", {"review_score": "null_review_score"}
+            ),
+            "null_counts_orders": lambda: q.null_counts(
+                raw["orders"],
+                "orders",
+                {
+                    "order_status": "null_status",
+                    "order_purchase_timestamp": "null_purchase_date",
+                    "order_delivered_customer_date": "null_delivery_date",
+                    "order_estimated_delivery_date": "null_estimated_date",
+                },
+            ),
+            "null_counts_order_items": lambda: q.null_counts(
+                raw["order_items"], "order_items", {"price": "null_price", "freight_value": "null_freight"}
+            ),
+            "order_status_distribution": lambda: q.share_of_total(
+                raw["orders"],
+                "order_status",
+                "order_count",
+                [*descending("order_count"), *ascending("order_status")],
+            ),
+            "delivered_without_date": lambda: q.delivered_without_date(raw["orders"], p.delivered),
+            "zero_day_deliveries": lambda: q.count_where(
+                self.all_delivered, F.col("delivery_days") == 0, "zero_day_deliveries"
+            ),
+            "very_long_deliveries": lambda: q.count_where(
+                self.all_delivered, F.col("delivery_days") > p.long_delivery_days, "very_long_deliveries"
+            ),
+            "reconcile_row_count": lambda: q.reconcile_count(self.clean, self.all_delivered),
+            "primary_key_check": lambda: q.primary_key_summary(
+                {name: (fixed[name], keys) for name, keys in q.PRIMARY_KEYS.items()}
+            ),
+            "primary_key_violations": lambda: q.primary_key_check(
+                fixed["order_items"], q.PRIMARY_KEYS["order_items"]
+            ),
+            "foreign_key_check": lambda: q.foreign_key_summary(fixed, q.FOREIGN_KEYS),
+            "foreign_key_check_before_fixes": lambda: q.foreign_key_summary(raw, [q.CATEGORY_KEY]),
+        }
+
+    def _fixes(self) -> dict[str, Callable[[], DataFrame]]:
+        p, raw = self.parameters, self.raw
+        category, label = "product_category_name", "product_category_name_english"
         return {
-            "headline_kpis": lambda: delivery.headline_kpis(self.clean, self.scores, p.bad_max),
+            "blank_to_null": lambda: self.tables["products"].select("product_id", category),
+            "append_missing_translations": lambda: ops.append_rows(
+                raw["category_translation"], p.missing_translations
+            ),
+            "correct_labels": lambda: ops.correct_labels(
+                raw["category_translation"], p.label_corrections, label
+            ),
+            "reviews_deduped": lambda: ops.reviews_deduped(raw["reviews"]),
+            "order_scores": lambda: self.scores,
+            "orders_clean_all_days": lambda: self.all_delivered,
+            "orders_clean": lambda: self.clean,
+            "order_freight": lambda: ops.order_freight(raw["order_items"]),
+            "order_seller_groups": lambda: ops.order_item_facts(raw["order_items"]).select(
+                "order_id", "seller_group"
+            ),
+            "seller_orders": lambda: ops.among_clean(self.seller_pairs, self.clean),
+            "category_orders": lambda: ops.among_clean(self.category_pairs, self.clean),
+        }
+
+    def _reports(self) -> dict[str, Callable[[], DataFrame]]:
+        p = self.parameters
+        return {
+            "review_score_distribution": lambda: delivery.review_score_distribution(self.scores),
+            "delivery_days_distribution": lambda: delivery.delivery_days_distribution(self.all_delivered),
+            "delivery_delay_distribution": lambda: delivery.delivery_delay_distribution(self.measures),
+            "late_vs_on_time": lambda: delivery.late_vs_on_time(self.reviewed),
             "score_vs_delivery_days": lambda: delivery.score_vs_delivery_days(self.reviewed),
-            "score_vs_delay": lambda: delivery.score_vs_delay(self.reviewed),
-            "score_vs_freight": lambda: freight.score_vs_freight(self.reviewed, self.freight),
             "delivery_bucket_bad_reviews": lambda: delivery.bad_reviews_by_bucket(
                 self.reviewed, p.bounds, p.bad_max
             ),
+            "score_vs_delay": lambda: delivery.score_vs_delay(self.reviewed),
+            "headline_kpis": lambda: delivery.headline_kpis(self.scored, p.bad_max),
+            "score_vs_freight": lambda: freight.score_vs_freight(self.reviewed_with_items),
             "freight_by_delivery_bucket": lambda: freight.freight_by_delivery_bucket(
-                self.reviewed, self.freight, p.bounds, p.bad_max
+                self.reviewed_with_items, p.bounds, p.bad_max
+            ),
+            "freight_percentiles_by_score": lambda: freight.freight_percentiles_by_score(
+                self.reviewed_with_items
+            ),
+            "seller_volume_percentiles": lambda: risk.seller_volume_percentiles(self.seller_pairs),
+            "seller_volume_thresholds": lambda: risk.seller_volume_thresholds(
+                self.seller_pairs, p.seller_volume_cuts
+            ),
+            "worst_sellers": lambda: risk.worst_sellers(
+                self.seller_pairs, self.reviewed, p.min_seller_orders, p.top_sellers, p.bad_max
+            ),
+            "seller_risk_all": lambda: risk.seller_risk_all(
+                self.seller_pairs, self.reviewed, p.min_seller_orders, p.bad_max
             ),
             "multi_seller_by_bucket": lambda: risk.multi_seller_by_bucket(
-                self.reviewed, self.seller_groups, p.bounds, p.bad_max
+                self.reviewed_with_items, p.bounds, p.bad_max
             ),
             "seller_risk_segments": lambda: risk.seller_risk_segments(
                 self.seller_pairs, self.reviewed, p.high_risk_pct, p.bad_max
             ),
-            "worst_sellers": lambda: risk.worst_sellers(
-                self.seller_pairs, self.reviewed, p.min_seller_orders, p.top_sellers, p.bad_max
+            "category_volume_distribution": lambda: risk.category_volume_distribution(
+                ops.among_clean(self.category_pairs, self.measures)
             ),
             "category_risk": lambda: risk.category_risk(
                 self.category_pairs, self.reviewed, p.min_category_orders, p.bad_max
             ),
+            "dedup_policy_sensitivity": lambda: policy.dedup_policy_sensitivity(
+                self.measures, self.tables["reviews"], p.bad_max
+            ),
+            "tied_lowest_reviews": lambda: policy.tied_lowest_reviews(self.tables["reviews"]),
+            "seller_group_median_days": lambda: risk.seller_group_median_days(self.reviewed_with_items),
+            "split_order_share": lambda: risk.split_order_share(self.reviewed_with_items),
         }
 
 
 def export_reports(analysis: Analysis, directory: str) -> list[str]:
-    """Write the ten reports as CSV, each in its own new folder; returns the folders."""
-    ready = analysis.stored()
+    """Write the ten main reports as CSV, each in its own new folder; returns the folders."""
+    jobs = analysis.stored().jobs()
     paths = []
-    for name, report in ready.exports().items():
+    for name in EXPORTED:
         path = f"{directory.rstrip('/')}/{name}"
-        write_report(report(), path)
+        write_report(jobs[name](), path)
         paths.append(path)
     return paths

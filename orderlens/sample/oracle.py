@@ -7,7 +7,7 @@ rows, join first and count distinct after), and share no logic with the jobs.
 from __future__ import annotations
 
 from orderlens import constants as C
-from orderlens.sample.queries import LONG_DAYS, NEAR_SECONDS, THRESHOLDS, VOLUME_CUTS
+from orderlens.sample.queries import PARAMETERS
 from orderlens.sample.tables import ESTIMATE_DAYS, RAW_LABELS, UNTRANSLATED
 
 _UNTRANSLATED_NAMES = ", ".join(f"'{name}'" for name, _ in UNTRANSLATED)
@@ -154,9 +154,9 @@ _TABLES["category_rates"] = (("item_labels", "reviewed"), _entity_rates("categor
 
 
 def _bucket(days: str) -> str:
-    lows = [0, *[b + 1 for b in THRESHOLDS.bounds]]
+    lows = [0, *[b + 1 for b in PARAMETERS.bounds]]
     whens = " ".join(
-        f"WHEN {days} <= {high} THEN '{i + 1}. {lows[i]}-{high} days'" for i, high in enumerate(THRESHOLDS.bounds)
+        f"WHEN {days} <= {high} THEN '{i + 1}. {lows[i]}-{high} days'" for i, high in enumerate(PARAMETERS.bounds)
     )
     return f"CASE {whens} ELSE '{len(lows)}. {lows[-1]}+ days' END"
 
@@ -229,8 +229,8 @@ def _foreign_key(child: str, parent: str, key: str, child_source: str, parent_so
 
 def _policy(name: str, score: str) -> str:
     return f"""SELECT '{name}' AS policy, count(*) AS reviewed_orders,
-            count(*) FILTER (WHERE score <= {THRESHOLDS.bad_max}) AS bad_reviews,
-            {_r(f'100.0 * count(*) FILTER (WHERE score <= {THRESHOLDS.bad_max}) / count(*)', 2)} AS bad_review_pct
+            count(*) FILTER (WHERE score <= {PARAMETERS.bad_max}) AS bad_reviews,
+            {_r(f'100.0 * count(*) FILTER (WHERE score <= {PARAMETERS.bad_max}) / count(*)', 2)} AS bad_review_pct
         FROM clean JOIN (SELECT order_id, {score} AS score FROM t_reviews GROUP BY order_id) USING (order_id)"""
 
 
@@ -240,7 +240,7 @@ def _half(name: str, condition: str) -> str:
 
 
 def sample_oracle() -> dict[str, str]:
-    t = THRESHOLDS
+    t = PARAMETERS
     bucket = _bucket("delivery_days")
     bucket_rates = f"count(*) AS order_count, {_count('bad')} AS bad_reviews, {_BAD_PCT} AS bad_review_pct"
     bucket_report = _with(
@@ -400,7 +400,7 @@ def sample_oracle() -> dict[str, str]:
                WHERE review_id IN (SELECT review_id FROM t_reviews GROUP BY review_id HAVING count(*) > 1)
                WINDOW in_review AS (PARTITION BY review_id
                    ORDER BY order_purchase_timestamp, order_id, review_comment_message)
-               ORDER BY review_id, order_purchase_timestamp, order_id, review_comment_message LIMIT 2000""",
+               ORDER BY review_id, order_purchase_timestamp, order_id, review_comment_message, row_number LIMIT 2000""",
             "t_reviews",
             "t_orders",
         ),
@@ -435,7 +435,7 @@ def sample_oracle() -> dict[str, str]:
             "SELECT count(*) AS zero_day_deliveries FROM all_delivered WHERE delivery_days = 0", "all_delivered"
         ),
         "very_long_deliveries": _with(
-            f"SELECT count(*) AS very_long_deliveries FROM all_delivered WHERE delivery_days > {LONG_DAYS}",
+            f"SELECT count(*) AS very_long_deliveries FROM all_delivered WHERE delivery_days > {t.long_delivery_days}",
             "all_delivered",
         ),
         "reconcile_row_count": _with(
@@ -543,7 +543,7 @@ def sample_oracle() -> dict[str, str]:
             "seller_volumes",
         ),
         "seller_volume_thresholds": _with(
-            f"""SELECT {', '.join(f'count(*) FILTER (WHERE order_count >= {c}) AS sellers_{c}_plus' for c in VOLUME_CUTS)},
+            f"""SELECT {', '.join(f'count(*) FILTER (WHERE order_count >= {c}) AS sellers_{c}_plus' for c in t.seller_volume_cuts)},
                     count(*) AS total_sellers
                 FROM seller_volumes""",
             "seller_volumes",
@@ -599,7 +599,7 @@ def sample_oracle() -> dict[str, str]:
             "t_reviews",
         ),
         "shared_review_gap_within": _with(
-            f"""SELECT count(gap) AS consecutive_pairs, count(*) FILTER (WHERE gap <= {NEAR_SECONDS}) AS pairs_within
+            f"""SELECT count(gap) AS consecutive_pairs, count(*) FILTER (WHERE gap <= {t.near_seconds}) AS pairs_within
                 FROM (SELECT date_sub('second', order_purchase_timestamp,
                           lead(order_purchase_timestamp) OVER (PARTITION BY review_id ORDER BY order_purchase_timestamp))
                           AS gap

@@ -1,77 +1,73 @@
-"""One query per job over the sample tables, with thresholds that suit their values."""
+"""Every job over the sample tables, with parameters that suit their values."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens import constants as C
-from orderlens.operators import clean as ops
-from orderlens.operators import quality as q
-from orderlens.functions.measures import ascending, descending
-from orderlens.plans import delivery, freight, policy, risk
-from orderlens.plans.workflow import Analysis, Thresholds, fixed_tables
-from orderlens.sources import csv
-from orderlens.sources.catalog import new_folder, register_tables
+from orderlens.plans import delivery, risk
+from orderlens.plans.workflow import Analysis, Parameters
 from orderlens.sample.tables import DELIVERED, UNTRANSLATED, sample_tables
+from orderlens.sources.catalog import new_folder, register_tables
+from orderlens.sources.csv import read_csv_table, write_csv, write_report
 
-THRESHOLDS = Thresholds(
+PARAMETERS = Parameters(
     delivered=DELIVERED,
     bad_max=1,
     bounds=(180, 365, 730, 1095),
     high_risk_pct=45,
     min_seller_orders=50,
     min_category_orders=200,
+    seller_volume_cuts=(500, 550, 575, 600, 625, 650),
+    long_delivery_days=1095,
+    near_seconds=30 * 86400,
+    missing_translations=tuple(UNTRANSLATED),
 )
-VOLUME_CUTS = (500, 550, 575, 600, 625, 650)
-LONG_DAYS = 1095
-NEAR_SECONDS = 30 * 86400
 
-NULL_REVIEW = {"review_score": "null_review_score"}
-NULL_ORDER = {
-    "order_status": "null_status",
-    "order_purchase_timestamp": "null_purchase_date",
-    "order_delivered_customer_date": "null_delivery_date",
-    "order_estimated_delivery_date": "null_estimated_date",
+# Results to four places, so that both engines print the same digits.
+_ROUNDED = {
+    "order_freight": ["total_freight"],
+    "delivery_days_distribution": list(delivery.QUARTILES_AND_P90),
+    "delivery_delay_distribution": list(delivery.QUARTILES_AND_P90),
+    "score_vs_freight": ["median_freight"],
+    "seller_volume_percentiles": list(risk.SELLER_VOLUME_PERCENTILES),
+    "category_volume_distribution": list(risk.CATEGORY_VOLUME_PERCENTILES),
 }
-NULL_ITEM = {"price": "null_price", "freight_value": "null_freight"}
-
-
-def _raw(spark: SparkSession, directory: str) -> Mapping[str, DataFrame]:
-    return sample_tables(spark, directory)
-
 
-def _fixed(spark: SparkSession, directory: str) -> Mapping[str, DataFrame]:
-    return fixed_tables(_raw(spark, directory), UNTRANSLATED)
 
+def sample_analysis(spark: SparkSession, directory: str) -> Analysis:
+    return Analysis(sample_tables(spark, directory), PARAMETERS)
 
-def _analysis(spark: SparkSession, directory: str) -> Analysis:
-    return Analysis(_fixed(spark, directory), THRESHOLDS)
 
+def _job(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, directory: str) -> DataFrame:
+        result = sample_analysis(spark, directory).jobs()[name]()
+        columns = _ROUNDED.get(name, [])
+        return result.withColumns(
+            {c: F.round(F.col(c).cast("decimal(38,10)"), 4).cast("double") for c in columns}
+        )
 
-def _all_delivered(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return ops.orders_clean(tables["orders"], delivered=DELIVERED)
-
-
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Percentiles to four places, so that both engines print the same digits."""
-    return df.withColumns({c: F.round(F.col(c).cast("decimal(38,10)"), 4).cast("double") for c in columns})
+    return query
 
 
 def _load_reviews_csv(spark: SparkSession, directory: str) -> DataFrame:
-    reviews = _raw(spark, directory)["reviews"]
-    message = F.concat(F.col("review_comment_message"), F.lit('\nsaid "'), F.col("review_comment_title"), F.lit('"'))
-    title = F.when(F.col("review_score") == 1, "").when(F.col("review_score") != 2, F.col("review_comment_title"))
-    reviews = reviews.withColumns({"review_comment_message": message, "review_comment_title": title})
+    """Reviews written as CSV with newlines, quotes, blanks and NULLs in cells, and read back."""
+    score, title, message = F.col("review_score"), F.col("review_comment_title"), F.col("review_comment_message")
+    reviews = sample_tables(spark, directory)["reviews"].withColumns(
+        {
+            "review_comment_message": F.concat(message, F.lit('\nsaid "'), title, F.lit('"')),
+            "review_comment_title": F.when(score == 1, "").when(score != 2, title),
+        }
+    )
     path = new_folder(spark, "reviews-csv")
-    csv.write_csv(reviews, path)
-    return csv.read_csv_table(spark, path, reviews.schema, multiline=True)
+    write_csv(reviews, path)
+    return read_csv_table(spark, path, reviews.schema, multiline=True)
 
 
 def _register_tables(spark: SparkSession, directory: str) -> DataFrame:
-    register_tables(_raw(spark, directory), prefix="sample_")
+    register_tables(sample_tables(spark, directory), prefix="sample_")
     return spark.sql(
         """
         SELECT o.order_status, count(*) AS item_count, count(DISTINCT i.seller_id) AS seller_count
@@ -82,191 +78,17 @@ def _register_tables(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _export_report_csv(spark: SparkSession, directory: str) -> DataFrame:
-    report = _bucket_report(spark, directory)
+    """A report written as CSV and read back."""
+    report = sample_analysis(spark, directory).jobs()["delivery_bucket_bad_reviews"]()
     path = new_folder(spark, "report-csv")
-    csv.write_report(report, path)
-    return csv.read_csv_table(spark, path, report.schema)
-
-
-def _bucket_report(spark: SparkSession, directory: str) -> DataFrame:
-    return delivery.bad_reviews_by_bucket(
-        _analysis(spark, directory).reviewed, THRESHOLDS.bounds, THRESHOLDS.bad_max
-    )
-
-
-def _on_raw(job: Callable[[Mapping[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: job(_raw(spark, directory))
-
-
-def _on_fixed(job: Callable[[Mapping[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: job(_fixed(spark, directory))
-
-
-def _on(job: Callable[[Analysis], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: job(_analysis(spark, directory))
-
-
-def _export(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, directory: _analysis(spark, directory).exports()[name]()
+    write_report(report, path)
+    return read_csv_table(spark, path, report.schema)
 
 
 def sample_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    t, category, label = THRESHOLDS, "product_category_name", "product_category_name_english"
     return {
-        # Ingest and sinks
         "load_reviews_csv": _load_reviews_csv,
-        "table_row_counts": _on_raw(q.table_row_counts),
         "register_tables": _register_tables,
         "export_report_csv": _export_report_csv,
-        # Profiling and quality checks
-        "join_key_match": _on_raw(
-            lambda d: q.join_key_match(
-                d["orders"], d["customers"], "customer_id", "customer_id", ["customer_id", "customer_unique_id"]
-            )
-        ),
-        "blank_category_profile": _on_raw(lambda d: q.blank_profile(d["products"], category, "product_count")),
-        "unmatched_categories": _on_raw(
-            lambda d: q.unmatched_keys(
-                ops.blank_to_null(d["products"], category), d["category_translation"], category, "product_count"
-            )
-        ),
-        "category_labels_sorted": _on_raw(lambda d: q.category_labels(d["category_translation"])),
-        "category_dimensions_telephony": _on_raw(
-            lambda d: q.category_dimensions(d["products"], d["category_translation"], C.TELEPHONY_LABELS)
-        ),
-        "category_dimensions_kitchen": _on_fixed(
-            lambda d: q.category_dimensions(d["products"], d["category_translation"], C.KITCHEN_LABELS, True)
-        ),
-        "duplicate_labels": _on_fixed(lambda d: q.duplicate_values(d["category_translation"], label, "label_count")),
-        "review_id_uniqueness": _on_raw(
-            lambda d: q.key_uniqueness(d["reviews"], "review_id", "total_rows", "unique_review_ids")
-        ),
-        "review_order_id_uniqueness": _on_raw(
-            lambda d: q.key_uniqueness(d["reviews"], "order_id", "total_rows", "unique_order_ids")
-        ),
-        "deduped_order_uniqueness": _on_raw(
-            lambda d: q.key_uniqueness(ops.reviews_deduped(d["reviews"]), "order_id", "total", "unique_orders")
-        ),
-        "duplicate_review_ids": _on_raw(
-            lambda d: q.duplicate_rows_ranked(
-                d["reviews"],
-                "review_id",
-                "order_id",
-                300,
-                F.col("review_comment_message").isNotNull(),
-                ["review_creation_date"],
-            )
-        ),
-        "duplicate_order_ids": _on_raw(
-            lambda d: q.duplicate_rows_ranked(
-                d["reviews"], "order_id", "review_id", 300, ties=["review_creation_date"]
-            )
-        ),
-        "multi_review_vs_products": _on_raw(
-            lambda d: q.reviews_vs_products(d["orders"], d["reviews"], d["order_items"], 300)
-        ),
-        "shared_review_gap": _on_raw(lambda d: q.shared_review_gap(d["reviews"], d["orders"], 2000)),
-        "null_counts_reviews": _on_raw(
-            lambda d: q.null_counts(ops.reviews_deduped(d["reviews"]), "reviews_deduped", NULL_REVIEW)
-        ),
-        "null_counts_orders": _on_raw(lambda d: q.null_counts(d["orders"], "orders", NULL_ORDER)),
-        "null_counts_order_items": _on_raw(lambda d: q.null_counts(d["order_items"], "order_items", NULL_ITEM)),
-        "order_status_distribution": _on_raw(
-            lambda d: q.share_of_total(
-                d["orders"],
-                "order_status",
-                "order_count",
-                [*descending("order_count"), *ascending("order_status")],
-            )
-        ),
-        "delivered_without_date": _on_raw(lambda d: q.delivered_without_date(d["orders"], DELIVERED)),
-        "zero_day_deliveries": _on_raw(
-            lambda d: q.count_where(_all_delivered(d), F.col("delivery_days") == 0, "zero_day_deliveries")
-        ),
-        "very_long_deliveries": _on_raw(
-            lambda d: q.count_where(_all_delivered(d), F.col("delivery_days") > LONG_DAYS, "very_long_deliveries")
-        ),
-        "reconcile_row_count": _on(lambda a: q.reconcile_count(a.clean, _all_delivered(a.tables))),
-        "primary_key_check": _on_fixed(
-            lambda d: q.primary_key_summary({n: (d[n], keys) for n, keys in q.PRIMARY_KEYS.items()})
-        ),
-        "primary_key_violations": _on_fixed(
-            lambda d: q.primary_key_check(d["order_items"], q.PRIMARY_KEYS["order_items"])
-        ),
-        "foreign_key_check": _on_fixed(lambda d: q.foreign_key_summary(d, q.FOREIGN_KEYS)),
-        "foreign_key_check_before_fixes": _on_raw(lambda d: q.foreign_key_summary(d, q.FOREIGN_KEYS[-1:])),
-        # Fixes and derived tables
-        "blank_to_null": _on_raw(
-            lambda d: ops.blank_to_null(d["products"], category).select("product_id", category)
-        ),
-        "append_missing_translations": _on_raw(
-            lambda d: ops.append_rows(d["category_translation"], UNTRANSLATED)
-        ),
-        "correct_labels": _on_raw(
-            lambda d: ops.correct_labels(d["category_translation"], C.LABEL_CORRECTIONS, label)
-        ),
-        "reviews_deduped": _on_raw(lambda d: ops.reviews_deduped(d["reviews"])),
-        "order_scores": _on_raw(lambda d: ops.order_scores(d["reviews"])),
-        "orders_clean_all_days": _on_raw(_all_delivered),
-        "orders_clean": _on(lambda a: a.clean),
-        "order_freight": _on_raw(
-            lambda d: ops.order_freight(d["order_items"]).withColumn(
-                "total_freight", F.col("total_freight").cast("double")
-            )
-        ),
-        "order_seller_groups": _on(lambda a: a.seller_groups),
-        "seller_orders": _on(lambda a: ops.among_clean(a.seller_pairs, a.clean)),
-        "category_orders": _on(lambda a: ops.among_clean(a.category_pairs, a.clean)),
-        # Scores, delivery time and delay
-        "review_score_distribution": _on(lambda a: delivery.review_score_distribution(a.scores)),
-        "delivery_days_distribution": _on(
-            lambda a: _rounded(
-                delivery.delivery_days_distribution(_all_delivered(a.tables)), *delivery.QUARTILES_AND_P90
-            )
-        ),
-        "delivery_delay_distribution": _on(
-            lambda a: _rounded(delivery.delivery_delay_distribution(a.clean), *delivery.QUARTILES_AND_P90)
-        ),
-        "late_vs_on_time": _on(lambda a: delivery.late_vs_on_time(a.reviewed)),
-        "score_vs_delivery_days": _export("score_vs_delivery_days"),
-        "delivery_bucket_bad_reviews": _bucket_report,
-        "score_vs_delay": _export("score_vs_delay"),
-        "headline_kpis": _export("headline_kpis"),
-        # Freight
-        "score_vs_freight": lambda s, d: _rounded(_export("score_vs_freight")(s, d), "median_freight"),
-        "freight_by_delivery_bucket": _export("freight_by_delivery_bucket"),
-        "freight_percentiles_by_score": _on(
-            lambda a: freight.freight_percentiles_by_score(a.reviewed, a.freight)
-        ),
-        # Sellers
-        "seller_volume_percentiles": _on(
-            lambda a: _rounded(risk.seller_volume_percentiles(a.seller_pairs), *risk.SELLER_VOLUME_PERCENTILES)
-        ),
-        "seller_volume_thresholds": _on(lambda a: risk.seller_volume_thresholds(a.seller_pairs, VOLUME_CUTS)),
-        "worst_sellers": _export("worst_sellers"),
-        "seller_risk_all": _on(
-            lambda a: risk.seller_risk_all(a.seller_pairs, a.reviewed, t.min_seller_orders, t.bad_max)
-        ),
-        "multi_seller_by_bucket": _export("multi_seller_by_bucket"),
-        "seller_risk_segments": _export("seller_risk_segments"),
-        # Categories
-        "category_volume_distribution": _on(
-            lambda a: _rounded(
-                risk.category_volume_distribution(ops.among_clean(a.category_pairs, a.clean)),
-                *risk.CATEGORY_VOLUME_PERCENTILES,
-            )
-        ),
-        "category_risk": _export("category_risk"),
-        # Reported figures without a query of their own
-        "dedup_policy_sensitivity": _on(
-            lambda a: policy.dedup_policy_sensitivity(a.clean, a.tables["reviews"], t.bad_max)
-        ),
-        "tied_lowest_reviews": _on_raw(lambda d: policy.tied_lowest_reviews(d["reviews"])),
-        "shared_review_gap_within": _on_raw(
-            lambda d: q.shared_review_gap_within(d["reviews"], d["orders"], NEAR_SECONDS)
-        ),
-        "seller_group_median_days": _on(
-            lambda a: _rounded(risk.seller_group_median_days(a.reviewed, a.seller_groups), "median_delivery_days")
-        ),
-        "split_order_share": _on(lambda a: risk.split_order_share(a.reviewed, a.seller_groups)),
+        **{name: _job(name) for name in Analysis({}, PARAMETERS).jobs()},
     }

@@ -57,87 +57,77 @@ def sample_tables(spark: SparkSession, directory: str) -> Tables:
 
     return Tables(
         {
-            "customers": lambda: table("customer").select(
-                F.col("c_custkey").alias("customer_id"),
-                (F.col("c_custkey") + F.col("c_nationkey")).alias("customer_unique_id"),
-            ),
-            "geolocation": lambda: table("customer").select(
-                F.col("c_nationkey").alias("geolocation_zip_code_prefix")
+            "customers": lambda: table("customer").selectExpr(
+                "c_custkey AS customer_id", "c_custkey + c_nationkey AS customer_unique_id"
             ),
+            "geolocation": lambda: table("customer").selectExpr("c_nationkey AS geolocation_zip_code_prefix"),
             "order_items": lambda: _order_items(table("lineitem")),
-            "payments": lambda: table("orders").select(F.col("o_orderkey").alias("order_id")),
+            "payments": lambda: table("orders").selectExpr("o_orderkey AS order_id"),
             "reviews": lambda: _reviews(table("events")),
             "orders": lambda: _orders(table("orders"), table("lineitem")),
             "products": lambda: _products(table("part")),
-            "sellers": lambda: table("supplier").select(F.col("s_suppkey").alias("seller_id")),
+            "sellers": lambda: table("supplier").selectExpr("s_suppkey AS seller_id"),
             "category_translation": lambda: _translation(table("part")),
         }
     )
 
 
 def _orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    shipped = lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("order_delivered_customer_date"))
-    return orders.join(shipped, orders.o_orderkey == shipped.l_orderkey, "left").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        "order_delivered_customer_date",
-        (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(ESTIMATE_DAYS))).alias(
-            "order_estimated_delivery_date"
-        ),
+    shipped = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("shipped"))
+    return orders.join(shipped, "o_orderkey", "left").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "o_orderstatus AS order_status",
+        "o_orderdate AS order_purchase_timestamp",
+        "shipped AS order_delivered_customer_date",
+        f"o_orderdate + INTERVAL '{ESTIMATE_DAYS}' DAY AS order_estimated_delivery_date",
     )
 
 
 def _order_items(lineitem: DataFrame) -> DataFrame:
-    money = F.col("l_extendedprice").cast("decimal(12,2)")
-    return lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        money.alias("price"),
-        money.alias("freight_value"),
+    return lineitem.selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS price",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS freight_value",
     )
 
 
 def _reviews(events: DataFrame) -> DataFrame:
-    kind = F.col("event_type")
-    return events.select(
-        F.col("user_id").alias("review_id"),
-        F.shiftright("event_id", 1).alias("order_id"),
-        F.when(kind == "error", 1)
-        .when(kind == "view", 2)
-        .when(kind == "click", 3)
-        .when(kind == "signup", 4)
-        .when(kind == "purchase", 5)
-        .alias("review_score"),
-        kind.alias("review_comment_title"),
-        F.when(kind != "signup", F.col("props")).alias("review_comment_message"),
-        F.col("ts").alias("review_creation_date"),
-        F.col("ts").alias("review_answer_timestamp"),
+    return events.selectExpr(
+        "user_id AS review_id",
+        "event_id DIV 2 AS order_id",
+        """CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3
+           WHEN 'signup' THEN 4 WHEN 'purchase' THEN 5 END AS review_score""",
+        "event_type AS review_comment_title",
+        "CASE WHEN event_type <> 'signup' THEN props END AS review_comment_message",
+        "ts AS review_creation_date",
+        "ts AS review_answer_timestamp",
     )
 
 
 def _products(part: DataFrame) -> DataFrame:
-    size = F.col("p_size")
-    return part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(size == 1, "").when(size != 2, F.col("p_brand")).alias("product_category_name"),
-        F.col("p_retailprice").alias("product_weight_g"),
-        size.cast("double").alias("product_length_cm"),
-        (size / 4).alias("product_height_cm"),
+    return part.selectExpr(
+        "p_partkey AS product_id",
+        "CASE p_size WHEN 1 THEN '' WHEN 2 THEN NULL ELSE p_brand END AS product_category_name",
+        "p_retailprice AS product_weight_g",
+        "CAST(p_size AS DOUBLE) AS product_length_cm",
+        "p_size / 4 AS product_height_cm",
     )
 
 
 def _translation(part: DataFrame) -> DataFrame:
-    brand = F.col("p_brand")
-    label = F.lower(F.replace(brand, F.lit("#"), F.lit("_")))
-    for value, text in RAW_LABELS.items():
-        label = F.when(brand == value, text).otherwise(label)
+    labels = " ".join(f"WHEN '{brand}' THEN '{label}'" for brand, label in RAW_LABELS.items())
+    untranslated = [brand for brand, _ in UNTRANSLATED]
     return (
         part.select("p_brand")
         .distinct()
-        .where(~brand.isin(*[name for name, _ in UNTRANSLATED]))
-        .select(brand.alias("product_category_name"), label.alias("product_category_name_english"))
+        .where(~F.col("p_brand").isin(*untranslated))
+        .selectExpr(
+            "p_brand AS product_category_name",
+            f"""CASE p_brand {labels} ELSE lower(replace(p_brand, '#', '_')) END
+                AS product_category_name_english""",
+        )
     )

@@ -91,7 +91,7 @@ def test_freight_is_summed_in_exact_cents(spark):
 def test_several_items_of_a_seller_are_one_pair(spark):
     items = m.items(spark, [("o1", "p1", "s1", "1")] * 3 + [("o2", "p1", "s1", "1"), ("o2", "p2", "s2", "1")])
     assert rows(ops.seller_pairs(items), "seller_id", "order_id") == [("s1", "o1"), ("s1", "o2"), ("s2", "o2")]
-    groups = {r["order_id"]: r["seller_group"] for r in ops.order_seller_groups(items).collect()}
+    groups = {r["order_id"]: r["seller_group"] for r in ops.order_item_facts(items).collect()}
     assert groups == {"o1": "1 seller", "o2": "2+ sellers"}
 
 

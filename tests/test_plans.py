@@ -128,8 +128,8 @@ def test_one_shuffle_per_table_and_one_for_the_buckets(spark, market):
 def test_freight_report_runs_its_joins_once(spark, market):
     analysis, _ = market
     for report in (
-        freight.freight_by_delivery_bucket(analysis.reviewed, analysis.freight),
-        freight.freight_percentiles_by_score(analysis.reviewed, analysis.freight),
+        freight.freight_by_delivery_bucket(analysis.reviewed_with_items),
+        freight.freight_percentiles_by_score(analysis.reviewed_with_items),
     ):
         plan = final_plan(report)
         assert plan.count("ReusedExchange") >= 2
@@ -179,7 +179,7 @@ def test_hot_product_is_split_when_products_are_too_large_to_broadcast(spark, ma
         spark__sql__adaptive__skewJoin__skewedPartitionFactor=2,
         spark__sql__adaptive__coalescePartitions__minPartitionSize="1k",
     ):
-        pairs = Analysis(analysis.tables).category_pairs
+        pairs = Analysis(analysis.raw).category_pairs
         found = {tuple(r) for r in pairs.collect()}
         plan = initial_plan(pairs)
     assert "SortMergeJoin(skew=true)" in plan

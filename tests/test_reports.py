@@ -65,17 +65,19 @@ def test_distribution_of_delay(spark):
 def test_headline_counts_orders_without_review(spark):
     clean = ops.orders_clean(m.delivered(spark, [1, 3, 9, 50]), 0)
     scores = ops.order_scores(m.reviews(spark, [("a", "o0", 1), ("b", "o1", 5), ("b", "o1", 4), ("c", "o2", 3), ("d", "zz", 1)]))
-    assert tuple(delivery.headline_kpis(clean, scores).first()) == (4, 3, 3.0, 66.7)
-    assert tuple(delivery.headline_kpis(clean.limit(0), scores).first()) == (0, 0, None, None)
+    assert tuple(delivery.headline_kpis(ops.scored_orders(clean, scores)).first()) == (4, 3, 3.0, 66.7)
+    empty = ops.scored_orders(clean.limit(0), scores)
+    assert tuple(delivery.headline_kpis(empty).first()) == (0, 0, None, None)
 
 
-def freight_of(spark, amounts):
-    return ops.order_freight_cents(m.items(spark, [(f"o{i}", "p", "s", a) for i, a in enumerate(amounts)]))
+def with_freight(spark, reviewed_orders, amounts):
+    items = m.items(spark, [(f"o{i}", "p", "s", a) for i, a in enumerate(amounts)])
+    return reviewed_orders.join(ops.order_item_facts(items), "order_id")
 
 
 def test_empty_freight_half_is_null_and_no_error(spark):
     base = reviewed(spark, [(1, 1), (1, 5), (10, 1), (10, 5), (10, 5), (40, 5)])
-    report = freight.freight_by_delivery_bucket(base, freight_of(spark, ["1", "2", "9", "9", "9", None]))
+    report = freight.freight_by_delivery_bucket(with_freight(spark, base, ["1", "2", "9", "9", "9", None]))
     assert [tuple(r) for r in report.collect()] == [
         ("1. 0-7 days", 2, 50.0, 0, None),
         ("2. 8-14 days", 3, 33.3, 0, None),
@@ -85,19 +87,19 @@ def test_empty_freight_half_is_null_and_no_error(spark):
 
 def test_freight_split_at_a_median_between_two_orders(spark):
     base = reviewed(spark, [(1, 1), (1, 5), (1, 2), (1, 5)])
-    report = freight.freight_by_delivery_bucket(base, freight_of(spark, ["1.00", "1.01", "1.02", "5"]))
+    report = freight.freight_by_delivery_bucket(with_freight(spark, base, ["1.00", "1.01", "1.02", "5"]))
     assert [tuple(r) for r in report.collect()] == [("1. 0-7 days", 2, 50.0, 2, 50.0)]
 
 
 def test_score_vs_freight(spark):
     base = reviewed(spark, [(1, 1), (1, 1), (1, 1), (1, 5), (1, None)])
-    amounts = freight_of(spark, ["1.00", "2.01", None, "3.50", "7"])
-    assert [tuple(r) for r in freight.score_vs_freight(base, amounts).collect()] == [
+    orders = with_freight(spark, base, ["1.00", "2.01", None, "3.50", "7"])
+    assert [tuple(r) for r in freight.score_vs_freight(orders).collect()] == [
         (1, 3, 1.51, 1.505),
         (5, 1, 3.5, 3.5),
         (None, 1, 7.0, 7.0),
     ]
-    table = freight.freight_percentiles_by_score(base, amounts).collect()
+    table = freight.freight_percentiles_by_score(orders).collect()
     assert [tuple(r) for r in table] == [
         (1, 3, 1.25, 1.51, 1.76, 2.0),
         (5, 1, 3.5, 3.5, 3.5, 3.5),
@@ -163,14 +165,14 @@ def test_volumes(spark):
 def test_split_orders(spark):
     base = reviewed(spark, [(7, 1), (10, 5), (12, 5), (40, 2)])
     items = m.items(spark, [("o0", "p", "a", "1"), ("o0", "p", "b", "1"), ("o1", "p", "a", "1"), ("o1", "q", "a", "1"), ("o2", "p", "a", "1"), ("o3", "p", "a", "1")])
-    groups = ops.order_seller_groups(items)
-    assert [tuple(r) for r in risk.multi_seller_by_bucket(base, groups).collect()] == [
+    orders = base.join(ops.order_item_facts(items), "order_id")
+    assert [tuple(r) for r in risk.multi_seller_by_bucket(orders).collect()] == [
         ("1. 0-7 days", "2+ sellers", 1, 1, 100.0),
         ("2. 8-14 days", "1 seller", 2, 0, 0.0),
         ("5. 31+ days", "1 seller", 1, 1, 100.0),
     ]
-    assert tuple(risk.split_order_share(base, groups).first()) == (1, 4, 25.0)
-    assert [tuple(r) for r in risk.seller_group_median_days(base, groups).collect()] == [
+    assert tuple(risk.split_order_share(orders).first()) == (1, 4, 25.0)
+    assert [tuple(r) for r in risk.seller_group_median_days(orders).collect()] == [
         ("1 seller", 3, 12.0),
         ("2+ sellers", 1, 7.0),
     ]
