@@ -227,6 +227,11 @@ def _foreign_key(child: str, parent: str, key: str, child_source: str, parent_so
           AND NOT EXISTS (SELECT 1 FROM {parent_source} AS parent WHERE parent.{key} = child.{key})"""
 
 
+def _uniqueness(source: str, key: str, total_name: str, unique_name: str) -> str:
+    return f"""SELECT {_count('n')} AS {total_name}, count({key}) AS {unique_name}
+        FROM (SELECT {key}, count(*) AS n FROM {source} GROUP BY {key})"""
+
+
 def _policy(name: str, score: str) -> str:
     return f"""SELECT '{name}' AS policy, count(*) AS reviewed_orders,
             count(*) FILTER (WHERE score <= {PARAMETERS.bad_max}) AS bad_reviews,
@@ -321,9 +326,9 @@ def sample_oracle() -> dict[str, str]:
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderstatus""",
         "export_report_csv": bucket_report,
         "join_key_match": _with(
-            """SELECT count(*) FILTER (WHERE o.customer_id = c.customer_id) AS customer_id_match,
-                   count(*) FILTER (WHERE o.customer_id = c.customer_unique_id) AS customer_unique_id_match
-               FROM t_orders o FULL JOIN t_customers c ON o.customer_id = c.customer_id""",
+            """SELECT (SELECT count(*) FROM t_orders JOIN t_customers USING (customer_id)) AS customer_id_match,
+                   (SELECT count(*) FROM t_orders JOIN t_customers USING (customer_id)
+                    WHERE customer_unique_id = customer_id) AS customer_unique_id_match""",
             "t_orders",
             "t_customers",
         ),
@@ -355,15 +360,15 @@ def sample_oracle() -> dict[str, str]:
             "translation_fixed",
         ),
         "review_id_uniqueness": _with(
-            "SELECT count(*) AS total_rows, count(DISTINCT review_id) AS unique_review_ids FROM t_reviews",
+            _uniqueness("t_reviews", "review_id", "total_rows", "unique_review_ids"),
             "t_reviews",
         ),
         "review_order_id_uniqueness": _with(
-            "SELECT count(*) AS total_rows, count(DISTINCT order_id) AS unique_order_ids FROM t_reviews",
+            _uniqueness("t_reviews", "order_id", "total_rows", "unique_order_ids"),
             "t_reviews",
         ),
         "deduped_order_uniqueness": _with(
-            "SELECT count(*) AS total, count(DISTINCT order_id) AS unique_orders FROM deduped", "deduped"
+            _uniqueness("deduped", "order_id", "total", "unique_orders"), "deduped"
         ),
         "duplicate_review_ids": _with(
             """SELECT *, CAST(rank() OVER (PARTITION BY review_id ORDER BY order_id) AS INTEGER) AS rnk
@@ -381,10 +386,14 @@ def sample_oracle() -> dict[str, str]:
             "t_reviews",
         ),
         "multi_review_vs_products": _with(
-            """SELECT order_id, count(DISTINCT review_id) AS review_count,
-                   count(DISTINCT product_id) AS product_count
-               FROM t_orders JOIN t_reviews USING (order_id) JOIN t_items USING (order_id)
-               GROUP BY order_id HAVING review_count > 1
+            """SELECT * FROM (
+                   SELECT o.order_id,
+                       (SELECT count(DISTINCT r.review_id) FROM t_reviews r WHERE r.order_id = o.order_id)
+                           AS review_count,
+                       (SELECT count(DISTINCT i.product_id) FROM t_items i WHERE i.order_id = o.order_id)
+                           AS product_count
+                   FROM t_orders o)
+               WHERE review_count > 1 AND product_count > 0
                ORDER BY review_count DESC, order_id LIMIT 300""",
             "t_orders",
             "t_reviews",
