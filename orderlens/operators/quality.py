@@ -21,6 +21,16 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+# A join side cut to this many key values is small whatever the tables hold.
+_BROADCAST_KEYS = 100_000
+
+
+def _first_keys(keys: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows, to join with: broadcast when the limit itself keeps them few."""
+    first = keys.orderBy(*order).limit(limit)
+    return F.broadcast(first) if limit <= _BROADCAST_KEYS else first
+
+
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: its name and row count. Parquet answers from its footers."""
     return _union(
@@ -120,15 +130,14 @@ def duplicate_rows_ranked(
     first ``limit`` rows too, so it is computed after the cut.
     """
     kept = F.lit(True) if keep is None else keep
-    first_keys = (
+    repeated = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count("*").alias("_rows"), F.count_if(kept).alias("_kept"))
         .where((F.col("_rows") > 1) & (F.col("_kept") > 0))
         .select(key)
-        .orderBy(*ascending(key))
-        .limit(limit)
     )
+    first_keys = _first_keys(repeated, ascending(key), limit)
     order = ascending(key, order_by, *ties)
     first_rows = df.where(kept).join(first_keys, key, "left_semi").orderBy(*order).limit(limit)
     rank = F.rank().over(Window.partitionBy(key).orderBy(*ascending(order_by)))
@@ -148,18 +157,17 @@ def reviews_vs_products(orders: DataFrame, reviews: DataFrame, items: DataFrame,
         .where(F.col("review_count") > 1)
     )
     order = [*descending("review_count"), *ascending("order_id")]
-    first = (
-        many_reviews.join(orders.select("order_id"), "order_id", "left_semi")
-        .join(items.select("order_id").distinct(), "order_id", "left_semi")
-        .orderBy(*order)
-        .limit(limit)
+    complete = many_reviews.join(orders.select("order_id"), "order_id", "left_semi").join(
+        items.select("order_id").distinct(), "order_id", "left_semi"
     )
-    products = (
-        items.join(first.select("order_id"), "order_id", "left_semi")
-        .groupBy("order_id")
+    first = _first_keys(complete, order, limit)
+    return (
+        items.select("order_id", "product_id")
+        .join(first, "order_id")
+        .groupBy("order_id", "review_count")
         .agg(F.count_distinct("product_id").alias("product_count"))
+        .orderBy(*order)
     )
-    return first.join(products, "order_id").orderBy(*order)
 
 
 def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int) -> DataFrame:
@@ -176,12 +184,8 @@ def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int) -> Data
         .select("review_id")
         .distinct()
     )
-    first_keys = (
-        repeated.join(with_order, "review_id", "left_semi")
-        .select("review_id")
-        .orderBy(*ascending("review_id"))
-        .limit(limit + 1)
-    )
+    shared = repeated.join(with_order, "review_id", "left_semi").select("review_id")
+    first_keys = _first_keys(shared, ascending("review_id"), limit + 1)
     order = ascending("review_id", "order_purchase_timestamp", "order_id", "review_comment_message")
     first_rows = (
         reviews.join(first_keys, "review_id", "left_semi")
