@@ -32,7 +32,7 @@ def ratio(part: Column, whole: Column, scale: int) -> Column:
     """``part / whole`` of two whole numbers, rounded half away from zero.
 
     The division is done on decimals with 16 fractional digits: enough to tell a
-    rounding tie from its neighbours for any count below 10^14. A zero ``whole``
+    rounding tie from its neighbours for any count below 10^11. A zero ``whole``
     gives NULL, where ANSI mode would raise.
     """
     quotient = part.cast("decimal(22,0)") / F.nullif(whole.cast("decimal(18,0)"), F.lit(0).cast("decimal(18,0)"))

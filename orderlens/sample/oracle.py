@@ -254,6 +254,15 @@ def sample_oracle() -> dict[str, str]:
     median = "(SELECT quantile_cont(total_freight, 0.5) FROM freight JOIN reviewed USING (order_id))"
     platform = f"(SELECT {_BAD_PCT} FROM reviewed)"
     high = f"{t.high_risk_pct:g}"
+    reviews_csv = _with(
+        """SELECT * REPLACE (
+               review_comment_message || chr(10) || 'said "' || review_comment_title || '"'
+                   AS review_comment_message,
+               CASE review_score WHEN 1 THEN '' WHEN 2 THEN NULL ELSE review_comment_title END
+                   AS review_comment_title)
+           FROM t_reviews""",
+        "t_reviews",
+    )
     row_counts = {
         "customers": "customer",
         "geolocation": "customer",
@@ -304,15 +313,8 @@ def sample_oracle() -> dict[str, str]:
                 AS pct_of_all_bad_reviews
         FROM seller_rates GROUP BY 1 ORDER BY 1"""
     return {
-        "load_reviews_csv": _with(
-            """SELECT * REPLACE (
-                   review_comment_message || chr(10) || 'said "' || review_comment_title || '"'
-                       AS review_comment_message,
-                   CASE review_score WHEN 1 THEN '' WHEN 2 THEN NULL ELSE review_comment_title END
-                       AS review_comment_title)
-               FROM t_reviews""",
-            "t_reviews",
-        ),
+        "load_reviews_csv": reviews_csv,
+        "load_reviews_csv_by_lines": reviews_csv,
         "table_row_counts": _with(
             "\nUNION ALL ".join(
                 f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {source}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def _job(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def _load_reviews_csv(spark: SparkSession, directory: str) -> DataFrame:
+def _load_reviews_csv(spark: SparkSession, directory: str, **options: int) -> DataFrame:
     """Reviews written as CSV with newlines, quotes, blanks and NULLs in cells, and read back."""
     score, title, message = F.col("review_score"), F.col("review_comment_title"), F.col("review_comment_message")
     reviews = sample_tables(spark, directory)["reviews"].withColumns(
@@ -63,7 +64,7 @@ def _load_reviews_csv(spark: SparkSession, directory: str) -> DataFrame:
     )
     path = new_folder(spark, "reviews-csv")
     write_csv(reviews, path)
-    return read_csv_table(spark, path, reviews.schema, multiline=True)
+    return read_csv_table(spark, path, reviews.schema, multiline=True, **options)
 
 
 def _register_tables(spark: SparkSession, directory: str) -> DataFrame:
@@ -88,6 +89,7 @@ def _export_report_csv(spark: SparkSession, directory: str) -> DataFrame:
 def sample_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_reviews_csv": _load_reviews_csv,
+        "load_reviews_csv_by_lines": partial(_load_reviews_csv, whole_file_bytes=0),
         "register_tables": _register_tables,
         "export_report_csv": _export_report_csv,
         **{name: _job(name) for name in Analysis({}, PARAMETERS).jobs()},

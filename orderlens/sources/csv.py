@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.sources.catalog import Tables
+from orderlens.sources.catalog import Tables, stored
 from orderlens.sources.schemas import TABLE_SCHEMAS, TABLES_WITH_NEWLINES
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -18,31 +18,109 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 _BLANK = "\u001a"
 
 
+_READ_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "",
+    "emptyValue": _BLANK,
+    "timestampNTZFormat": TIMESTAMP_FORMAT,
+    "mode": "FAILFAST",
+}
+
+# Files with multi-line cells are read whole, one per task, up to this size.
+WHOLE_FILE_BYTES = 256 * 1024 * 1024
+
+
 def read_csv_table(
-    spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    multiline: bool = False,
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
     """A CSV file or folder with a header. ``""`` is empty text, an empty cell is NULL.
 
     A malformed row is an error. Set ``multiline`` when cells hold newlines, as
-    review comments do. Spark then reads each file in one task, so such a table
-    should arrive as many files; any other is split by size.
+    review comments do. Spark reads such a file in one task, so a folder with a
+    file above ``whole_file_bytes`` is read by lines that are then put together.
     """
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", _BLANK)
-        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    if multiline and _largest_file(spark, path) > whole_file_bytes:
+        df = _assembled_records(spark, path, schema)
+    else:
+        options = {**_READ_OPTIONS, "header": True, "multiLine": multiline}
+        df = spark.read.schema(schema).options(**options).csv(path)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.when(F.col(c) == _BLANK, "").otherwise(F.col(c)) for c in texts})
 
 
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Size of the largest file, from the file listing; no content is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
+def _assembled_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Records of CSV files that are split by size, even inside a cell.
+
+    A line is inside a cell when an odd number of quotes comes before it in the
+    file. Lines are numbered within the block of the file they were read from,
+    and stored, so that every step sees the same blocks. The quotes of earlier
+    blocks are added up over one row per block; within a block, a window counts
+    the rest. The lines of one record are then joined and parsed.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = stored(
+        spark.read.option("lineSep", "\n").text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            F.pmod(quotes, F.lit(2)).alias("odd"),
+            "value",
+        ),
+        "csv-lines",
+    )
+    block = ["file", "block"]
+    earlier_blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_lines = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines_so_far = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+
+    opened = (
+        lines.groupBy(*block)
+        .agg(F.sum("odd").alias("odd_lines"))
+        .select(*block, F.coalesce(F.sum("odd_lines").over(earlier_blocks), F.lit(0)).alias("opened"))
+    )
+    before = F.col("opened") + F.coalesce(F.sum("odd").over(earlier_lines), F.lit(0))
+    marked = lines.join(opened, block).withColumn(
+        "start", F.when(F.pmod(before, F.lit(2)) == 0, F.struct("block", "line"))
+    )
+    # A record may begin in an earlier block than the line, even some blocks back.
+    carried = (
+        marked.groupBy(*block)
+        .agg(F.max("start").alias("last_start"))
+        .select(*block, F.last("last_start", ignorenulls=True).over(earlier_blocks).alias("carried"))
+    )
+    header = F.struct(F.lit(0).cast("long"), F.min("line").over(Window.partitionBy(*block)))
+    records = (
+        marked.withColumns(
+            {
+                "is_header": F.col("start").eqNullSafe(header),
+                "start": F.last("start", ignorenulls=True).over(lines_so_far),
+            }
+        )
+        .join(carried, block)
+        .groupBy("file", F.coalesce("start", "carried").alias("start"))
+        .agg(
+            F.max("is_header").alias("is_header"),
+            F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("lines"),
+        )
+        .where(~F.col("is_header"))
+        .select(F.regexp_replace(F.array_join("lines.value", "\n"), "\r$", "").alias("record"))
+        .where(F.col("record") != "")
+    )
+    ddl = schema if isinstance(schema, str) else spark.createDataFrame([], schema).schema.toDDL()
+    parsed = F.from_csv("record", ddl, {**_READ_OPTIONS, "multiLine": "true"})
+    return records.select(parsed.alias("parsed")).select("parsed.*")
+
+
 def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> Tables:
     """The tables of ``TABLE_SCHEMAS`` that have a path, each read on first use."""
     return Tables(

@@ -1,4 +1,5 @@
 import csv as python_csv
+import random
 from pathlib import Path
 
 import pytest
@@ -74,3 +75,39 @@ def test_schemas_parse_and_views_register(spark):
     register_tables(tables, prefix="t_")
     assert spark.table("t_orders").columns == tables["orders"].columns
     assert spark.sql("SELECT count(*) AS n FROM t_reviews").first()["n"] == 0
+
+
+def awkward_cells(rng):
+    """Cells of quotes, newlines and commas, so that blocks end in every possible place."""
+    pieces = ["a", '"', "\n", ",", "word", "\n\n", '""', " ", "x\ny"]
+    return "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+
+
+@pytest.mark.parametrize("block_bytes", [11, 90])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_across_blocks_match_the_plain_parser(spark, tmp_path, block_bytes, end):
+    rng = random.Random(block_bytes)
+    rows = [(f"k{i}", awkward_cells(rng), rng.choice(["", "t"])) for i in range(14)]
+    for part in range(2):
+        with open(tmp_path / f"part-{part}.csv", "w", newline="") as file:
+            writer = python_csv.writer(file, quoting=python_csv.QUOTE_ALL, lineterminator=end)
+            writer.writerow(["k", "v", "w"])
+            writer.writerows(rows[part::2])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
+    try:
+        df = csv.read_csv_table(spark, str(tmp_path), "k string, v string, w string", True, whole_file_bytes=0)
+        assert sorted(map(tuple, df.collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_assembled_records_are_typed_and_checked(spark, tmp_path):
+    path = tmp_path / "reviews.csv"
+    path.write_text(REVIEW_FILE)
+    whole = csv.read_csv_table(spark, str(path), TABLE_SCHEMAS["reviews"], True)
+    split = csv.read_csv_table(spark, str(path), TABLE_SCHEMAS["reviews"], True, whole_file_bytes=0)
+    assert split.schema == whole.schema
+    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+    path.write_text('k,n\n"a",1\n"b",none\n')
+    with pytest.raises(Exception, match="Malformed records"):
+        csv.read_csv_table(spark, str(path), "k string, n int", True, whole_file_bytes=0).collect()
