@@ -7,7 +7,6 @@ share of the rows is one row per task by the time it is shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -234,7 +233,7 @@ def shared_review_gap_within(
         .join(purchases.where(F.col("_moment").isNotNull()), "order_id")
         .groupBy("review_id", "_moment")
         .agg(F.sum("_rows").alias("_rows"))
-        .withColumn("_hour", whole_hours(F.col("_moment"), F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")))
+        .withColumn("_hour", whole_hours(F.col("_moment"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
     )
     in_hour = Window.partitionBy("review_id", "_hour").orderBy("_moment")
     across_hours = Window.partitionBy("review_id").orderBy("_hour")

@@ -116,7 +116,7 @@ def _assembled_records(spark: SparkSession, path: str, schema: T.StructType | st
         .select(F.regexp_replace(F.array_join("lines.value", "\n"), "\r$", "").alias("record"))
         .where(F.col("record") != "")
     )
-    ddl = schema if isinstance(schema, str) else spark.createDataFrame([], schema).schema.toDDL()
+    ddl = schema if isinstance(schema, str) else schema.toDDL()
     parsed = F.from_csv("record", ddl, {**_READ_OPTIONS, "multiLine": "true"})
     return records.select(parsed.alias("parsed")).select("parsed.*")
 
