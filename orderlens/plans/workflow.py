@@ -14,7 +14,7 @@ from orderlens.functions.measures import ascending, descending
 from orderlens.operators import clean as ops
 from orderlens.operators import quality as q
 from orderlens.plans import delivery, freight, policy, risk
-from orderlens.sources.catalog import Tables, stored
+from orderlens.sources.catalog import Tables, register_tables, stored
 from orderlens.sources.csv import write_report
 
 EXPORTED = (
@@ -31,6 +31,10 @@ EXPORTED = (
 )
 
 
+# Tells reviews apart that agree in both ids, so that a cut list is always the same.
+REVIEW_TIES = ("review_creation_date", "review_answer_timestamp", "review_score", "review_comment_message")
+
+
 @dataclass(frozen=True)
 class Parameters:
     """Thresholds and fixes, with their usual values."""
@@ -173,10 +177,10 @@ class Analysis:
                 "order_id",
                 p.duplicates_shown,
                 F.col("review_comment_message").isNotNull(),
-                ["review_creation_date"],
+                REVIEW_TIES,
             ),
             "duplicate_order_ids": lambda: q.duplicate_rows_ranked(
-                raw["reviews"], "order_id", "review_id", p.duplicates_shown, ties=["review_creation_date"]
+                raw["reviews"], "order_id", "review_id", p.duplicates_shown, ties=REVIEW_TIES
             ),
             "multi_review_vs_products": lambda: q.reviews_vs_products(
                 raw["orders"], raw["reviews"], raw["order_items"], p.duplicates_shown
@@ -299,6 +303,15 @@ class Analysis:
         }
 
 
+def register_views(analysis: Analysis, prefix: str = "") -> None:
+    """The fixed tables and the two derived views under their names, for use from SQL."""
+    derived = {
+        "orders_clean": analysis.clean,
+        "reviews_deduped": ops.reviews_deduped(analysis.tables["reviews"]),
+    }
+    register_tables({**analysis.tables, **derived}, prefix)
+
+
 def export_reports(analysis: Analysis, directory: str) -> list[str]:
     """Write the ten main reports as CSV, each in its own new folder; returns the folders."""
     jobs = analysis.stored().jobs()

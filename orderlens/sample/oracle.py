@@ -326,6 +326,12 @@ def sample_oracle() -> dict[str, str]:
             SELECT o_orderstatus AS order_status, count(*) AS item_count,
                 count(DISTINCT l_suppkey) AS seller_count
             FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderstatus""",
+        "register_views": _with(
+            """SELECT review_score, count(*) AS order_count, count(DISTINCT seller_id) AS seller_count
+               FROM reviewed JOIN t_items USING (order_id) GROUP BY review_score""",
+            "reviewed",
+            "t_items",
+        ),
         "export_report_csv": bucket_report,
         "join_key_match": _with(
             """SELECT (SELECT count(*) FROM t_orders JOIN t_customers USING (customer_id)) AS customer_id_match,

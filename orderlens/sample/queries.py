@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.plans import delivery, risk
-from orderlens.plans.workflow import Analysis, Parameters
+from orderlens.plans.workflow import Analysis, Parameters, register_views
 from orderlens.sample.tables import DELIVERED, UNTRANSLATED, sample_tables
 from orderlens.sources.catalog import new_folder, register_tables
 from orderlens.sources.csv import read_csv_table, write_csv, write_report
@@ -78,6 +78,19 @@ def _register_tables(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _register_views(spark: SparkSession, directory: str) -> DataFrame:
+    register_views(sample_analysis(spark, directory), prefix="sample_")
+    return spark.sql(
+        """
+        SELECT r.review_score, count(*) AS order_count, count(DISTINCT i.seller_id) AS seller_count
+        FROM sample_orders_clean o
+        JOIN sample_reviews_deduped r USING (order_id)
+        JOIN sample_order_items i USING (order_id)
+        GROUP BY r.review_score
+        """
+    )
+
+
 def _export_report_csv(spark: SparkSession, directory: str) -> DataFrame:
     """A report written as CSV and read back."""
     report = sample_analysis(spark, directory).jobs()["delivery_bucket_bad_reviews"]()
@@ -91,6 +104,7 @@ def sample_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_reviews_csv": _load_reviews_csv,
         "load_reviews_csv_by_lines": partial(_load_reviews_csv, whole_file_bytes=0),
         "register_tables": _register_tables,
+        "register_views": _register_views,
         "export_report_csv": _export_report_csv,
         **{name: _job(name) for name in Analysis({}, PARAMETERS).jobs()},
     }
