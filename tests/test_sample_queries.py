@@ -4,10 +4,12 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from orderlens.sample.oracle import sample_oracle
+from orderlens.sample.queries import sample_queries
 
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = sample_queries()
+ORACLE = sample_oracle()
 
 
 @pytest.fixture(scope="module")
