@@ -8,18 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import bpe, exact_dedup, mixing, sharding
+from orderlens.llm import bpe, exact_dedup, fertility, mixing, ngram_join, sharding
 from orderlens.llm.common import documents
 
+PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 SEED = 7
 SHARDS = 16
 
 
+def op1_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
+    return ngram_join.similar_classes(documents(spark, directory))
+
+
 def op2_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, directory))
 
 
+def op4_fertility(spark: SparkSession, directory: str) -> DataFrame:
+    return fertility.quality(documents(spark, directory), public_tokenizers.path(PIECES))
+
+
 def op6_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.decoded(bpe.encoded(documents(spark, directory), *ranks), *ranks).select(
@@ -43,7 +52,9 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_fertility": op4_fertility,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_mixing": op8_mixing,
         "op10_sharding": op10_sharding,
