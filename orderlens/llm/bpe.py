@@ -19,13 +19,15 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.llm.common import whole_text
+from orderlens.llm.common import unused_name, whole_text
 
 # Bounds of what a Python worker remembers.
 _PIECES_KEPT = 400_000
@@ -217,3 +219,21 @@ def token_counts(
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType())])
     texts = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     return texts.mapInArrow(count, schema).withColumnRenamed("id", id_column)
+
+
+def with_tokens(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """The rows with their own columns and ``ids`` of the text and the ``bytes`` these decode to.
+
+    Columns of these two names are replaced.
+    """
+
+    @F.pandas_udf("ids array<int>, bytes binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = coder(path, pattern)
+        for batch in batches:
+            ids = batch.map(table.encode)
+            yield pd.DataFrame({"ids": ids.map(lambda x: np.array(x, np.int32)), "bytes": ids.map(table.decode)})
+
+    tokens = unused_name(docs.columns, "tokens")
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "bytes")]
+    return docs.withColumn(tokens, both(whole_text(text_column))).select(*others, f"{tokens}.ids", f"{tokens}.bytes")
