@@ -15,26 +15,25 @@ tokens are ordinary text. Rows keep their identifiers, repeated ones too.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.llm.common import unused_name, whole_text
+from orderlens.llm.common import whole_text
 
 # Bounds of what a Python worker remembers.
-_PIECES_KEPT = 400_000
-_PAIRS_KEPT = 1_000_000
+_PIECES_KEPT = 200_000
+_PAIRS_KEPT = 400_000
 _LONGEST_PIECE_KEPT = 64
-# Rows of one output batch are cut at this many tokens.
-_BATCH_TOKENS = 500_000
+# An output batch ends at this many tokens.
+_BATCH_TOKENS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,37 +145,37 @@ def coder(path: str, pattern: str) -> BytePairCoder:
     return BytePairCoder(read_ranks(path), pattern)
 
 
-def _batches(
-    rows: Iterable[tuple], weight: Callable[[tuple], int], schema: pa.Schema
-) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of bounded weight."""
-    held, total = [], 0
-    for row in rows:
-        held.append(row)
-        total += weight(row) + 1
-        if total >= _BATCH_TOKENS:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, total = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+def encoded(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
+    """The rows with their own columns, ``ids`` of the text, and the ``bytes`` that these decode to.
 
-
-def encoded(
-    docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """``ids`` of each row's text, next to its identifier."""
-    id_type = docs.schema[id_column].dataType
+    Columns of these two names are replaced.
+    """
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "bytes")])
+    names = [*rows.columns, "ids", "bytes"]
+    at = [c.lower() for c in names].index(text_column.lower())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = coder(path, pattern).encode
+        table = coder(path, pattern)
         for batch in batches:
-            schema = pa.schema([("id", batch.schema.types[0]), ("ids", pa.list_(pa.int32()))])
-            rows = ((key.as_py(), encode_text(text.as_py())) for key, text in zip(*batch.columns))
-            yield from _batches(rows, lambda row: len(row[1]), schema)
+            texts = batch.column(at)
+            start, ids, total = 0, [], 0
+            for row in range(batch.num_rows):
+                ids.append(np.array(table.encode(texts[row].as_py() or ""), np.int32))
+                total += len(ids[-1])
+                if total >= _BATCH_TOKENS or row + 1 == batch.num_rows:
+                    columns = [*batch.slice(start, len(ids)).columns, pa.array(ids, pa.list_(pa.int32()))]
+                    columns.append(pa.array([table.decode(x.tolist()) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    start, ids, total = row + 1, [], 0
 
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    texts = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-    return texts.mapInArrow(encode, schema).withColumnRenamed("id", id_column)
+    schema = T.StructType(
+        [
+            *rows.schema.fields,
+            T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+            T.StructField("bytes", T.BinaryType()),
+        ]
+    )
+    return rows.mapInArrow(encode, schema)
 
 
 def decoded(
@@ -219,21 +218,3 @@ def token_counts(
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType())])
     texts = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     return texts.mapInArrow(count, schema).withColumnRenamed("id", id_column)
-
-
-def with_tokens(docs: DataFrame, path: str, pattern: str, text_column: str = "text") -> DataFrame:
-    """The rows with their own columns and ``ids`` of the text and the ``bytes`` these decode to.
-
-    Columns of these two names are replaced.
-    """
-
-    @F.pandas_udf("ids array<int>, bytes binary")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = coder(path, pattern)
-        for batch in batches:
-            ids = batch.map(table.encode)
-            yield pd.DataFrame({"ids": ids.map(lambda x: np.array(x, np.int32)), "bytes": ids.map(table.decode)})
-
-    tokens = unused_name(docs.columns, "tokens")
-    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "bytes")]
-    return docs.withColumn(tokens, both(whole_text(text_column))).select(*others, f"{tokens}.ids", f"{tokens}.bytes")

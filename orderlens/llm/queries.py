@@ -54,7 +54,7 @@ def op5_site_bayes(spark: SparkSession, directory: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.decoded(bpe.encoded(documents(spark, directory), *ranks), *ranks).select(
+    return bpe.encoded(documents(spark, directory).select("doc_id", "text"), *ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
