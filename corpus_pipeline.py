@@ -38,7 +38,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and whether they decode to its text."""
-    return bpe.with_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select(
+    return bpe.encoded(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select(
         "doc_id",
         "lang",
         "source",
