@@ -1,0 +1,114 @@
+import re
+from collections import Counter
+
+import cases
+import hypothesis.strategies as st
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+
+from orderlens.llm import fertility, queries
+
+PATH = public_tokenizers.path(queries.PIECES)
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, repeated_lines = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            repeated_lines += line in lines
+            lines.add(line)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    counts = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 8)}
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        repeated_lines,
+        len(covered),
+    )
+
+
+TEXTS = st.one_of(
+    st.text(max_size=200),
+    st.lists(st.sampled_from(["a", "b", "é#", " ", "\n", "\x0b", "\x1c", " ", "|"]), max_size=150).map("".join),
+    st.lists(st.sampled_from("abc"), max_size=60).map(" ".join),
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(text=TEXTS)
+def test_base_measures(text):
+    assert fertility.base_measures(text) == brute_base(text)
+
+
+def test_fertility_of_a_text():
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    text = "plain words and ☃ 𐍈"
+    ids = pieces.encode(text)
+    n, per_token, fallback, entropy = fertility.fertility(text, PATH)
+    assert n == len(ids) and per_token == len(text) / len(ids)
+    assert fallback == pytest.approx(sum(map(pieces.is_byte, ids)) / len(ids)) and fallback > 0
+    shares = [c / n for c in Counter(ids).values()]
+    assert entropy == pytest.approx(-sum(p * np.log2(p) for p in shares) / np.log2(n))
+    assert fertility.fertility("", PATH) == (0, 0.0, 0.0, 0.0)
+
+
+def brute_kept(rows):
+    """Verdicts from measured rows, by the definition of the bands."""
+    ordinary = [r for r in rows if not r.base_failed]
+    limits = {}
+    for lang in {r.lang for r in ordinary}:
+        for name, band in fertility.BANDS.items():
+            values = np.round([r[name] for r in ordinary if r.lang == lang], 3)
+            middle = np.median(values)
+            spread = max(1.4826 * np.median(np.abs(values - middle)), band.least_spread)
+            limits[lang, name] = middle - spread * band.below - 1e-9, middle + spread * band.above + 1e-9
+    return {
+        r.doc_id: not r.base_failed
+        and all(limits[r.lang, n][0] <= round(r[n], 3) <= limits[r.lang, n][1] for n in fertility.BANDS)
+        for r in rows
+    }
+
+
+def test_query_against_brute_force(spark):
+    directory = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    result = queries.op4_fertility(spark, directory)
+    rows = result.join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        base = brute_base(r.text or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
+        assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
+    assert {r.doc_id: r.kept for r in rows} == brute_kept(rows)
+
+
+def test_junk_goes_and_prose_stays(spark):
+    prose = [f"{' '.join(cases.WORDS[i % 30 :] + cases.WORDS[: i % 30])} number {i}" for i in range(200)]
+    junk = [" ".join(f"{w}#$%{i}&*" for i, w in enumerate(cases.WORDS))]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + junk)], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in fertility.quality(df, PATH).collect()}
+    assert all(kept[i] for i in range(200)) and not kept[200]
+
+
+def test_edge_cases(spark):
+    df = cases.edge_table(spark)
+    rows = fertility.quality(df, PATH).collect()
+    assert len(rows) == df.count()
+    assert all(r.base_failed and not r.kept and r.n_tokens == 0 for r in rows if r.doc_id in (3, 4))
+    accepted = fertility.accepted(df, PATH)
+    assert accepted.columns == df.columns
+    assert accepted.count() == sum(r.kept for r in rows) > 0
+    assert fertility.accepted(cases.empty_table(spark), PATH).count() == 0
+    assert fertility.quality(cases.empty_table(spark), PATH).count() == 0
+
+
+def test_many_languages_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(fertility, "MOST_LANGUAGES_SENT", 0)
+    df = cases.edge_table(spark)
+    assert fertility.quality(df, PATH).count() == df.count()

@@ -1,0 +1,133 @@
+import itertools
+import random
+from collections import Counter
+
+import cases
+import numpy as np
+import pytest
+
+from orderlens.llm import ngram_join, queries
+from orderlens.llm.components import connected_components
+from orderlens.llm.ngram_join import Forest
+
+
+def ngrams(text, n=5):
+    words = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").lower()).split()
+    n = min(n, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
+
+
+def brute(texts):
+    """Class and linked rows of each identifier, from all pairs."""
+    sets = {i: ngrams(t) for i, t in texts.items()}
+    root, links = {i: i for i in texts}, Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        common = len(sets[a] & sets[b])
+        if common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            links.update((a, b))
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (find(i), links[i]) for i in texts}
+
+
+def edited(words, random_, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[random_.randrange(len(words))] = f"new{random_.randrange(1000)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def family(spark):
+    """Families of near copies, one of them large, with copies, and texts that share a passage."""
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = [edited(base, r, r.randrange(3)) for base in [fresh(120) for _ in range(30)] for _ in range(4)]
+    large = fresh(150)
+    texts += [edited(large, r, r.randrange(5)) for _ in range(150)]
+    passage = fresh(40)
+    texts += [" ".join(fresh(60) + passage + fresh(60)) for _ in range(60)]
+    texts += texts[:20] + ["three short words", "Three  short, words!", "other", ""]
+    r.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize(
+    "forest", [Forest(), Forest(small_node=2, block_texts=16), Forest(small_node=10_000), Forest(block_ngrams=500)]
+)
+def test_classes_and_links_against_brute_force(spark, family, forest):
+    df = spark.createDataFrame(list(family.items()), "doc_id long, text string")
+    rows = ngram_join.similar_classes(df, forest).collect()
+    assert {r.doc_id: (r.class_id, r.n_linked_docs) for r in rows} == brute(family)
+
+
+def test_query_against_brute_force(spark):
+    directory = "/root/testdata/sf0.001"
+    texts = dict(spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text").collect())
+    rows = queries.op1_ngram_join(spark, directory).collect()
+    assert {r.doc_id: (r.class_id, r.n_linked_docs) for r in rows} == brute(texts)
+
+
+def test_prefixes_shorten_until_the_recall(spark):
+    assert Forest(recall=0.5).prefix == 6
+    assert Forest(recall=0.99).prefix == 5
+    assert Forest(recall=0.999).prefix == 4
+    assert Forest(recall=0.9999999).prefix < 4
+    for forest in (Forest(recall=0.5), Forest()):
+        reached = 1 - (1 - 0.8**forest.prefix) ** forest.trees
+        assert reached >= forest.recall or forest.prefix == 1
+
+
+def test_signatures_estimate_similarity():
+    functions = Forest(trees=50).functions()
+    r = np.random.default_rng(0)
+    for share in (0.2, 0.5, 0.8):
+        common = r.integers(0, 1 << 63, int(2000 * share), dtype=np.uint64)
+        own = lambda: r.integers(0, 1 << 63, (2000 - len(common)) // 2, dtype=np.uint64)  # noqa: B023,E731
+        a, b = (ngram_join._signature(np.unique(np.concatenate([common, own()])), functions) for _ in range(2))
+        assert (a == b).mean() == pytest.approx(share, abs=0.1)
+
+
+def test_edge_cases(spark):
+    df = cases.edge_table(spark)
+    rows = ngram_join.similar_classes(df).collect()
+    assert len(rows) == df.count()
+    by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert {by_id[i].class_id for i in (0, 1, 2)} == {0}
+    assert by_id[0].n_links == 1 and by_id[0].n_linked_docs == 4  # 1, 2, the repeated row, the row without id
+    for empty in (3, 4, 5):
+        assert by_id[empty].class_id == empty and by_id[empty].n_links == by_id[empty].n_linked_docs == 0
+    assert by_id[6].class_id == by_id[7].class_id == 6
+    left = ngram_join.one_of_each_class(df)
+    assert left.columns == df.columns
+    ids = Counter(r.doc_id for r in left.collect())
+    assert ids == {0: 2, 3: 1, 4: 1, 5: 1, 6: 2, 8: 1, 9: 1, 10: 1, 11: 1, None: 2}
+
+
+def test_empty(spark):
+    assert ngram_join.similar_classes(cases.empty_table(spark)).count() == 0
+    assert ngram_join.one_of_each_class(cases.empty_table(spark)).count() == 0
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(500, i) for i in range(501, 560)] + [(900, 900)]
+    edges += [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(80)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {x: find(x) for x in root if find(x) != x}
