@@ -34,7 +34,7 @@ from orderlens.llm.common import whole_text
 TRAINING_ROWS = 10_000
 
 _TERM_BITS = 20
-_STEM_BYTES = 5
+_STEM_BYTES = 4
 _OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
 _TO_SPACE = bytes.maketrans(_OTHER, b" " * len(_OTHER))
 
@@ -69,21 +69,24 @@ def fitted(
     rows: list[np.ndarray],
     labels: np.ndarray,
     factors: int = 4,
-    epochs: int = 8,
+    epochs: int = 12,
     batch: int = 256,
-    rate: float = 0.5,
-    sparsity: float = 15.0,
+    rate: float = 1.0,
+    sparsity: float | None = None,
     decay: float = 1e-3,
     least_rows: int = 5,
     seed: int = 0,
 ) -> FactorizationMachine:
     """Fits by proximal stochastic gradient steps with a rate per term.
 
-    ``sparsity`` is the evidence, in summed gradients, that a term needs for a weight;
-    terms of fewer than ``least_rows`` rows have none.
+    ``sparsity`` is the evidence, in summed gradients, that a term needs for a weight. By
+    default it grows with the rows, and for few rows with the noise of their sums.
+    Terms of fewer than ``least_rows`` rows have no weight.
     """
     share = float(labels.mean()) if len(labels) else 0.5
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    if sparsity is None:
+        sparsity = 0.01 * len(labels) + 0.6 * len(labels) ** 0.5
     empty = FactorizationMachine(bias, {}, np.zeros(0), np.zeros((0, factors)))
     if share in (0.0, 1.0) or not len(labels):
         return empty
