@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.constants import DELIVERED
 from orderlens.functions.measures import ascending, whole_days
 
+# Places that amounts in floating point are rounded to before they are summed.
+FLOAT_PLACES = 4
+
 REVIEW_COLUMNS = (
     "review_id",
     "order_id",
@@ -27,8 +31,19 @@ def blank_to_null(df: DataFrame, column: str) -> DataFrame:
 
 
 def append_rows(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
-    """The frame plus a few literal rows, given in the frame's column order."""
-    return df.unionByName(df.sparkSession.createDataFrame(list(rows), df.schema))
+    """The frame plus a few literal rows, given in the frame's column order.
+
+    The rows are part of the plan, so its size estimate stays that of the frame, and
+    joins may still broadcast the result.
+    """
+    if not rows:
+        return df
+    names, types = df.columns, [field.dataType for field in df.schema.fields]
+    literals = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(row, types, names, strict=True)]) for row in rows
+    ]
+    one_row = df.sparkSession.sql("SELECT 1")
+    return df.unionByName(one_row.select(F.inline(F.array(*literals))))
 
 
 def correct_labels(df: DataFrame, corrections: Mapping[str, str], column: str) -> DataFrame:
@@ -104,17 +119,33 @@ def scored_orders(clean: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.withColumn("is_reviewed", F.coalesce("is_reviewed", F.lit(False)))
 
 
+def sum_in_cents(df: DataFrame, column: str) -> Column:
+    """Sum of an amount of money in whole cents, rounded half away from zero once, after summing.
+
+    Amounts are summed as whole numbers of their smallest unit, in long arithmetic.
+    Floating-point amounts are first rounded to ``FLOAT_PLACES`` places each.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        places, amount = FLOAT_PLACES, F.col(column).cast(f"decimal(18,{FLOAT_PLACES})")
+    else:
+        places, amount = getattr(kind, "scale", 0), F.col(column)
+    units = F.sum((amount * F.lit(10**places).cast(f"decimal({places + 1},0)")).cast("long"))
+    if places <= 2:
+        return units * 10 ** (2 - places)
+    return F.round(units.cast("decimal(19,0)") / F.lit(10 ** (places - 2)).cast(f"decimal({places - 1},0)"), 0).cast("long")
+
+
 def order_item_facts(items: DataFrame) -> DataFrame:
     """Per order: freight in whole cents, and whether one seller or several sold its items.
 
-    Money summed as whole cents stays in long arithmetic. Lowest and highest
-    seller are equal exactly when there is one seller, so one shuffle of one row
-    per order and task is enough, where a distinct count would take two.
+    Lowest and highest seller are equal exactly when there is one seller, so one
+    shuffle of one row per order and task is enough, where a distinct count would
+    take two.
     """
-    cents = (F.col("freight_value") * F.lit(100).cast("decimal(3,0)")).cast("long")
     one_seller = F.min("seller_id") == F.max("seller_id")
     return items.groupBy("order_id").agg(
-        F.sum(cents).alias("freight_cents"),
+        sum_in_cents(items, "freight_value").alias("freight_cents"),
         F.when(one_seller, "1 seller").otherwise("2+ sellers").alias("seller_group"),
     )
 

@@ -68,7 +68,8 @@ def seller_volume_thresholds(pairs: DataFrame, cuts: Sequence[int] = SELLER_VOLU
     )
 
 
-def _entity_rates(pairs: DataFrame, reviewed: DataFrame, entity: str, bad_max: int) -> DataFrame:
+def entity_rates(pairs: DataFrame, reviewed: DataFrame, entity: str, bad_max: int = BAD_MAX) -> DataFrame:
+    """Orders, bad reviews and mean score per entity. Reports on sellers can share one stored copy."""
     return (
         pairs.join(reviewed.select("order_id", "review_score"), "order_id")
         .groupBy(entity)
@@ -86,10 +87,12 @@ def entity_risk(
     min_orders: int,
     limit: int | None = None,
     bad_max: int = BAD_MAX,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
     """Bad-review rate and mean score per entity with enough orders, worst rounded rate first."""
-    rates = _entity_rates(pairs, reviewed, entity, bad_max).where(F.col("order_count") >= min_orders)
-    ranked = rates.orderBy(*descending("bad_review_pct"), *ascending(entity))
+    if rates is None:
+        rates = entity_rates(pairs, reviewed, entity, bad_max)
+    ranked = rates.where(F.col("order_count") >= min_orders).orderBy(*descending("bad_review_pct"), *ascending(entity))
     return ranked if limit is None else ranked.limit(limit)
 
 
@@ -99,14 +102,19 @@ def worst_sellers(
     min_orders: int = MIN_SELLER_ORDERS,
     limit: int = TOP_SELLERS,
     bad_max: int = BAD_MAX,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
-    return entity_risk(pairs, reviewed, "seller_id", min_orders, limit, bad_max)
+    return entity_risk(pairs, reviewed, "seller_id", min_orders, limit, bad_max, rates)
 
 
 def seller_risk_all(
-    pairs: DataFrame, reviewed: DataFrame, min_orders: int = MIN_SELLER_ORDERS, bad_max: int = BAD_MAX
+    pairs: DataFrame,
+    reviewed: DataFrame,
+    min_orders: int = MIN_SELLER_ORDERS,
+    bad_max: int = BAD_MAX,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
-    return entity_risk(pairs, reviewed, "seller_id", min_orders, None, bad_max)
+    return entity_risk(pairs, reviewed, "seller_id", min_orders, None, bad_max, rates)
 
 
 def category_risk(
@@ -146,14 +154,18 @@ def split_order_share(orders: DataFrame) -> DataFrame:
 
 
 def seller_risk_segments(
-    pairs: DataFrame, reviewed: DataFrame, high: float = HIGH_RISK_PCT, bad_max: int = BAD_MAX
+    pairs: DataFrame,
+    reviewed: DataFrame,
+    high: float = HIGH_RISK_PCT,
+    bad_max: int = BAD_MAX,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
     """Sellers in three segments by their rounded bad-review rate, and each segment's share of bad reviews.
 
     The segments are below the platform's rounded rate, up to ``high``
     inclusive, and above it. An order counts once for each of its sellers.
     """
-    sellers = _entity_rates(pairs, reviewed, "seller_id", bad_max)
+    sellers = entity_rates(pairs, reviewed, "seller_id", bad_max) if rates is None else rates
     bad = F.count_if(is_bad(bad_max))
     platform = reviewed.agg(percent(bad, F.count("*")).alias("_platform")).scalar()
 

@@ -14,7 +14,7 @@ from orderlens.functions.measures import ascending, descending
 from orderlens.operators import clean as ops
 from orderlens.operators import quality as q
 from orderlens.plans import delivery, freight, policy, risk
-from orderlens.sources.catalog import Tables, register_tables, stored
+from orderlens.sources.catalog import Tables, new_folder, register_tables, remove_folder, stored
 from orderlens.sources.csv import write_report
 
 EXPORTED = (
@@ -79,6 +79,7 @@ class Analysis:
         self.raw = tables
         self.parameters = parameters or Parameters()
         self.tables = fixed_tables(tables, self.parameters)
+        self.folders: list[str] = []
 
     @cached_property
     def all_delivered(self) -> DataFrame:
@@ -108,6 +109,14 @@ class Analysis:
     def reviewed_with_items(self) -> DataFrame:
         return self.reviewed.join(ops.order_item_facts(self.tables["order_items"]), "order_id")
 
+    @cached_property
+    def review_keys(self) -> DataFrame:
+        """Reviews without dates and comments: enough to count the deduplicated ones.
+
+        Reviews equal in these columns have equal counts, so no other tie-break is needed.
+        """
+        return self.tables["reviews"].select("order_id", "review_score", "review_id")
+
     @cached_property
     def seller_pairs(self) -> DataFrame:
         return ops.seller_pairs(self.tables["order_items"])
@@ -117,23 +126,37 @@ class Analysis:
         t = self.tables
         return ops.category_pairs(t["order_items"], t["products"], t["category_translation"])
 
+    @cached_property
+    def seller_rates(self) -> DataFrame:
+        return risk.entity_rates(self.seller_pairs, self.reviewed, "seller_id", self.parameters.bad_max)
+
     def stored(self) -> Analysis:
-        """The same analysis, with one row of facts per clean order written out once.
+        """The same analysis, with a row of facts per clean order and a row of rates per seller written out once.
 
-        Score, delivery, freight and seller group are joined in that one job, so
-        seven of the ten exports then read a narrow table and join nothing.
+        Score, delivery, freight and seller group are joined in the first job, so
+        seven of the ten exports then read a narrow table and join nothing; the two
+        on sellers read the rates. ``close`` removes both folders.
         """
         item_facts = ops.order_item_facts(self.tables["order_items"])
-        facts = stored(
-            self.scored.join(item_facts.withColumn("has_items", F.lit(True)), "order_id", "left"), "order-facts"
-        )
+        wide = self.scored.join(item_facts.withColumn("has_items", F.lit(True)), "order_id", "left")
         copy = Analysis(self.raw, self.parameters)
+        facts = copy._written(wide, "order-facts")
         copy.measures = facts
         copy.scored = facts
         copy.reviewed = facts.where("is_reviewed")
         copy.reviewed_with_items = copy.reviewed.where("has_items")
+        copy.seller_rates = copy._written(copy.seller_rates, "seller-rates")
         return copy
 
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        self.folders.append(new_folder(df.sparkSession, name))
+        return stored(df, name, self.folders[-1])
+
+    def close(self) -> None:
+        """Remove what ``stored`` has written. Results that read it can't be computed after."""
+        while self.folders:
+            remove_folder(next(iter(self.raw.values())).sparkSession, self.folders.pop())
+
     def jobs(self) -> dict[str, Callable[[], DataFrame]]:
         """Every check, fix, derived table and report by name."""
         return {**self._checks(), **self._fixes(), **self._reports()}
@@ -169,7 +192,10 @@ class Analysis:
                 raw["reviews"], "order_id", "total_rows", "unique_order_ids"
             ),
             "deduped_order_uniqueness": lambda: q.key_uniqueness(
-                ops.reviews_deduped(raw["reviews"]), "order_id", "total", "unique_orders"
+                ops.dedupe_first(self.review_keys, ["order_id"], ["review_score", "review_id"]),
+                "order_id",
+                "total",
+                "unique_orders",
             ),
             "duplicate_review_ids": lambda: q.duplicate_rows_ranked(
                 raw["reviews"],
@@ -190,7 +216,9 @@ class Analysis:
                 raw["reviews"], raw["orders"], p.near_seconds
             ),
             "null_counts_reviews": lambda: q.null_counts(
-                ops.reviews_deduped(raw["reviews"]), "reviews_deduped", {"review_score": "null_review_score"}
+                ops.dedupe_first(self.review_keys, ["order_id"], ["review_score", "review_id"]),
+                "reviews_deduped",
+                {"review_score": "null_review_score"},
             ),
             "null_counts_orders": lambda: q.null_counts(
                 raw["orders"],
@@ -277,16 +305,21 @@ class Analysis:
                 self.seller_pairs, p.seller_volume_cuts
             ),
             "worst_sellers": lambda: risk.worst_sellers(
-                self.seller_pairs, self.reviewed, p.min_seller_orders, p.top_sellers, p.bad_max
+                self.seller_pairs,
+                self.reviewed,
+                p.min_seller_orders,
+                p.top_sellers,
+                p.bad_max,
+                self.seller_rates,
             ),
             "seller_risk_all": lambda: risk.seller_risk_all(
-                self.seller_pairs, self.reviewed, p.min_seller_orders, p.bad_max
+                self.seller_pairs, self.reviewed, p.min_seller_orders, p.bad_max, self.seller_rates
             ),
             "multi_seller_by_bucket": lambda: risk.multi_seller_by_bucket(
                 self.reviewed_with_items, p.bounds, p.bad_max
             ),
             "seller_risk_segments": lambda: risk.seller_risk_segments(
-                self.seller_pairs, self.reviewed, p.high_risk_pct, p.bad_max
+                self.seller_pairs, self.reviewed, p.high_risk_pct, p.bad_max, self.seller_rates
             ),
             "category_volume_distribution": lambda: risk.category_volume_distribution(
                 ops.among_clean(self.category_pairs, self.measures)
@@ -314,10 +347,14 @@ def register_views(analysis: Analysis, prefix: str = "") -> None:
 
 def export_reports(analysis: Analysis, directory: str) -> list[str]:
     """Write the ten main reports as CSV, each in its own new folder; returns the folders."""
-    jobs = analysis.stored().jobs()
+    facts = analysis.stored()
+    jobs = facts.jobs()
     paths = []
-    for name in EXPORTED:
-        path = f"{directory.rstrip('/')}/{name}"
-        write_report(jobs[name](), path)
-        paths.append(path)
+    try:
+        for name in EXPORTED:
+            path = f"{directory.rstrip('/')}/{name}"
+            write_report(jobs[name](), path)
+            paths.append(path)
+    finally:
+        facts.close()
     return paths

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.plans import delivery, risk
-from orderlens.plans.workflow import Analysis, Parameters, register_views
+from orderlens.plans.workflow import EXPORTED, Analysis, Parameters, register_views
 from orderlens.sample.tables import DELIVERED, UNTRANSLATED, sample_tables
 from orderlens.sources.catalog import new_folder, register_tables
 from orderlens.sources.csv import read_csv_table, write_csv, write_report
@@ -44,27 +44,28 @@ def sample_analysis(spark: SparkSession, directory: str) -> Analysis:
 
 def _job(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        result = sample_analysis(spark, directory).jobs()[name]()
-        columns = _ROUNDED.get(name, [])
-        return result.withColumns(
-            {c: F.round(F.col(c).cast("decimal(38,10)"), 4).cast("double") for c in columns}
-        )
+        return _rounded(name, sample_analysis(spark, directory).jobs()[name]())
 
     return query
 
 
-def _load_reviews_csv(spark: SparkSession, directory: str, **options: int) -> DataFrame:
+def _rounded(name: str, result: DataFrame) -> DataFrame:
+    columns = _ROUNDED.get(name, [])
+    return result.withColumns({c: F.round(F.col(c).cast("decimal(38,10)"), 4).cast("double") for c in columns})
+
+
+def _load_reviews_csv(spark: SparkSession, directory: str, line_end: str = "\n") -> DataFrame:
     """Reviews written as CSV with newlines, quotes, blanks and NULLs in cells, and read back."""
     score, title, message = F.col("review_score"), F.col("review_comment_title"), F.col("review_comment_message")
     reviews = sample_tables(spark, directory)["reviews"].withColumns(
         {
             "review_comment_message": F.concat(message, F.lit('\nsaid "'), title, F.lit('"')),
-            "review_comment_title": F.when(score == 1, "").when(score != 2, title),
+            "review_comment_title": F.when(score == 1, "").when(score == 2, None).otherwise(title),
         }
     )
     path = new_folder(spark, "reviews-csv")
-    write_csv(reviews, path)
-    return read_csv_table(spark, path, reviews.schema, multiline=True, **options)
+    write_csv(reviews, path, line_end)
+    return read_csv_table(spark, path, reviews.schema, multiline=True)
 
 
 def _register_tables(spark: SparkSession, directory: str) -> DataFrame:
@@ -91,6 +92,30 @@ def _register_views(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _register_all_views(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows and non-null keys of every registered name."""
+    register_views(sample_analysis(spark, directory), prefix="sample_")
+    keys = {
+        "customers": "customer_id",
+        "geolocation": "geolocation_zip_code_prefix",
+        "order_items": "order_item_id",
+        "payments": "order_id",
+        "reviews": "order_id",
+        "orders": "order_id",
+        "products": "product_category_name",
+        "sellers": "seller_id",
+        "category_translation": "product_category_name_english",
+        "orders_clean": "order_id",
+        "reviews_deduped": "order_id",
+    }
+    return spark.sql(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS view_name, count(*) AS row_count, count({key}) AS key_count FROM sample_{name}"
+            for name, key in keys.items()
+        )
+    )
+
+
 def _export_report_csv(spark: SparkSession, directory: str) -> DataFrame:
     """A report written as CSV and read back."""
     report = sample_analysis(spark, directory).jobs()["delivery_bucket_bad_reviews"]()
@@ -99,12 +124,28 @@ def _export_report_csv(spark: SparkSession, directory: str) -> DataFrame:
     return read_csv_table(spark, path, report.schema)
 
 
+def _exported(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """One of the ten main reports as the command line makes it: on stored facts, written as CSV, read back."""
+
+    def query(spark: SparkSession, directory: str) -> DataFrame:
+        facts = sample_analysis(spark, directory).stored()
+        report = facts.jobs()[name]()
+        path = new_folder(spark, "exported-csv")
+        write_report(report, path)
+        facts.close()
+        return _rounded(name, read_csv_table(spark, path, report.schema))
+
+    return query
+
+
 def sample_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_reviews_csv": _load_reviews_csv,
-        "load_reviews_csv_by_lines": partial(_load_reviews_csv, whole_file_bytes=0),
+        "load_reviews_csv_by_lines": partial(_load_reviews_csv, line_end="\r\n"),
         "register_tables": _register_tables,
         "register_views": _register_views,
+        "register_all_views": _register_all_views,
         "export_report_csv": _export_report_csv,
+        **{f"exported_{name}": _exported(name) for name in EXPORTED},
         **{name: _job(name) for name in Analysis({}, PARAMETERS).jobs()},
     }

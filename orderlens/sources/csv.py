@@ -2,123 +2,187 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 from functools import partial
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.sources.catalog import Tables, stored
+from orderlens.sources.catalog import Tables
+from orderlens.sources.records import ends_inside, pieces
 from orderlens.sources.schemas import TABLE_SCHEMAS, TABLES_WITH_NEWLINES
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
-# Stands for a quoted empty cell while reading, since Spark would make it NULL.
-_BLANK = "\u001a"
 
-
-_READ_OPTIONS = {
-    "quote": '"',
-    "escape": '"',
-    "nullValue": "",
-    "emptyValue": _BLANK,
-    "timestampNTZFormat": TIMESTAMP_FORMAT,
-    "mode": "FAILFAST",
-}
-
-# Files with multi-line cells are read whole, one per task, up to this size.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+def _read_options(blank: str) -> dict[str, str]:
+    """``blank`` stands for a quoted empty cell while reading, since Spark would make it NULL."""
+    return {
+        "quote": '"',
+        "escape": '"',
+        "nullValue": "",
+        "emptyValue": blank,
+        "timestampNTZFormat": TIMESTAMP_FORMAT,
+        "mode": "FAILFAST",
+    }
 
 
 def read_csv_table(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType | str,
-    multiline: bool = False,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
+    spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False
 ) -> DataFrame:
     """A CSV file or folder with a header. ``""`` is empty text, an empty cell is NULL.
 
     A malformed row is an error. Set ``multiline`` when cells hold newlines, as
-    review comments do. Spark reads such a file in one task, so a folder with a
-    file above ``whole_file_bytes`` is read by lines that are then put together.
+    review comments do; such files are split by size all the same, even inside a
+    cell. Lines may end in LF, CRLF or CR. A quote opens a cell only at its start.
     """
-    if multiline and _largest_file(spark, path) > whole_file_bytes:
-        df = _assembled_records(spark, path, schema)
+    blank = f"blank-{uuid.uuid4().hex}"
+    if multiline:
+        ddl = schema if isinstance(schema, str) else schema.toDDL()
+        parsed = F.from_csv("record", ddl, {**_read_options(blank), "multiLine": "true"})
+        df = _records(spark, path).select(parsed.alias("parsed")).select("parsed.*")
     else:
-        options = {**_READ_OPTIONS, "header": True, "multiLine": multiline}
-        df = spark.read.schema(schema).options(**options).csv(path)
+        df = spark.read.schema(schema).options(**_read_options(blank), header=True).csv(path)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.when(F.col(c) == _BLANK, "").otherwise(F.col(c)) for c in texts})
-
-
-def _largest_file(spark: SparkSession, path: str) -> int:
-    """Size of the largest file, from the file listing; no content is read."""
-    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    return df.withColumns({c: F.when(F.col(c) == blank, "").otherwise(F.col(c)) for c in texts})
 
 
-def _assembled_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Records of CSV files that are split by size, even inside a cell.
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files but their headers, one text each, line ends inside cells as they are.
 
-    A line is inside a cell when an odd number of quotes comes before it in the
-    file. Lines are numbered within the block of the file they were read from,
-    and stored, so that every step sees the same blocks. The quotes of earlier
-    blocks are added up over one row per block; within a block, a window counts
-    the rest. The lines of one record are then joined and parsed.
+    A file is read in blocks. A first pass over the lines of a block finds whether it
+    ends inside a cell, for both cases of how it may begin; running over the blocks
+    of a file, one row each, that tells how each really begins. A second pass cuts
+    blocks into records. Only what crosses a border of blocks is shuffled: the end of
+    one block, the beginning of a later one, and whole blocks between.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = stored(
-        spark.read.option("lineSep", "\n").text(path).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            F.pmod(quotes, F.lit(2)).alias("odd"),
-            "value",
-        ),
-        "csv-lines",
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
     block = ["file", "block"]
-    earlier_blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_lines = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines_so_far = Window.partitionBy(*block).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-
-    opened = (
-        lines.groupBy(*block)
-        .agg(F.sum("odd").alias("odd_lines"))
-        .select(*block, F.coalesce(F.sum("odd_lines").over(earlier_blocks), F.lit(0)).alias("opened"))
+    ends = lines.mapInArrow(_block_ends, "file string, block long, ends array<boolean>, starts array<boolean>")
+
+    in_file = Window.partitionBy("file").orderBy("block")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    through = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_of_file = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    outside, inside = F.col("ends")[0], F.col("ends")[1]
+    # A block sets how it ends, or passes on how it begins, or turns it round.
+    turned = F.sum((outside & ~inside).cast("int")).over(through)
+    known = ends.withColumn("turned", turned).withColumn(
+        "set", F.when(outside == inside, F.struct(outside.alias("ends"), "turned"))
     )
-    before = F.col("opened") + F.coalesce(F.sum("odd").over(earlier_lines), F.lit(0))
-    marked = lines.join(opened, block).withColumn(
-        "start", F.when(F.pmod(before, F.lit(2)) == 0, F.struct("block", "line"))
+    last_set, turns = F.last("set", ignorenulls=True), F.coalesce(F.last("turned").over(before), F.lit(0))
+    set_before = last_set.over(before)
+    odd_since = F.pmod(turns - F.coalesce(set_before["turned"], F.lit(0)), F.lit(2)) == 1
+    begins = F.coalesce(set_before["ends"], F.lit(False)) != odd_since
+    state = known.withColumn("inside", begins).select(
+        *block,
+        "inside",
+        F.when(F.col("inside"), F.col("starts")[1]).otherwise(F.col("starts")[0]).alias("has_start"),
+        F.last(F.when(F.col("inside"), inside).otherwise(outside)).over(all_of_file).alias("file_inside"),
     )
-    # A record may begin in an earlier block than the line, even some blocks back.
-    carried = (
-        marked.groupBy(*block)
-        .agg(F.max("start").alias("last_start"))
-        .select(*block, F.last("last_start", ignorenulls=True).over(earlier_blocks).alias("carried"))
+    unterminated = F.concat(F.lit("A quoted cell does not end in "), "file")
+    begin = state.select(
+        F.col("file").alias("of_file"),
+        F.col("block").alias("of_block"),
+        F.when(F.col("file_inside"), F.raise_error(unterminated).cast("boolean")).otherwise(F.col("inside")).alias("inside"),
+        (F.min(F.when(F.col("has_start"), F.col("block"))).over(all_of_file) == F.col("block")).alias("has_header"),
     )
-    header = F.struct(F.lit(0).cast("long"), F.min("line").over(Window.partitionBy(*block)))
-    records = (
-        marked.withColumns(
-            {
-                "is_header": F.col("start").eqNullSafe(header),
-                "start": F.last("start", ignorenulls=True).over(lines_so_far),
-            }
-        )
-        .join(carried, block)
-        .groupBy("file", F.coalesce("start", "carried").alias("start"))
+    # One row per block against all lines: small enough to be sent to every task.
+    cut = lines.join(
+        F.broadcast(begin), (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block"))
+    ).select(*block, F.coalesce("has_header", F.lit(False)).alias("has_header"), "inside", "value")
+    parts = cut.mapInArrow(_block_records, "file string, block long, part int, header boolean, record string")
+
+    whole = parts.where("part = 0").select("record")
+    # 1: rest of a record of an earlier block; 2: beginning of one that goes on.
+    crossing = parts.where("part > 0")
+    number = F.sum((F.col("part") == 2).cast("int")).over(Window.partitionBy("file").orderBy("block", "part"))
+    joined = (
+        crossing.withColumn("number", number)
+        .groupBy("file", "number")
         .agg(
-            F.max("is_header").alias("is_header"),
-            F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("lines"),
+            F.max("header").alias("header"),
+            F.array_sort(F.collect_list(F.struct("block", "record"))).alias("texts"),
         )
-        .where(~F.col("is_header"))
-        .select(F.regexp_replace(F.array_join("lines.value", "\n"), "\r$", "").alias("record"))
-        .where(F.col("record") != "")
+        .where(~F.col("header"))
+        .select(F.array_join("texts.record", "\n").alias("record"))
     )
-    ddl = schema if isinstance(schema, str) else schema.toDDL()
-    parsed = F.from_csv("record", ddl, {**_READ_OPTIONS, "multiLine": "true"})
-    return records.select(parsed.alias("parsed")).select("parsed.*")
+    without_return = F.regexp_replace("record", "\r$", "")
+    return whole.unionByName(joined.select(without_return.alias("record"))).where("record <> ''")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
+    """Lines of each block, with what its other columns say. Lines of a block are neighbours."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[column.to_pylist() for column in batch.columns])
+
+    for key, group in groupby(rows(), key=lambda row: row[:-1]):
+        yield key, (row[-1] for row in group)
+
+
+def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (file, block), lines in _blocks(batches):
+        outside, inside = False, True
+        start_outside = start_inside = False
+        for line in lines:
+            start_outside = start_outside or (not outside and line.strip("\r") != "")
+            # Begun inside, a record may also start behind a bare carriage return.
+            found, inside_after = pieces(line, inside)
+            start_inside = start_inside or (not inside and line.strip("\r") != "") or any(p.strip("\r") for p in found[1:])
+            outside = ends_inside(line, outside) if outside != inside else inside_after
+            inside = inside_after
+        columns = [[file], [block], [[outside, inside]], [[start_outside, start_inside]]]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "block", "ends", "starts"]
+        )
+
+
+_ROWS_A_BATCH = 4096
+
+
+def _block_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "block", "part", "header", "record"]
+        )
+
+    out: list[tuple] = []
+    for (file, block, has_header, inside), lines in _blocks(batches):
+        earlier = inside  # still in the record of an earlier block
+        awaits_header = has_header
+        open_lines: list[str] = []
+        for line in lines:
+            found, inside = pieces(line, inside)
+            for i, piece in enumerate(found):
+                open_lines.append(piece)
+                if i == len(found) - 1 and inside:
+                    break
+                record, open_lines = "\n".join(open_lines), []
+                if earlier:
+                    out.append((file, block, 1, False, record))
+                    earlier = False
+                elif record.strip("\r") and awaits_header:
+                    awaits_header = False
+                else:
+                    out.append((file, block, 0, False, record.removesuffix("\r")))
+            if len(out) >= _ROWS_A_BATCH:
+                yield batch(out)
+                out = []
+        if open_lines:
+            out.append((file, block, 1 if earlier else 2, awaits_header and not earlier, "\n".join(open_lines)))
+    if out:
+        yield batch(out)
 
 
 def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> Tables:
@@ -133,13 +197,16 @@ def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> Tables:
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, line_end: str = "\n") -> None:
     """Write with a header, one file per partition, such that ``read_csv_table`` restores it."""
     (
         df.write.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", '""')
+        .option("lineSep", line_end)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
         .csv(path)
     )

@@ -1,0 +1,40 @@
+"""Where CSV records end within a line."""
+
+from __future__ import annotations
+
+import re
+
+# What is left of a quoted cell, with its closing quote; doubled quotes stay inside.
+_REST_OF_CELL = re.compile(r'(?:[^"]|"")*+"')
+_END_OF_CELL = re.compile("[,\r]")
+
+
+def pieces(line: str, inside: bool) -> tuple[list[str], bool]:
+    """The line cut behind each record that ends in it by a bare carriage return, and whether it ends inside a cell.
+
+    ``inside`` says whether it begins inside a quoted cell. A quote opens a cell only
+    where the cell starts.
+    """
+    size = len(line)
+    if '"' not in line and (inside or line.find("\r") in (-1, size - 1)):
+        return [line], inside
+    found, start, at = [], 0, 0
+    while True:
+        if inside or line.startswith('"', at):
+            closed = _REST_OF_CELL.match(line, at if inside else at + 1)
+            if closed is None:
+                return [*found, line[start:]], True
+            inside, at = False, closed.end()
+        end = _END_OF_CELL.search(line, at)
+        if end is None:
+            return [*found, line[start:]], False
+        at = end.end()
+        if end.group() == "\r":
+            if at == size:
+                return [*found, line[start:]], False
+            found.append(line[start : end.start()])
+            start = at
+
+
+def ends_inside(line: str, inside: bool) -> bool:
+    return pieces(line, inside)[1]

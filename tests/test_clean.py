@@ -1,4 +1,5 @@
 import marketplace as m
+import pytest
 
 from orderlens.constants import LABEL_CORRECTIONS, MISSING_TRANSLATIONS
 from orderlens.operators import clean as ops
@@ -105,3 +106,30 @@ def test_order_over_two_categories_counts_in_each(spark):
     )
     pairs = ops.category_pairs(items, products, translation)
     assert rows(pairs, "order_id", "category_english") == [("o1", "A"), ("o1", "B")]
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "total"),
+    [
+        ("decimal(10,3)", ["0.005", "0.005"], "0.01"),
+        ("decimal(10,3)", ["-0.005", "-0.010"], "-0.02"),
+        ("decimal(12,2)", ["17.29", "0.29"], "17.58"),
+        ("decimal(12,2)", ["-17.29", "0.29"], "-17.00"),
+        ("decimal(12,1)", ["0.1", "0.2"], "0.30"),
+        ("int", ["1", "2"], "3.00"),
+        ("double", ["17.29", "0.29"], "17.58"),
+        ("double", ["-17.29", "-0.29"], "-17.58"),
+        ("float", ["0.1", "0.2"], "0.30"),
+    ],
+)
+def test_no_part_of_an_amount_is_cut_off(spark, kind, values, total):
+    items = spark.createDataFrame([("o", "s", v) for v in values], "order_id string, seller_id string, v string")
+    items = items.selectExpr("order_id", "seller_id", f"CAST(v AS {kind}) AS freight_value")
+    assert str(ops.order_freight(items).first()["total_freight"]) == total
+
+
+def test_appended_rows_are_part_of_the_plan(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, n int")
+    out = ops.append_rows(df, [("b", 2), (None, None)])
+    assert [tuple(r) for r in out.collect()] == [("a", 1), ("b", 2), (None, None)]
+    assert ops.append_rows(df, []).collect() == df.collect()

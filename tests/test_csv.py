@@ -1,4 +1,5 @@
 import csv as python_csv
+import io
 import random
 from pathlib import Path
 
@@ -33,7 +34,8 @@ def test_review_cells_with_newlines_quotes_and_blanks(spark, tmp_path):
 
 
 def test_what_is_written_reads_back_the_same(spark):
-    rows = [("a", ""), ("b", None), ("c", 'x "y", z'), ("d", "two\nlines"), ("e", "\\"), ("f", '"')]
+    cells = ["", None, 'x "y", z', "two\nlines", "\\", '"', "  pad  ", " ", "\n", "x\r", "\r", "a\r\nb", "\u001a", ",", "''"]
+    rows = [(f"k{i:02}", cell) for i, cell in enumerate(cells)]
     df = spark.createDataFrame(rows, "k string, v string")
     path = new_folder(spark, "test-csv")
     csv.write_csv(df, path)
@@ -95,7 +97,7 @@ def test_records_across_blocks_match_the_plain_parser(spark, tmp_path, block_byt
             writer.writerows(rows[part::2])
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
     try:
-        df = csv.read_csv_table(spark, str(tmp_path), "k string, v string, w string", True, whole_file_bytes=0)
+        df = csv.read_csv_table(spark, str(tmp_path), "k string, v string, w string", True)
         assert sorted(map(tuple, df.collect())) == sorted(rows)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -104,10 +106,96 @@ def test_records_across_blocks_match_the_plain_parser(spark, tmp_path, block_byt
 def test_assembled_records_are_typed_and_checked(spark, tmp_path):
     path = tmp_path / "reviews.csv"
     path.write_text(REVIEW_FILE)
-    whole = csv.read_csv_table(spark, str(path), TABLE_SCHEMAS["reviews"], True)
-    split = csv.read_csv_table(spark, str(path), TABLE_SCHEMAS["reviews"], True, whole_file_bytes=0)
-    assert split.schema == whole.schema
-    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
+    split = csv.read_csv_table(spark, str(path), TABLE_SCHEMAS["reviews"], True)
+    assert split.dtypes == spark.createDataFrame([], TABLE_SCHEMAS["reviews"]).dtypes
+    assert [r["review_score"] for r in sorted(split.collect())] == [4, 5, 1]
     path.write_text('k,n\n"a",1\n"b",none\n')
     with pytest.raises(Exception, match="Malformed records"):
-        csv.read_csv_table(spark, str(path), "k string, n int", True, whole_file_bytes=0).collect()
+        csv.read_csv_table(spark, str(path), "k string, n int", True).collect()
+
+
+def python_rows(text):
+    """Records as Python's csv module reads them: no header, no blank lines."""
+    rows = list(python_csv.reader(io.StringIO(text, newline="")))
+    return [tuple(r) for r in rows if r][1:]
+
+
+def random_cell(rng):
+    pieces = ["a", "\n", ",", "word", "\n\n", " ", "x\ny", "\r\n", "\r", '"']
+    cell = "".join(rng.choice(pieces) for _ in range(rng.randrange(6)))
+    if rng.random() < 0.6:
+        return '"' + cell.replace('"', '""') + '"'
+    # An unquoted cell may hold quotes, but not at its start.
+    return "u" + "".join(c for c in cell if c not in ",\n\r")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("block_bytes", [7, 60, 100_000])
+def test_any_file_in_any_blocks_matches_pythons_reader(spark, tmp_path, end, block_bytes):
+    rng = random.Random(f"{end!r}{block_bytes}")
+    texts = []
+    for part in range(3):
+        lead = end * rng.randrange(3)
+        body = [",".join([f"k{part}-{i}", random_cell(rng), random_cell(rng)]) for i in range(25)]
+        blank = [end if rng.random() < 0.1 else "" for _ in body]
+        text = lead + "k,v,w" + end + "".join(line + end + extra for line, extra in zip(body, blank))
+        texts.append(text if rng.random() < 0.5 else text.removesuffix(end))
+        (tmp_path / f"part-{part}.csv").write_bytes(texts[-1].encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
+    try:
+        df = csv.read_csv_table(spark, str(tmp_path), "k string, v string, w string", True)
+        found = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # Spark trims nothing; only quoted empty cells are told apart from empty ones, which are NULL.
+    assert [tuple(c or "" for c in row) for row in found] == sorted(r for t in texts for r in python_rows(t))
+
+
+def test_both_readers_agree_where_cells_have_no_newlines(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('\nk,v\na,1,5" screen\n'.replace("1,5", "15") + 'b,"x ""y"""\nc,""\nd,\n')
+    plain = csv.read_csv_table(spark, str(tmp_path), "k string, v string")
+    split = csv.read_csv_table(spark, str(tmp_path), "k string, v string", multiline=True)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
+    assert {r.k: r.v for r in split.collect()} == {"a": '15" screen', "b": 'x "y"', "c": "", "d": None}
+
+
+def test_header_over_several_lines_and_blocks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('\n\n"k\nof\nrow","v"\na,1\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3")
+    try:
+        df = csv.read_csv_table(spark, str(tmp_path), "k string, v int", multiline=True)
+        assert [tuple(r) for r in df.collect()] == [("a", 1)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cell_without_end_is_an_error(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('k,v\na,"1\nb,2\n')
+    with pytest.raises(Exception, match="quoted cell does not end"):
+        csv.read_csv_table(spark, str(tmp_path), "k string, v string", multiline=True).collect()
+
+
+def test_only_crossing_records_are_shuffled(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,v\n" + "".join(f'{i},"two\nlines"\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = csv.read_csv_table(spark, str(tmp_path), "k int, v string", multiline=True)
+        assert df.count() == 3000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all("file" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    class Session:
+        def __init__(self, **settings):
+            self.conf = {k.replace("_", "."): v for k, v in settings.items()}
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x", ""):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            new_folder(Session(spark_master=master), "x")
+    assert "x-" in new_folder(Session(spark_master="local[4]"), "x")
+    session = Session(spark_master="yarn")
+    session.conf["spark.checkpoint.dir"] = "s3a://shared/"
+    assert new_folder(session, "x").startswith("s3a://shared/x-")

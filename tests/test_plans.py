@@ -8,11 +8,11 @@ from decimal import Decimal
 import marketplace as m
 import pytest
 
-from __spark_entry__ import queries
 from orderlens.operators import clean as ops
 from orderlens.operators import quality as q
 from orderlens.plans import delivery, freight, risk
 from orderlens.plans.workflow import Analysis
+from orderlens.sample.queries import sample_queries
 
 DIRECTORY = "/root/testdata/sf0.001"
 
@@ -96,7 +96,7 @@ def market(spark, tmp_path_factory):
 
 
 def test_no_query_leaves_the_jvm_or_pairs_all_rows(spark):
-    for name, query in queries().items():
+    for name, query in sample_queries().items():
         if name.endswith("_csv"):
             continue
         plan = initial_plan(query(spark, DIRECTORY))
@@ -214,3 +214,30 @@ def test_pairs_of_a_hot_review_match_a_plain_count(spark, market):
     pairs = sum(len(v) - 1 for v in moments.values())
     found = q.shared_review_gap_within(analysis.tables["reviews"], analysis.tables["orders"]).first()
     assert tuple(found) == (pairs, pairs)
+
+
+def test_category_reports_do_not_shuffle_products_by_category(spark, market):
+    """The few translations, with the appended rows, are broadcast; the products stay where they are."""
+    analysis, _ = market
+    jobs = analysis.jobs()
+    for name in ("category_risk", "category_orders", "category_dimensions_kitchen"):
+        plan = initial_plan(jobs[name]())
+        assert "Exchange hashpartitioning(product_category_name#" not in plan, name
+
+
+def test_counting_queries_read_no_comments(spark, market):
+    analysis, _ = market
+    jobs = analysis.jobs()
+    for name in ("deduped_order_uniqueness", "null_counts_reviews"):
+        schemas = re.findall(r"ReadSchema: struct<([^>]*)>", initial_plan(jobs[name]()))
+        assert schemas and not any("comment" in s or "timestamp" in s for s in schemas), name
+
+
+def test_stored_seller_rates_spare_the_items(spark, market):
+    analysis, _ = market
+    stored = analysis.stored()
+    for name in ("worst_sellers", "seller_risk_segments", "seller_risk_all"):
+        assert "freight_value" not in initial_plan(stored.jobs()[name]())
+        assert "order_item" not in initial_plan(stored.jobs()[name]())
+    stored.close()
+    assert stored.folders == []

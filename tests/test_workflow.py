@@ -36,3 +36,10 @@ def test_fixes_leave_the_inputs_alone(spark):
     assert fixed["products"].where("product_category_name = ''").count() == 0
     assert fixed["category_translation"].count() == raw["category_translation"].count() + 2
     assert set(fixed) == set(raw)
+
+
+def test_stored_folders_are_removed_after_the_export(spark, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in shared.iterdir()} if shared.exists() else set()
+    export_reports(sample_analysis(spark, DIRECTORY), str(tmp_path))
+    assert {p.name for p in shared.iterdir()} == before
