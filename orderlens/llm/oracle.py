@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from orderlens.llm.license_scan import TEMPLATES
+
 _SPACES = r"[\x20\x09-\x0D]+"
 
 EXACT_DEDUP = rf"""
@@ -67,5 +69,45 @@ FROM mixed
 
 
 
+_TEMPLATES = ", ".join(
+    "({}, '{}')".format(f"'{name}'", text.replace("'", "''")) for name, texts in TEMPLATES.items() for text in texts
+)
+
+LICENSE_SCAN = rf"""
+WITH cut AS (
+    SELECT doc_id, unnest(
+        string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))
+        || string_split_regex(
+            regexp_replace(text, '\n[\x20\x09\x0B-\x0D]*\n', chr(10) || chr(10), 'g'), '\n\n+')
+        || [text]) AS span
+    FROM documents
+),
+words AS (
+    SELECT doc_id, span, string_split(span, ' ') AS w
+    FROM (SELECT DISTINCT doc_id, trim(regexp_replace(lower(span), '[^a-z0-9]+', ' ', 'g')) AS span FROM cut)
+),
+spans AS (
+    SELECT doc_id, span, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS bigrams FROM words
+),
+template_words AS (
+    SELECT license, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
+    FROM (VALUES {_TEMPLATES}) AS t(license, text)
+),
+templates AS (
+    SELECT license, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS bigrams FROM template_words
+),
+likeness AS (
+    SELECT doc_id, span, license,
+        2.0::DOUBLE * len(list_intersect(s.bigrams, t.bigrams)) / (len(s.bigrams) + len(t.bigrams)) AS dice
+    FROM spans s, templates t
+),
+best AS (
+    SELECT doc_id, span, license, dice FROM likeness WHERE dice >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY doc_id, span ORDER BY dice DESC, license DESC) = 1
+)
+SELECT doc_id, license, count(*) AS n_spans, round(max(dice), 6) AS best_dice FROM best GROUP BY doc_id, license
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op8_mixing": MIXING}
+    return {"op2_exact_dedup": EXACT_DEDUP, "op3_license_scan": LICENSE_SCAN, "op8_mixing": MIXING}

@@ -1,10 +1,13 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import cases
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from orderlens.llm import queries
 from orderlens.llm.sharding import Shard, default_tree, shards_by_key, tree_shard
 
 
@@ -86,3 +89,33 @@ def test_empty(spark):
 def test_tree_without_weight_is_an_error():
     with pytest.raises(ValueError):
         tree_shard([Shard(0, 0, 0, 0.0)])
+
+
+def drawn(tree, doc_id):
+    """The shard of an identifier by the same draws, one node at a time."""
+    level, name, below = ["region", "rack", "shard"], "", list(tree)
+    for key in level:
+        draws = []
+        for child in sorted({getattr(s, key) for s in below}):
+            path = f"{name}/{key} {child}"
+            bits = xxhash.xxh64_intdigest(str(doc_id).encode(), xxhash.xxh64_intdigest(path.encode(), 42))
+            weight = sum(s.weight for s in below if getattr(s, key) == child)
+            draws.append((-math.log(((bits & ((1 << 53) - 1)) + 0.5) / (1 << 53)) / weight, child, path))
+        _, child, name = min(draws)
+        below = [s for s in below if getattr(s, key) == child]
+    return below[0].shard
+
+
+def test_query_against_brute_force(spark):
+    directory = "/root/testdata/sf0.001"
+    texts = dict(spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text").collect())
+    rows = queries.op10_sharding(spark, directory).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    slots = defaultdict(list)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 1, zlib.crc32(data), "key")
+        assert r.shard == drawn(default_tree(16), r.doc_id)
+        assert r.grown_shard == drawn(default_tree(17), r.doc_id)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
