@@ -1,5 +1,7 @@
 """Every registered query against its SQL in DuckDB: names, types and values."""
 
+import re
+
 import compare
 import pytest
 
@@ -23,7 +25,9 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
-    assert compare.differences(QUERIES[name](spark, DIRECTORY), connection, ORACLE[name]) == []
+    # SQL that ends with an order says that the order of rows is part of the result.
+    ordered = re.search(r"ORDER BY [^()]*$", ORACLE[name].strip()) is not None
+    assert compare.differences(QUERIES[name](spark, DIRECTORY), connection, ORACLE[name], ordered) == []
 
 
 def test_entry_has_rows(spark):
