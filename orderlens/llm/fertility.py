@@ -51,7 +51,7 @@ class Band:
 
 # Characters per token tell most. The others reject only what is far out.
 BANDS: Mapping[str, Band] = {
-    "chars_per_token": Band(4.0, 8.0, 0.04),
+    "chars_per_token": Band(5.0, 8.0, 0.04),
     "fallback_share": Band(float("inf"), 12.0, 0.005),
     "token_entropy": Band(6.0, float("inf"), 0.04),
 }
