@@ -88,6 +88,13 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
 }
 
 
+# Words of ordinary prose, which tell a notice least; they become anchors last.
+COMMON_WORDS = frozenset(
+    "a an and any as at be by can do for free from if in is it not of on one or same that the these this to under up "
+    "use was were with you".split()
+)
+
+
 def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -107,7 +114,7 @@ def most_size(bigrams: int, threshold: float) -> int:
 
 
 def anchors(text: str, threshold: float) -> set[str]:
-    """Words of which every matching span holds one, the longest first.
+    """Words of which every matching span holds one: uncommon ones first, then the longest.
 
     A match has at least ``least_size`` of the template's bigrams. If fewer than that
     are free of anchors, it has one with an anchor.
@@ -115,7 +122,7 @@ def anchors(text: str, threshold: float) -> set[str]:
     free = template_bigrams(text)
     may_be_free = least_size(len(free), threshold) - 1
     chosen: set[str] = set()
-    for word in sorted(set(template_words(text)), key=lambda w: (-len(w), w)):
+    for word in sorted(set(template_words(text)), key=lambda w: (w in COMMON_WORDS, -len(w), w)):
         if len(free) <= may_be_free:
             break
         remaining = [b for b in free if word not in b.split(" ")]
@@ -153,13 +160,12 @@ def license_spans(
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     every = [(name, t) for name, texts in sorted(templates.items()) for t in texts]
-    words = sorted(set().union(*[anchors(t, threshold) for _, t in every]))
-    has_anchor = f"(^|[^a-z0-9])({'|'.join(words)})([^a-z0-9]|$)"
+    words = F.array(*map(F.lit, sorted(set().union(*[anchors(t, threshold) for _, t in every]))))
     spans = (
         docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
-        .where(F.lower("text").rlike(has_anchor))
+        .where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), words))
         .select("id", F.explode(_spans(F.col("text"))).alias("span"))
-        .where(F.col("span").rlike(has_anchor))
+        .where(F.arrays_overlap(F.split("span", " "), words))
         .select("id", "span", _bigrams(F.col("span")).alias("bigrams"))
         .withColumn("size", F.size("bigrams"))
     )
