@@ -90,13 +90,16 @@ def fitted(
     empty = FactorizationMachine(bias, {}, np.zeros(0), np.zeros((0, factors)))
     if share in (0.0, 1.0) or not len(labels):
         return empty
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    _, flat, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    frequent = seen[flat] >= least_rows
-    if not frequent.any():
+    every = np.concatenate(rows)
+    seen = np.bincount(every)
+    places = np.flatnonzero(seen >= least_rows)
+    if not len(places):
         return empty
-    owner = owner[frequent]
-    places, flat = np.unique(np.concatenate(rows)[frequent], return_inverse=True)
+    number = np.full(len(seen), -1, np.int32)
+    number[places] = np.arange(len(places))
+    flat = number[every]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[flat >= 0]
+    flat = flat[flat >= 0]
     starts = np.searchsorted(owner, np.arange(len(rows) + 1))
     random = np.random.default_rng(seed)
     n = len(places)
@@ -161,7 +164,7 @@ def training_sample(
         .drop_duplicates("id")
         .sort_values("id")
     )
-    return [np.array(t, np.int64) for t in found["terms"]], found["label"].to_numpy(float)
+    return [np.array(t, np.int32) for t in found["terms"]], found["label"].to_numpy(float)
 
 
 def toxicity(
