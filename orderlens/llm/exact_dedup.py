@@ -22,9 +22,9 @@ from orderlens.llm.common import SPACES, id_text, whole_text
 from orderlens.sources.catalog import stored
 
 # A text with more copies than a slice is sorted in slices of this many rows, or of
-# a thousandth of all rows if that is more. So at most 1000 texts are ever listed.
+# this share of all rows if that is more. So at most 100,000 texts are ever listed.
 SLICE_ROWS = 1000
-MOST_LISTED = 1000
+MOST_LISTED = 100_000
 
 # Splitters are sampled from this many characters and a hash, never from whole texts.
 _HEAD_CHARACTERS = 32
