@@ -1,7 +1,8 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary measures each text: characters per token, share of tokens that
-fall back to single bytes, and entropy of the tokens. What is ordinary differs
+fall back to single bytes, entropy of the tokens, and share of tokens that are symbols
+and no punctuation of prose. What is ordinary differs
 between languages, so each language has its own bands: the median over all its
 documents, plus and minus a number of robust spreads. A text outside a band is
 rejected; symbols between words, capitals and foreign scripts cut words into more
@@ -14,6 +15,7 @@ its own. Repeated rows are measured each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cache
@@ -36,8 +38,9 @@ MOST_LANGUAGES_SENT = 10_000
 
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
+_PROSE_MARKS = frozenset(".,;:!?'\"()-’‘“”«»„¿¡–—…")
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_FERTILITY = "n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
+_FERTILITY = "n_tokens long, chars_per_token double, fallback_share double, token_entropy double, symbol_share double"
 
 
 @dataclass(frozen=True)
@@ -49,11 +52,13 @@ class Band:
     least_spread: float
 
 
-# Characters per token tell most. The others reject only what is far out.
+# Characters per token tell most where texts are alike; where they differ in length, so that
+# bands are wide, symbols do. The others reject only what is far out.
 BANDS: Mapping[str, Band] = {
     "chars_per_token": Band(5.0, 8.0, 0.04),
     "fallback_share": Band(float("inf"), 12.0, 0.005),
     "token_entropy": Band(6.0, float("inf"), 0.04),
+    "symbol_share": Band(float("inf"), 8.0, 0.005),
 }
 # Medians are taken over values rounded to this many places, so that equal ones can be counted.
 _PLACES = 3
@@ -108,23 +113,41 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
+def _is_symbol(piece: str) -> bool:
+    """Symbols or marks only, and not all of them marks of prose."""
+    marks = piece.replace("\u2581", "")
+    return (
+        bool(marks)
+        and all(unicodedata.category(c)[0] in "SP" for c in marks)
+        and not all(c in _PROSE_MARKS for c in marks)
+    )
+
+
 @cache
-def _vocabulary(path: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray]:
-    """The tokenizer and which of its pieces are single bytes; a Python worker loads it once."""
+def _vocabulary(path: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray, np.ndarray]:
+    """The tokenizer, and which of its pieces are single bytes and symbols; a Python worker loads it once."""
     pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-    return pieces, np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
+    every = range(pieces.get_piece_size())
+    is_byte = np.array([pieces.is_byte(i) for i in every])
+    is_symbol = np.array([_is_symbol(pieces.id_to_piece(i)) for i in every]) & ~is_byte
+    return pieces, is_byte, is_symbol
 
 
-def fertility(text: str, path: str) -> tuple[int, float, float, float]:
-    """Tokens, characters per token, share of byte tokens, and entropy relative to its most."""
-    pieces, is_byte = _vocabulary(path)
+def token_measures(text: str, path: str) -> tuple[int, float, float, float, float]:
+    """What ``fertility`` gives, and the share of tokens that are symbols."""
+    pieces, is_byte, is_symbol = _vocabulary(path)
     ids = np.array(pieces.encode(text, num_threads=1), np.int64)
     if not len(ids):
-        return 0, 0.0, 0.0, 0.0
+        return 0, 0.0, 0.0, 0.0, 0.0
     shares = np.bincount(ids)
     shares = shares[shares > 0] / len(ids)
     entropy = -float((shares * np.log2(shares)).sum()) / np.log2(max(len(ids), 2))
-    return len(ids), len(text) / len(ids), float(is_byte[ids].mean()), entropy
+    return len(ids), len(text) / len(ids), float(is_byte[ids].mean()), entropy, float(is_symbol[ids].mean())
+
+
+def fertility(text: str, path: str) -> tuple[int, float, float, float]:
+    """Tokens, characters per token, share of byte tokens, and entropy relative to its most."""
+    return token_measures(text, path)[:4]
 
 
 def measures(text: Column, path: str) -> Column:
@@ -134,7 +157,7 @@ def measures(text: Column, path: str) -> Column:
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [field.split()[0] for field in f"{_BASE}, {_FERTILITY}".split(", ")]
         for batch in batches:
-            rows = [(*base_measures(text), *fertility(text, path)) for text in batch]
+            rows = [(*base_measures(text), *token_measures(text, path)) for text in batch]
             yield pd.DataFrame(rows, columns=names)
 
     return measure(whole_text(text))

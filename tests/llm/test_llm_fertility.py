@@ -112,3 +112,25 @@ def test_many_languages_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(fertility, "MOST_LANGUAGES_SENT", 0)
     df = cases.edge_table(spark)
     assert fertility.quality(df, PATH).count() == df.count()
+
+
+def test_symbols_are_tokens_without_letters_that_prose_does_not_use():
+    assert [fertility._is_symbol(p) for p in ("▁$$", "|", "▁%", "#.")] == [True] * 4
+    assert [fertility._is_symbol(p) for p in ("▁", ".", "▁«", "a", "1", "▁c#", "語", "")] == [False] * 8
+    assert fertility.token_measures("", PATH) == (0, 0.0, 0.0, 0.0, 0.0)
+    assert fertility.token_measures("plain words, and more.", PATH)[4] == 0
+    assert fertility.token_measures("a | b | c | d", PATH)[4] > 0.3
+
+
+def test_shares_kept_and_rejected_per_language(spark):
+    """By labels, of the documents that the base rules accept: each language loses its junk and keeps its prose."""
+    directory = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{directory}/labels.parquet").where("quality IS NOT NULL").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "lang")
+    judged = queries.op4_fertility(spark, directory).where("NOT base_failed").join(labels, "doc_id").join(docs, "doc_id")
+    kept = {(lang, q): (0, 0) for lang in ("de", "en", "es", "fr") for q in (0, 1)}
+    for r in judged.groupBy("lang", "quality").agg({"*": "count", "kept": "count_if"}).collect():
+        kept[r.lang, r.quality] = r["count_if(kept)"], r["count(1)"]
+    for (lang, good), (n, of) in kept.items():
+        assert of > 30, lang
+        assert (n >= 0.99 * of) if good else (n <= 0.05 * of), (lang, good, n, of)
