@@ -27,8 +27,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that similarity links connect, the one with the smallest doc_id."""
-    return ngram_join.one_of_each_class(docs)
+    """Of texts that similarity links connect, the row with the smallest doc_id."""
+    return ngram_join.one_row_of_each_class(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

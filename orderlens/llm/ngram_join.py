@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import unused_name, whole_text
@@ -111,6 +111,11 @@ def _signature(ngrams: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) ->
     return least
 
 
+def _text_hash(text: Column) -> Column:
+    """128 bits, so that different texts of one identifier, or of none, can be told apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _signed(docs: DataFrame, id_column: str, text_column: str, forest: Forest) -> DataFrame:
     """Per row: digest of the words, number of n-grams, signature (big-endian, as bytes)."""
 
@@ -127,7 +132,7 @@ def _signed(docs: DataFrame, id_column: str, text_column: str, forest: Forest) -
             yield pd.DataFrame(rows, columns=["digest", "ngrams", "signature"])
 
     text = whole_text(text_column)
-    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), sign(text).alias("s")).select(
+    return docs.select(F.col(id_column).alias("id"), _text_hash(text).alias("text_hash"), sign(text).alias("s")).select(
         "id", "text_hash", "s.*"
     )
 
@@ -244,7 +249,7 @@ def _verified(groups: DataFrame, texts: DataFrame, docs: DataFrame, forest: Fore
         F.col("first.text_hash").alias("text_hash"),
     )
     text = whole_text(text_column)
-    rows = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc"), _text_hash(text).alias("doc_hash"), text.alias("text"))
 
     @F.pandas_udf("digest binary, ngrams binary")
     def words_again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -323,16 +328,8 @@ def _verify(run: pa.Table, forest: Forest) -> pa.RecordBatch:
     )
 
 
-def similar_classes(
-    docs: DataFrame, forest: Forest = Forest(), id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """For each row: its class, its copy class, and its links.
-
-    ``class_id`` is the smallest identifier among all rows that links connect;
-    ``copy_id`` the smallest among rows of the same words; ``n_links`` the number of
-    different texts linked to the row's; ``n_linked_docs`` the number of other rows
-    that are copies of the row or of those texts.
-    """
+def _classes(docs: DataFrame, forest: Forest, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's (id, text_hash, digest, ngrams, ...), and each digest's first row, first row of its class, and links."""
     signed = stored(_signed(docs, id_column, text_column, forest), "signatures")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     texts = stored(
@@ -370,19 +367,33 @@ def similar_classes(
     described = in_class.join(classes, "root").select("node", "class", "n_links", "linked_rows")
     by_digest = texts.join(described, "node", "left").select(
         "digest",
-        F.col("first.id").alias("copy_id"),
-        F.coalesce("class", "first")["id"].alias("class_id"),
+        "first",
+        F.coalesce("class", "first").alias("class"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.coalesce("linked_rows", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_linked_docs"),
     )
+    return signed, by_digest
+
+
+def similar_classes(
+    docs: DataFrame, forest: Forest = Forest(), id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """For each row: its class, its copy class, and its links.
+
+    ``class_id`` is the smallest identifier among all rows that links connect;
+    ``copy_id`` the smallest among rows of the same words; ``n_links`` the number of
+    different texts linked to the row's; ``n_linked_docs`` the number of other rows
+    that are copies of the row or of those texts.
+    """
+    signed, by_digest = _classes(docs, forest, id_column, text_column)
     has_words = F.col("n_links").isNotNull()
     return (
         signed.select("id", F.when(F.col("ngrams") > 0, F.col("digest")).alias("digest"))
         .join(by_digest, "digest", "left")
         .select(
             F.col("id").alias(id_column),
-            F.when(has_words, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-            F.when(has_words, F.col("copy_id")).otherwise(F.col("id")).alias("copy_id"),
+            F.when(has_words, F.col("class.id")).otherwise(F.col("id")).alias("class_id"),
+            F.when(has_words, F.col("first.id")).otherwise(F.col("id")).alias("copy_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("n_linked_docs", F.lit(0)).cast("long").alias("n_linked_docs"),
         )
@@ -390,7 +401,10 @@ def similar_classes(
 
 
 def one_of_each_class(docs: DataFrame, forest: Forest = Forest(), id_column: str = "doc_id") -> DataFrame:
-    """The rows whose identifier is the smallest of their class, and those without an identifier."""
+    """The rows whose identifier is the smallest of their class, and those without an identifier.
+
+    It goes by identifiers alone, so they must be unique; else take ``one_row_of_each_class``.
+    """
     gone = unused_name(docs.columns, "gone")
     dropped = (
         similar_classes(docs, forest, id_column)
@@ -398,3 +412,40 @@ def one_of_each_class(docs: DataFrame, forest: Forest = Forest(), id_column: str
         .select(F.col(id_column).alias(gone))
     )
     return docs.join(dropped, docs[id_column] == dropped[gone], "left_anti")
+
+
+def one_row_of_each_class(
+    docs: DataFrame, forest: Forest = Forest(), id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """One row of each class, whatever its identifier: the smallest identifier's, null last. Rows without words stay.
+
+    Rows are told apart by identifier and text. Of rows equal in both, the one whose
+    columns have the smallest hash stays.
+    """
+    signed, by_digest = _classes(docs, forest, id_column, text_column)
+    names = ["key_id", "key_hash", "key_first"]
+    key_id, key_hash, key_first = [unused_name(docs.columns, name) for name in names]
+    first = F.col("id").eqNullSafe(F.col("class.id")) & (F.col("text_hash") == F.col("class.text_hash"))
+    marked = stored(
+        signed.where("ngrams > 0")
+        .groupBy("id", "text_hash", "digest")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .join(by_digest.select("digest", "class"), "digest")
+        .where(~first | (F.col("rows") > 1))
+        .select(F.col("id").alias(key_id), F.col("text_hash").alias(key_hash), first.alias(key_first)),
+        "class-rows",
+    )
+    same = docs[id_column].eqNullSafe(marked[key_id]) & (_text_hash(whole_text(docs[text_column])) == marked[key_hash])
+    left = docs.join(marked, same, "left_anti")
+    repeated = marked.where(key_first)
+    if repeated.isEmpty():
+        return left
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    once = (
+        docs.join(repeated, same)
+        .select(key_id, key_hash, row.alias("row"))
+        .groupBy(key_id, key_hash)
+        .agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+        .select("row.*")
+    )
+    return left.unionByName(once)

@@ -131,3 +131,28 @@ def test_components_of_paths_stars_and_random_graphs(spark):
         root[y] = x
     got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_one_row_stays_of_each_class_whatever_the_identifiers(spark):
+    r = random.Random(8)
+    fresh = lambda: [f"w{r.randrange(5000)}" for _ in range(120)]
+    a, b, c, d = fresh(), fresh(), fresh(), fresh()
+    rows = [
+        (3, " ".join(a)),
+        (5, edited(a, r, 1)),  # a near copy of 3
+        (5, " ".join(b)),  # another text under the same identifier
+        *[(None, edited(c, r, 1)) for _ in range(4)],  # near copies without identifier
+        (7, " ".join(d)),
+        (7, edited(d, r, 1)),  # near copies under one identifier
+        *[(9, "these very words are repeated")] * 3,
+        (None, ""),
+        (None, "- -"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS id", "'y' AS key_id")
+    left = ngram_join.one_row_of_each_class(df)
+    assert left.columns == df.columns
+    found = Counter((r.doc_id, r.text) for r in left.collect())
+    assert Counter(i for i, _ in found.elements()) == {3: 1, 5: 1, 7: 1, 9: 1, None: 3}
+    assert found[3, " ".join(a)] == found[5, " ".join(b)] == 1
+    assert sum(n for (i, t), n in found.items() if i is None and len(t) > 10) == 1
+    assert ngram_join.one_row_of_each_class(cases.empty_table(spark)).count() == 0
