@@ -12,7 +12,8 @@ factors: the model stays small, and common words, however many a text has, add
 nothing. Scoring covers every row and whole texts.
 
 A null text is empty and gets the bias alone. Rows without identifier are scored and
-never learnt from. Null labels are left out; an identifier with several labels is
+never learnt from; of several texts of an identifier, the one of the smallest hash is
+learnt from. Null labels are left out; an identifier with several labels is
 toxic if one of them is. With labels of one kind only, every score is their share. An
 empty table gives an empty result.
 """
@@ -159,9 +160,10 @@ def training_sample(
     texts = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
     found = (
         texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen"))  # TRAINING_ROWS at most
+        .groupBy("id", "label")
+        .agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
         .select("id", "label", terms("text").alias("terms"))
         .toPandas()
-        .drop_duplicates("id")
         .sort_values("id")
     )
     return [np.array(t, np.int32) for t in found["terms"]], found["label"].to_numpy(float)

@@ -72,3 +72,22 @@ def test_edge_cases(spark):
     none = spark.createDataFrame([], LABELS)
     assert all(r.score == 0.5 for r in toxicity.toxicity(df, none, F.lit(True)).collect())
     assert toxicity.toxicity(cases.empty_table(spark), labels, F.lit(True)).count() == 0
+
+
+def test_one_row_of_an_identifier_reaches_the_driver(spark, monkeypatch):
+    """A hot identifier with many texts: one is collected, the same in every order of rows."""
+    texts = [(0, f"text number {i} of many") for i in range(300)] + [(i, "other") for i in range(1, 8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.range(8).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS INT) AS toxic")
+    collected, whole = [], type(docs).toPandas
+
+    def counted(df):
+        found = whole(df)
+        collected.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(docs), "toPandas", counted)
+    orders = docs, docs.orderBy("text"), docs.orderBy(F.col("text").desc())
+    samples = [toxicity.training_sample(d, labels, F.lit(True), "doc_id", "text", "toxic") for d in orders]
+    assert collected == [8, 8, 8]
+    assert len({str([list(t) for t in rows]) for rows, _ in samples}) == 1
