@@ -77,10 +77,18 @@ def systematic_copies(
     source_column: str = "source",
     weights: Sequence[int] = WEIGHTS,
     share: float = SHARE,
+    row_column: str | None = None,
 ) -> DataFrame:
-    """For each row: its size, source_size, target and number of ``copies``."""
+    """For each row: its size, source_size, target and number of ``copies``.
+
+    If ``row_column`` names a key of the rows, it is given instead of the identifier,
+    and rows equal in identifier, source and size are ordered by their texts.
+    """
+    tie = [F.md5(whole_text(text_column).cast("binary")).alias("tie"), F.col(row_column).alias("row")] if row_column else []
+    ties = ["tie", "row"] if row_column else []
     rows = stored(
         docs.select(
+            *tie,
             F.col(id_column).alias("id"),
             F.col(source_column).alias("source"),
             F.regexp_count(whole_text(text_column), F.lit(WORD)).cast("long").alias("size"),
@@ -109,13 +117,13 @@ def systematic_copies(
         .agg(F.count(F.lit(1)).alias("rows_in_part"))
         .select(*part, F.coalesce(F.sum("rows_in_part").over(earlier), F.lit(0)).alias("rows_before"))
     )
-    in_part = Window.partitionBy(*part).orderBy("size", F.col("id").asc_nulls_last())
+    in_part = Window.partitionBy(*part).orderBy("size", F.col("id").asc_nulls_last(), *ties)
     ranked = dealt.withColumn("in_part", F.row_number().over(in_part))
     placed = ranked.join(counts, same(ranked, counts, *part)).select(ranked["*"], "rows_before")
     crossed = lambda rank: F.shiftright(rank * F.col("rate") + F.col("offset"), _UNIT_BITS)
     rank = F.col("rows_before") + F.col("in_part")
     return placed.join(goals, same(placed, goals, "source")).select(
-        F.col("id").alias(id_column),
+        F.col("row").alias(row_column) if row_column else F.col("id").alias(id_column),
         "size",
         "source_size",
         "target",
@@ -126,15 +134,14 @@ def systematic_copies(
 def mixed(docs: DataFrame, seed: int = 0, id_column: str = "doc_id") -> DataFrame:
     """The documents of the mix: each row as often as its copies say, with its own columns.
 
-    Rows with the same identifier must be equal: the identifier gets one number of copies.
+    Rows are stored with a key of their own, so identifiers may be null or repeated.
     """
-    times = unused_name(docs.columns, "copies")
+    times, key, of = [unused_name(docs.columns, name) for name in ("copies", "row_key", "copies_of")]
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
     copies = (
-        systematic_copies(docs, seed, id_column)
-        .groupBy(id_column)
-        .agg(F.max("copies").alias(times))
-        .where(F.col(times) > 0)
-        .withColumnRenamed(id_column, "id")
+        systematic_copies(rows, seed, id_column, row_column=key)
+        .where(F.col("copies") > 0)
+        .select(F.col(key).alias(of), F.col("copies").alias(times))
     )
-    rows = docs.join(copies, docs[id_column].eqNullSafe(copies["id"])).select(docs["*"], times)
-    return rows.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(times)
+    taken = rows.join(copies, rows[key] == copies[of]).select(*[rows[f"`{c}`"] for c in docs.columns], times)
+    return taken.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(times)

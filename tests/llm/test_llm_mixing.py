@@ -90,3 +90,23 @@ def test_parts_of_large_classes(spark, monkeypatch):
     for size in {r.source_size for r in rows}:
         of = [r for r in rows if r.source_size == size]
         assert abs(sum(r.copies for r in of) * 3 - of[0].target) <= 3
+
+
+def test_sources_come_near_targets_with_null_and_repeated_identifiers(spark):
+    """A third of the rows has no identifier, a third shares one, over all sources; targets hold for each source."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(-1)).alias("doc_id"),
+        F.concat(F.lit("s"), F.col("id") % 4).alias("source"),
+        F.concat(F.lit("w"), F.col("id"), F.repeat(F.lit(" w"), (F.col("id") % 17).cast("int"))).alias("text"),
+        F.col("id").alias("own"),
+    )
+    words = lambda t: len(t.split())
+    sizes, taken, times = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in df.collect():
+        sizes[r.source] += words(r.text)
+    for r in mixing.mixed(df, 3).collect():
+        taken[r.source] += words(r.text)
+        times[r.own] += 1
+    assert max(times.values()) <= 2
+    for source, target in poured(sizes).items():
+        assert taken[source] == pytest.approx(target, rel=0.03), source
