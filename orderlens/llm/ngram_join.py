@@ -249,7 +249,15 @@ def _verified(groups: DataFrame, texts: DataFrame, docs: DataFrame, forest: Fore
         F.col("first.text_hash").alias("text_hash"),
     )
     text = whole_text(text_column)
-    rows = docs.select(F.col(id_column).alias("doc"), _text_hash(text).alias("doc_hash"), text.alias("text"))
+    # Rows that repeat identifier and text are made one before they are joined: combined before the shuffle, which
+    # is by the keys of the join, so texts are shuffled once.
+    no_id, known = F.col("id").isNull(), F.coalesce(F.col("id").cast("string"), F.lit(""))
+    rows = (
+        docs.select(F.col(id_column).alias("id"), text.alias("text"))
+        .groupBy(no_id.alias("no_doc"), known.alias("doc"), _text_hash(F.col("text")).alias("doc_hash"))
+        .agg(F.min("text").alias("text"))
+    )
+    placed = placed.withColumns({"no_id": no_id, "known": known})
 
     @F.pandas_udf("digest binary, ngrams binary")
     def words_again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -261,7 +269,12 @@ def _verified(groups: DataFrame, texts: DataFrame, docs: DataFrame, forest: Fore
             yield pd.DataFrame(found, columns=["digest", "ngrams"])
 
     read = (
-        rows.join(placed, F.col("doc").eqNullSafe(F.col("id")) & (F.col("doc_hash") == F.col("text_hash")))
+        rows.join(
+            placed,
+            (F.col("no_doc") == F.col("no_id"))
+            & (F.col("doc") == F.col("known"))
+            & (F.col("doc_hash") == F.col("text_hash")),
+        )
         # Marked so that the filter does not run it a second time.
         .withColumn("again", words_again.asNondeterministic()("text"))
         .where(F.col("again.digest") == F.col("digest"))
@@ -280,9 +293,7 @@ def _verified(groups: DataFrame, texts: DataFrame, docs: DataFrame, forest: Fore
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches):
-            # Rows that repeat an identifier bring the same text again.
-            _, first = np.unique(run.column(1).to_numpy(), return_index=True)
-            yield _verify(run.take(pa.array(first)), forest)
+            yield _verify(run.take(pa.array(np.argsort(run.column(1).to_numpy()))), forest)
 
     return pairs.repartition("task").sortWithinPartitions("task").mapInArrow(
         verify, "node long, root long, links long, linked_rows long, whole boolean"

@@ -156,3 +156,24 @@ def test_one_row_stays_of_each_class_whatever_the_identifiers(spark):
     assert found[3, " ".join(a)] == found[5, " ".join(b)] == 1
     assert sum(n for (i, t), n in found.items() if i is None and len(t) > 10) == 1
     assert ngram_join.one_row_of_each_class(cases.empty_table(spark)).count() == 0
+
+
+def test_repeated_rows_are_read_back_once(spark, monkeypatch):
+    """Rows that repeat identifier and text, or text without identifier, are one row of the verification."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    rows = [(1, " ".join(base))] * 300 + [(2, edited(base, r, 1))] + [(None, edited(base, r, 1))] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plans, stored = [], ngram_join.stored
+
+    def kept(frame, name):
+        if name == "verified":
+            plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stored(frame, name)
+
+    monkeypatch.setattr(ngram_join, "stored", kept)
+    found = ngram_join.similar_classes(df).collect()
+    assert len(found) == 501 and {x.class_id for x in found} == {1}
+    assert {x.n_linked_docs for x in found} == {500} and {x.n_links for x in found} == {2}
+    # They are combined below the join, and so before the shuffle.
+    assert len(plans) == 1 and plans[0].index("Join Inner") < plans[0].index("min(text")
