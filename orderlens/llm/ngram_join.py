@@ -1,14 +1,14 @@
-"""Similarity join on word n-grams: MinHash LSH forest, then exact Jaccard.
+"""Similarity join on word n-grams: banded MinHash LSH, then exact Jaccard.
 
 Words are lower case, cut at white space and ASCII punctuation. A text is the set of
 its runs of five words, or of all its words if it has fewer; texts without words
 are similar to nothing. Two texts are linked when the Jaccard index of their sets is
 0.8 or more.
 
-Each of several tries holds all texts by a sequence of minhashes. A text's longest
-matched prefix is tried first; prefixes are shortened until the chance that a pair
-at the threshold shares one in some trie reaches the target recall. Texts below a
-trie node are candidates of each other:
+Each of several tries holds all texts by a sequence of minhashes, cut at one fixed
+prefix: the longest with which the chance that a pair at the threshold shares it in
+some trie reaches the target recall. It follows from the settings alone, not from the
+data; no trie is descended. Texts below a trie node are candidates of each other:
 
 * Below a small node, texts are compared by their signatures from the longest
   shared prefix to the shortest, and tied together where they may be similar.
