@@ -178,7 +178,7 @@ def _quantile(column: str, p: float, digits: int = 4) -> str:
     return _r(f"quantile_cont({column}, {p})", digits)
 
 
-_BAD_PCT = _r("100 * avg(bad)", 1)
+_BAD_PCT = _r("100 * avg(coalesce(bad, 0))", 1)
 
 
 def _entity_rates(entity: str, source: str) -> str:
@@ -280,7 +280,7 @@ def _policy(name: str, score: str) -> str:
 
 def _half(name: str, condition: str) -> str:
     return f"""count(*) FILTER (WHERE {condition}) AS {name}_freight_orders,
-        {_r(f'100 * avg(bad) FILTER (WHERE {condition})', 1)} AS {name}_freight_bad_pct"""
+        {_r(f'100 * avg(coalesce(bad, 0)) FILTER (WHERE {condition})', 1)} AS {name}_freight_bad_pct"""
 
 
 def sample_oracle() -> dict[str, str]:

@@ -33,15 +33,35 @@ def test_review_cells_with_newlines_quotes_and_blanks(spark, tmp_path):
     assert rows["r3"]["review_answer_timestamp"] is None
 
 
-def test_what_is_written_reads_back_the_same(spark):
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_what_is_written_reads_back_the_same(spark, end):
     cells = ["", None, 'x "y", z', "two\nlines", "\\", '"', "  pad  ", " ", "\n", "x\r", "\r", "a\r\nb", "\u001a", ",", "''"]
     rows = [(f"k{i:02}", cell) for i, cell in enumerate(cells)]
     df = spark.createDataFrame(rows, "k string, v string")
     path = new_folder(spark, "test-csv")
-    csv.write_csv(df, path)
+    csv.write_csv(df, path, end)
     assert sorted(map(tuple, csv.read_csv_table(spark, path, df.schema, multiline=True).collect())) == rows
 
 
+def test_line_feeds_in_cells_survive_every_line_end(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "a\rb"), (3, "a\r\nb")], "k int, v string").coalesce(1)
+    for end in ("\n", "\r\n", "\r"):
+        path = new_folder(spark, "test-csv")
+        csv.write_csv(df, path, end)
+        (file,) = [f for f in Path(path).iterdir() if f.name.startswith("part-")]
+        assert file.read_bytes().decode() == end.join(["k,v", '1,"a\nb"', '2,"a\rb"', '3,"a\r\nb"', ""])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_table_without_rows_has_a_header(spark, end):
+    df = spark.createDataFrame([], "k int, `a,b` string")
+    path = new_folder(spark, "test-csv")
+    csv.write_csv(df, path, end)
+    (file,) = [f for f in Path(path).iterdir() if f.name.startswith("part-")]
+    assert file.read_bytes().decode() == 'k,"a,b"' + end
+    assert csv.read_csv_table(spark, path, df.schema, multiline=True).collect() == []
+
+
 def test_malformed_row_is_an_error(spark, tmp_path):
     path = tmp_path / "sellers.csv"
     path.write_text("k,n\na,1\nb,not a number\n")
@@ -163,7 +183,7 @@ def test_header_over_several_lines_and_blocks(spark, tmp_path):
     (tmp_path / "t.csv").write_text('\n\n"k\nof\nrow","v"\na,1\n')
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3")
     try:
-        df = csv.read_csv_table(spark, str(tmp_path), "k string, v int", multiline=True)
+        df = csv.read_csv_table(spark, str(tmp_path), "`k\nof\nrow` string, v int", multiline=True)
         assert [tuple(r) for r in df.collect()] == [("a", 1)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -175,16 +195,67 @@ def test_cell_without_end_is_an_error(spark, tmp_path):
         csv.read_csv_table(spark, str(tmp_path), "k string, v string", multiline=True).collect()
 
 
-def test_only_crossing_records_are_shuffled(spark, tmp_path):
+def test_reading_stays_in_the_jvm_and_shuffles_by_file_and_block(spark, tmp_path):
     (tmp_path / "t.csv").write_text("k,v\n" + "".join(f'{i},"two\nlines"\n' for i in range(3000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     try:
         df = csv.read_csv_table(spark, str(tmp_path), "k int, v string", multiline=True)
-        assert df.count() == 3000
+        assert len(df.collect()) == 3000
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    plan = plan.split("== Initial Plan ==")[0]
+    assert "Arrow" not in plan and "Python" not in plan
     assert all("file" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    # Lines are read and put together to chunks once; both uses share that.
+    assert plan.count("FileScan text") == 1 and "ReusedExchange" in plan
+
+
+def test_very_long_cells_and_lines(spark, tmp_path):
+    cells = ['say ""no"", ' * 300_000, "line\n" * 100_000, "x" * 3_000_000]
+    (tmp_path / "t.csv").write_text("k,v\n" + "".join(f'{i},"{cell}"\n' for i, cell in enumerate(cells)))
+    df = csv.read_csv_table(spark, str(tmp_path), "k int, v string", multiline=True)
+    assert {r.k: r.v for r in df.collect()} == {i: cell.replace('""', '"') for i, cell in enumerate(cells)}
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_columns_are_found_by_name(spark, tmp_path, multiline):
+    (tmp_path / "t.csv").write_text("B,a\n1,x\n2,y\n")
+    df = csv.read_csv_table(spark, str(tmp_path), "a string, b int", multiline=multiline)
+    assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect())) == [("x", 1), ("y", 2)]
+    assert sorted(r.b for r in df.select("b").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+@pytest.mark.parametrize("header", ["a,c", "a", "a,b,c", "a,a"])
+def test_a_header_that_differs_from_the_schema_is_an_error(spark, tmp_path, multiline, header):
+    (tmp_path / "t.csv").write_text(header + "\n" + ",".join("1" for _ in header.split(",")) + "\n")
+    with pytest.raises(ValueError, match="columns"):
+        csv.read_csv_table(spark, str(tmp_path), "a string, b int", multiline=multiline)
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+@pytest.mark.parametrize("other", ["b,a", "a,c", "a,b,c", "a"])
+def test_files_with_differing_headers_are_an_error_that_names_the_file(spark, tmp_path, multiline, other):
+    (tmp_path / "one.csv").write_text("a,b\n" + "x,1\n" * 40)
+    (tmp_path / "two.csv").write_text(other + "\n" + ",".join("1" for _ in other.split(",")) + "\n")
+    with pytest.raises(Exception, match="two.csv"):
+        csv.read_csv_table(spark, str(tmp_path), "a string, b int", multiline=multiline).collect()
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_a_byte_order_mark_is_not_part_of_the_first_name(spark, tmp_path, multiline):
+    (tmp_path / "t.csv").write_bytes(b"\xef\xbb\xbf" + b"a,b\nx,1\n")
+    df = csv.read_csv_table(spark, str(tmp_path), "a string, b int", multiline=multiline)
+    assert [tuple(r) for r in df.collect()] == [("x", 1)]
+
+
+@pytest.mark.parametrize("multiline", [False, True])
+def test_malformed_rows_can_be_kept_aside(spark, tmp_path, multiline):
+    (tmp_path / "t.csv").write_text("k,n\na,1\nb,none\nc,3,4\n")
+    df = csv.read_csv_table(spark, str(tmp_path), "k string, n int", multiline, corrupt_column="_corrupt_record")
+    rows = {r.k: (r.n, r._corrupt_record) for r in df.collect()}
+    assert rows == {"a": (1, None), "b": (None, "b,none"), "c": (3, "c,3,4")}
 
 
 def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
