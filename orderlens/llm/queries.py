@@ -17,6 +17,7 @@ from orderlens.llm import (
     ngram_join,
     sharding,
     site_bayes,
+    spelling,
     token_lengths,
     toxicity,
 )
@@ -89,6 +90,10 @@ def op10_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return sharding.shards_by_key(documents(spark, directory), tree, grown)
 
 
+def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.variants(documents(spark, directory))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -101,4 +106,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op11_spelling": op11_spelling,
     }
