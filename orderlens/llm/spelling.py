@@ -38,6 +38,9 @@ MARKS = ("<<", ">>")
 # A gram is frequent above this share of all grams of words, so at most 10,000 of a
 # length are, and each has at most 92 successors: the dictionary never exceeds 2 million.
 FREQUENT_SHARE = 10_000
+# Characters of a word that go with each of its grams.
+HEAD = 32
+_ROWS_A_BATCH = 50_000
 
 
 def run_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -136,45 +139,70 @@ def affected_grams(marked: str, kept: list[tuple[int, int]], grams: dict[str, in
 
 
 def gram_index(words: DataFrame) -> DataFrame:
-    """A row per word and gram: ``gram``, its ``place``, ``length`` of the word, ``word``, ``n``, and whether to look it up."""
+    """A row per word and gram: ``gram``, its ``place``, ``length`` and ``id`` of the word, its ``head``, whether to look it up.
+
+    A row holds the first characters of the word only, as a long word has many rows.
+    """
     grams, limit = gram_frequencies(words)
     shared = words.sparkSession.sparkContext.broadcast((grams, limit))
+    columns = ["gram", "place", "length", "id", "head", "sought"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, limit = shared.value
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for word, n in zip(batch["word"], batch["n"]):
+            for key, word in zip(batch["id"], batch["word"]):
                 marked = MARKS[0] + word + MARKS[1]
                 kept = decomposed(marked, grams)
                 wanted = affected_grams(marked, kept, grams, limit) + 1
                 found = sorted((grams.get(marked[p : p + k], 0), p, k) for p, k in kept)
-                rows += [(marked[p : p + k], p, len(word), word, n, i < wanted) for i, (_, p, k) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["gram", "place", "length", "word", "n", "sought"])
-
-    return words.mapInPandas(cut, "gram string, place int, length int, word string, n long, sought boolean")
+                for i, (_, p, k) in enumerate(found):
+                    rows.append((marked[p : p + k], p, len(word), key, word[:HEAD], i < wanted))
+                    if len(rows) == _ROWS_A_BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+    return words.select("id", "word").mapInPandas(
+        cut, "gram string, place int, length int, id long, head string, sought boolean"
+    )
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Each pair of near words once: ``longer``, ``n_longer``, ``other``, ``n_other``.
 
-    The longer word of a pair (of equals the later one) looks the other one up, in the
-    lists of grams of that length: left of the edit at the same place, right of a
-    deletion one place further left.
+    ``words`` has an ``id``, the ``word`` and ``n``. The longer word of a pair (of equals
+    the one with the larger id) looks the other one up, in the lists of grams of that
+    length: left of the edit at the same place, right of a deletion one place further
+    left. Words whose beginnings are too different are left out at once; the whole
+    words decide.
     """
     index = stored(gram_index(words), "gram-index")
     same = F.struct(F.col("place"), F.col("length"))
     left = F.struct(F.col("place"), (F.col("length") - 1).alias("length"))
     right = F.struct((F.col("place") - 1).alias("place"), (F.col("length") - 1).alias("length"))
     sought = index.where("sought").select(
-        "gram", F.col("word").alias("longer"), F.col("n").alias("n_longer"), F.inline(F.array(same, left, right))
+        "gram", F.col("id").alias("a"), F.col("head").alias("head_a"), F.col("length").alias("length_a"), F.inline(F.array(same, left, right))
+    )
+    lists = index.select("gram", "place", "length", F.col("id").alias("b"), F.col("head").alias("head_b"))
+    # One edit changes a beginning of fixed length by at most two.
+    alike = F.when(F.col("length_a") <= HEAD, F.levenshtein("head_a", "head_b", 1) == 1).otherwise(
+        F.levenshtein("head_a", "head_b", 2) >= 0
+    )
+    pairs = (
+        sought.join(lists, ["gram", "place", "length"])
+        .where(((F.col("length_a") > F.col("length")) | (F.col("a") > F.col("b"))) & alike)
+        .select("a", "b")
+        .distinct()
     )
-    lists = index.select("gram", "place", "length", F.col("word").alias("other"), F.col("n").alias("n_other"))
-    found = sought.join(lists, ["gram", "place", "length"]).where(
-        ((F.char_length("longer") > F.char_length("other")) | (F.col("longer") > F.col("other")))
-        & (F.levenshtein("longer", "other", 1) == 1)
+    longer = words.select(F.col("id").alias("a"), F.col("word").alias("longer"), F.col("n").alias("n_longer"))
+    other = words.select(F.col("id").alias("b"), F.col("word").alias("other"), F.col("n").alias("n_other"))
+    return (
+        pairs.join(longer, "a")
+        .join(other, "b")
+        .where(F.levenshtein("longer", "other", 1) == 1)
+        .select("longer", "n_longer", "other", "n_other")
     )
-    return found.select("longer", "n_longer", "other", "n_other").distinct()
 
 
 def variants(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -183,8 +211,9 @@ def variants(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     A form occurs at least twice as often as the word, so following forms ends after
     at most 62 steps; following them from both ends doubles the steps of each round.
     """
-    words = stored(vocabulary(docs, id_column, text_column), "words")
-    pairs = near_words(words)
+    counted = vocabulary(docs, id_column, text_column).withColumn("id", F.monotonically_increasing_id())
+    words = stored(counted, "words")
+    pairs = stored(near_words(words), "near-words")
     both = pairs.select(F.col("longer").alias("word"), F.col("other").alias("near"), F.col("n_other").alias("n")).unionByName(
         pairs.select(F.col("other").alias("word"), F.col("longer").alias("near"), F.col("n_longer").alias("n"))
     )
