@@ -12,6 +12,7 @@ from orderlens.llm import (
     bpe,
     exact_dedup,
     fertility,
+    lexical_search,
     license_scan,
     mixing,
     ngram_join,
@@ -94,6 +95,11 @@ def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
     return spelling.variants(documents(spark, directory))
 
 
+def op13_lexical_search(spark: SparkSession, directory: str) -> DataFrame:
+    items = spark.read.parquet(f"{directory}/benchmark.parquet")
+    return lexical_search.ranked(documents(spark, directory), items)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -107,4 +113,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
         "op11_spelling": op11_spelling,
+        "op13_lexical_search": op13_lexical_search,
     }
