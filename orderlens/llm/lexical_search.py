@@ -1,16 +1,17 @@
 """Exact ranked lexical search with geometric blocks in each term's posting list.
 
 Documents become vectors: for each term that a query has, the term's impact in the
-document. The posting list of a term is cut into blocks of similar documents (by the
-signs of random projections of their vectors), and a block's summary is the largest
-impact of each term in it. A summary gives an upper bound of every score in its block,
-so a block is skipped only if that bound is below what a query's last place is known
-to reach; the others are scored in full, and the result is exact.
+document. Vectors are put in the order of the signs of random projections, so that
+similar documents are neighbours, and a task takes them in chunks. In a chunk, the
+posting list of a term is cut into blocks of neighbours, and a block's summary is the
+largest impact of each term in it. A summary gives an upper bound of every score in its
+block, so a block is skipped only if that bound is below what the last place of a query
+already reached in the task; the others are scored in full, and the result is exact.
 
 Terms are ordered by weight, heaviest first, and a document is looked for in the list
 of its first term of a query. So a bound in a term's list counts that term and later
-ones only, and lists of common terms are mostly skipped as a whole. The last place is
-bounded from below by scoring the documents with the largest impacts of each term.
+ones only, and lists of common terms are mostly skipped as a whole, by the bound of a
+chunk. Only vectors are shuffled, never postings or summaries.
 
 Queries are worked on in blocks of at most ``QUERIES_A_BLOCK`` queries and, but for one
 query that has more alone, ``TERMS_A_BLOCK`` terms; what tasks get of them is bounded by that.
@@ -24,7 +25,6 @@ later ones can't be among the first.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,8 +37,9 @@ from orderlens.sources.catalog import stored
 
 QUERIES_A_BLOCK = 200
 TERMS_A_BLOCK = 20_000
-# Documents that a block should have, and bits of a document's signature.
+# Documents of a block, cells of a chunk's table of documents by terms, and bits of a signature.
 BLOCK_DOCUMENTS = 64
+CHUNK_CELLS = 5_000_000
 SIGNATURE_BITS = 20
 
 # Bytes that end terms become spaces, and A to Z lower case. All other bytes of UTF-8 text belong to terms.
@@ -110,37 +111,10 @@ def _search(docs: DataFrame, queries: list[list[int]], vocabulary: dict[bytes, i
     vectors = impact_vectors(counted, number, weights, *size)
     vectors = vectors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
     vectors = stored(vectors, "vectors")
-
-    spark = docs.sparkSession
-    postings = vectors.select("key", F.explode(F.arrays_zip("terms", "impacts")).alias("p")).select(
-        "key", F.col("p.terms").alias("term"), F.col("p.impacts").alias("impact")
-    )
-    lists = postings.groupBy("term").agg(F.count(F.lit(1)).alias("size"), F.max("impact").alias("most")).collect()
-    sizes, most = np.zeros(len(weights), dtype=np.int64), np.zeros(len(weights), dtype=np.int64)
-    for row in lists:
-        sizes[row["term"]], most[row["term"]] = row["size"], row["most"]
-
-    floors = _floors(vectors, postings, queries, matrix, k)
-    sought = essential_lists(queries, weights, most, floors)
-    of_term: dict[int, list[int]] = {}
-    for query, terms in enumerate(sought):
-        for term in terms:
-            of_term.setdefault(term, []).append(query)
-    if not of_term:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"query int, doc_id {kind}, score long, rank int")
-
-    shifts = [(t, SIGNATURE_BITS - block_bits(int(sizes[t]))) for t in sorted(of_term)]
-    # At most one row per term of the block of queries.
-    shifts = F.broadcast(spark.createDataFrame(shifts, "term int, shift int"))
-    listed = vectors.withColumn("term", F.explode("terms")).join(shifts, "term").select(
-        "term", F.expr("shiftright(signature, shift)").alias("block"), "key", "terms", "impacts"
-    )
-    live = stored(_live_blocks(listed, of_term, matrix, floors), "live-blocks")
-    wanted = live.join(listed.select("term", "block", "key"), ["term", "block"]).groupBy("key").agg(
-        F.array_distinct(F.flatten(F.collect_set("queries"))).alias("queries")
-    )
-    return _best(_scored(vectors.join(wanted, "key"), matrix), k)
+    neighbours = vectors.repartitionByRange("signature", "key").sortWithinPartitions("signature", "key")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "key")
+    best = _found(neighbours, queries, matrix, k).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query", "doc_id", "score", "rank")
 
 
 def term_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -208,82 +182,64 @@ def impact_vectors(counted: DataFrame, number: np.ndarray, weights: np.ndarray,
     return _mapped(counted, convert, "key long, doc_id string, terms array<int>, impacts array<long>, signature int")
 
 
-def _floors(vectors: DataFrame, postings: DataFrame, queries: list[list[int]], matrix: np.ndarray, k: int) -> np.ndarray:
-    """What the last place of each query reaches at least: the k-th best score among documents of large impacts."""
-    largest = Window.partitionBy("term").orderBy(F.desc("impact"), "key")
-    champions = postings.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= k)
-    pairs = [(t, i) for i, terms in enumerate(queries) for t in terms]
-    # At most the terms of a block of queries, each with the queries that have it.
-    having = F.broadcast(
-        vectors.sparkSession.createDataFrame(pairs, "term int, query int").groupBy("term").agg(F.collect_list("query").alias("queries"))
-    )
-    wanted = champions.join(having, "term").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("queries"))).alias("queries"))
-    scored = _scored(vectors.join(wanted, "key"), matrix)
-    floors = np.zeros(len(queries), dtype=np.int64)
-    for row in _best(scored, k).where(F.col("rank") == k).collect():
-        floors[row["query"]] = row["score"]
-    return floors
-
-
-def essential_lists(queries: list[list[int]], weights: np.ndarray, most: np.ndarray, floors: np.ndarray) -> list[list[int]]:
-    """Per query the terms in whose lists a document that starts there can still reach the floor."""
-    sought = []
-    for terms, floor in zip(queries, floors):
-        largest = weights[terms] * most[terms]
-        ahead = np.cumsum(largest[::-1])[::-1]
-        sought.append([t for t, bound in zip(terms, ahead) if bound >= max(1, floor)])
-    return sought
-
+def essential_terms(queries: list[np.ndarray], matrix: np.ndarray, most: np.ndarray, floors: np.ndarray) -> dict[int, list[int]]:
+    """Terms in whose lists a document that starts there can still reach the floor of a query, with those queries.
 
-def block_bits(size: int) -> int:
-    """Bits of the signature that cut a list of this size into blocks."""
-    return min(SIGNATURE_BITS, max(0, math.ceil(math.log2(max(1, size) / BLOCK_DOCUMENTS))))
-
-
-def _live_blocks(listed: DataFrame, of_term: dict[int, list[int]], matrix: np.ndarray, floors: np.ndarray) -> DataFrame:
-    """Blocks whose summary reaches the floor of some query, with those ``queries``.
-
-    A summary is the largest impact of each term from the list's own term on; it has no
-    more entries than the block of queries has terms.
+    ``most`` has the largest impact of each term.
     """
-    coordinates = listed.select("term", "block", F.explode(F.arrays_zip("terms", "impacts")).alias("p")).where("p.terms >= term")
-    largest = coordinates.groupBy("term", "block", F.col("p.terms").alias("coordinate")).agg(F.max("p.impacts").alias("most"))
-    summaries = largest.groupBy("term", "block").agg(F.collect_list(F.struct("coordinate", "most")).alias("summary"))
-    summaries = summaries.select("term", "block", F.col("summary.coordinate").alias("coordinates"), F.col("summary.most").alias("most"))
-    shared = listed.sparkSession.sparkContext.broadcast((of_term, matrix, floors))
-
-    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_term, matrix, floors = shared.value
-        for batch in batches:
-            rows = []
-            for term, block, coordinates, most in batch.itertuples(index=False):
-                queries = np.asarray(of_term[term])
-                bounds = matrix[np.ix_(queries, coordinates)] @ np.asarray(most)
-                live = queries[bounds >= np.maximum(1, floors[queries])]
-                if len(live):
-                    rows.append((term, block, live))
-            yield pd.DataFrame(rows, columns=["term", "block", "queries"])
-
-    return summaries.mapInPandas(bounded, "term int, block int, queries array<int>")
-
-
-def _scored(wanted: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """Scores above 0 of each document for the ``queries`` that it is wanted for."""
-    shared = wanted.sparkSession.sparkContext.broadcast(matrix)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = shared.value
+    of_term: dict[int, list[int]] = {}
+    for query, terms in enumerate(queries):
+        largest = matrix[query, terms] * most[terms]
+        ahead = np.cumsum(largest[::-1])[::-1]
+        for term in terms[(ahead >= max(1, floors[query])) & (most[terms] > 0)]:
+            of_term.setdefault(int(term), []).append(query)
+    return of_term
+
+
+def wanted_pairs(impacts: np.ndarray, queries: list[np.ndarray], matrix: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """Which documents of a chunk to score for which queries: those in blocks whose summary reaches the floor."""
+    wanted = np.zeros((len(impacts), len(queries)), dtype=bool)
+    for term, having in essential_terms(queries, matrix, impacts.max(axis=0).astype(np.int64), floors).items():
+        listed = np.flatnonzero(impacts[:, term])
+        coordinates = np.unique(np.concatenate([queries[q] for q in having]))
+        coordinates = coordinates[np.searchsorted(coordinates, term) :]
+        starts = np.arange(0, len(listed), BLOCK_DOCUMENTS)
+        summaries = np.maximum.reduceat(impacts[np.ix_(listed, coordinates)], starts, axis=0).astype(np.int64)
+        bounds = matrix[np.ix_(having, coordinates)] @ summaries.T
+        for query, live in zip(having, bounds >= np.maximum(1, floors[having])[:, None]):
+            wanted[listed[np.repeat(live, BLOCK_DOCUMENTS)[: len(listed)]], query] = True
+    return wanted
+
+
+def _found(vectors: DataFrame, queries: list[list[int]], matrix: np.ndarray, k: int) -> DataFrame:
+    """Documents with their scores: of each task at least the ``k`` best of each query, and all that tie with them."""
+    shared = vectors.sparkSession.sparkContext.broadcast(([np.array(q, dtype=np.int64) for q in queries], matrix))
+    documents_a_chunk = max(1, CHUNK_CELLS // matrix.shape[1])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, matrix = shared.value
+        best = [np.zeros(0, dtype=np.int64) for _ in queries]
+        floors = np.zeros(len(queries), dtype=np.int64)
         for batch in batches:
-            parts = []
-            for key, doc_id, terms, impacts, queries in batch.itertuples(index=False):
-                scores = matrix[np.ix_(queries, terms)] @ np.asarray(impacts)
-                parts += [(q, key, doc_id, s) for q, s in zip(queries, scores) if s > 0]
-            yield pd.DataFrame(parts, columns=["query", "key", "doc_id", "score"])
-
-    columns = wanted.select("key", "doc_id", "terms", "impacts", "queries")
-    return _mapped(columns, score, "query int, key long, doc_id string, score long")
-
-
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "doc_id", "score", "rank")
+            for start in range(0, len(batch), documents_a_chunk):
+                chunk = batch.iloc[start : start + documents_a_chunk]
+                impacts = np.zeros((len(chunk), matrix.shape[1]), dtype=np.int32)
+                for row, (terms, values) in enumerate(zip(chunk["terms"], chunk["impacts"])):
+                    impacts[row, terms] = values
+                wanted = wanted_pairs(impacts, queries, matrix, floors)
+                parts = []
+                for query, terms in enumerate(queries):
+                    rows = np.flatnonzero(wanted[:, query])
+                    scores = impacts[np.ix_(rows, terms)].astype(np.int64) @ matrix[query, terms]
+                    reached = scores >= max(1, floors[query])
+                    rows, scores = rows[reached], scores[reached]
+                    best[query] = np.sort(np.concatenate([best[query], scores]))[-k:]
+                    if len(best[query]) == k:
+                        floors[query] = best[query][0]
+                    keep = scores >= floors[query]
+                    found = chunk.iloc[rows[keep]][["key", "doc_id"]]
+                    parts.append(found.assign(query=query, score=scores[keep]))
+                yield pd.concat(parts)[["query", "key", "doc_id", "score"]]
+
+    columns = vectors.select("key", "doc_id", "terms", "impacts")
+    return _mapped(columns, search, "query int, key long, doc_id string, score long")

@@ -65,6 +65,7 @@ def test_terms_are_those_of_the_pattern():
 def test_ties_copies_and_few_results_in_blocks_of_any_size(spark, monkeypatch, block_documents):
     monkeypatch.setattr(lexical_search, "BLOCK_DOCUMENTS", block_documents)
     monkeypatch.setattr(lexical_search, "QUERIES_A_BLOCK", 3)
+    monkeypatch.setattr(lexical_search, "CHUNK_CELLS", 2000)
     rng = random.Random(block_documents)
     words = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(60)], k=rng.randrange(1, 25)))) for i in range(400)]
@@ -86,7 +87,28 @@ def test_edge_rows_and_empty_tables(spark):
 
 
 def test_lists_are_skipped_only_if_their_bound_fails():
-    weights, most = np.array([900, 500, 10]), np.array([1000, 1000, 1000])
-    assert lexical_search.essential_lists([[0, 1, 2]], weights, most, np.array([510_000])) == [[0, 1]]
-    assert lexical_search.essential_lists([[0, 1, 2]], weights, most, np.array([510_001])) == [[0]]
-    assert lexical_search.essential_lists([[0, 1, 2]], weights, most, np.array([0])) == [[0, 1, 2]]
+    matrix, most = np.array([[900, 500, 10]]), np.array([1000, 1000, 1000])
+    queries = [np.array([0, 1, 2])]
+
+    def sought(floor):
+        return sorted(lexical_search.essential_terms(queries, matrix, most, np.array([floor])))
+
+    assert sought(510_000) == [0, 1] and sought(510_001) == [0] and sought(0) == [0, 1, 2]
+
+
+def test_blocks_are_skipped_only_if_their_summary_fails(monkeypatch):
+    monkeypatch.setattr(lexical_search, "BLOCK_DOCUMENTS", 2)
+    rng = np.random.default_rng(5)
+    matrix = np.zeros((6, 30), dtype=np.int64)
+    queries = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(6)]
+    for i, terms in enumerate(queries):
+        matrix[i, terms] = rng.integers(1, 1000, 8)
+    impacts = (rng.integers(0, 1000, (40, 30)) * (rng.random((40, 30)) < 0.2)).astype(np.int32)
+    scores = impacts.astype(np.int64) @ matrix.T
+    skipped = 0
+    for share in (0, 50, 90, 99):
+        floors = np.percentile(scores, share, axis=0).astype(np.int64)
+        wanted = lexical_search.wanted_pairs(impacts, queries, matrix, floors)
+        assert wanted[(scores >= floors) & (scores > 0)].all()
+        skipped += (~wanted & (scores > 0)).sum()
+    assert skipped > 50
