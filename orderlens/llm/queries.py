@@ -14,6 +14,7 @@ from orderlens.llm import (
     fertility,
     lexical_search,
     license_scan,
+    main_text,
     mixing,
     ngram_join,
     sharding,
@@ -95,6 +96,11 @@ def op11_spelling(spark: SparkSession, directory: str) -> DataFrame:
     return spelling.variants(documents(spark, directory))
 
 
+def op12_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    pages = spark.read.parquet(f"{directory}/pages.parquet")
+    return main_text.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op13_lexical_search(spark: SparkSession, directory: str) -> DataFrame:
     items = spark.read.parquet(f"{directory}/benchmark.parquet")
     return lexical_search.ranked(documents(spark, directory), items)
@@ -113,5 +119,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
         "op11_spelling": op11_spelling,
+        "op12_main_text": op12_main_text,
         "op13_lexical_search": op13_lexical_search,
     }
