@@ -169,9 +169,11 @@ def reviews_vs_products(orders: DataFrame, reviews: DataFrame, items: DataFrame,
     )
 
 
-def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int) -> DataFrame:
+def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int, as_interval: bool = False) -> DataFrame:
     """The first ``limit`` orders that share a review_id, with the time to the next one in seconds.
 
+    With ``as_interval`` it also comes as an interval of days to seconds, ``time_to_next_order``.
+
     The row number looks back and the gap one row ahead, so both are computed
     after the cut, on ``limit + 1`` rows.
     """
@@ -197,6 +199,7 @@ def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int) -> Data
     )
     in_review = Window.partitionBy("review_id").orderBy(*order[1:])
     purchased = F.col("order_purchase_timestamp")
+    gap = [(F.lead(purchased).over(in_review) - purchased).alias("time_to_next_order")] if as_interval else []
     return (
         first_rows.select(
             "review_id",
@@ -204,6 +207,7 @@ def shared_review_gap(reviews: DataFrame, orders: DataFrame, limit: int) -> Data
             "order_purchase_timestamp",
             F.row_number().over(in_review).alias("row_number"),
             whole_seconds(F.lead(purchased).over(in_review), purchased).alias("seconds_to_next_order"),
+            *gap,
             "review_comment_message",
             "order_delivered_customer_date",
         )

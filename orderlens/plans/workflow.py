@@ -13,7 +13,8 @@ from orderlens import constants as C
 from orderlens.functions.measures import ascending, descending
 from orderlens.operators import clean as ops
 from orderlens.operators import quality as q
-from orderlens.plans import delivery, freight, policy, risk
+from orderlens.operators import quarantine
+from orderlens.plans import combined, delivery, freight, policy, risk
 from orderlens.sources.catalog import Tables, new_folder, register_tables, remove_folder, stored
 from orderlens.sources.csv import write_report
 
@@ -130,6 +131,31 @@ class Analysis:
     def seller_rates(self) -> DataFrame:
         return risk.entity_rates(self.seller_pairs, self.reviewed, "seller_id", self.parameters.bad_max)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """A row per clean order: score, delivery, freight and seller group, if it has them."""
+        item_facts = ops.order_item_facts(self.tables["order_items"])
+        return self.scored.join(item_facts.withColumn("has_items", F.lit(True)), "order_id", "left")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Clean orders per score, seller group, days and delay; written once if the facts are."""
+        counts = combined.satisfaction_counts(self.facts)
+        return self._written(counts, "satisfaction-counts") if self.folders else counts
+
+    def counted_reports(self) -> dict[str, Callable[[], DataFrame]]:
+        """The reports that come from ``counts`` alone, so that one scan of the facts serves them all."""
+        names = combined.REPORTS
+        return {
+            name: lambda name=name: combined.reports_from_counts(self.counts, self.parameters.bounds, self.parameters.bad_max)[name]()
+            for name in names
+        }
+
+    @cached_property
+    def with_reasons(self) -> dict[str, DataFrame]:
+        """The fixed tables with a reason for each row that breaks a key."""
+        return quarantine.tables_with_reasons(self.tables, q.PRIMARY_KEYS, q.FOREIGN_KEYS)
+
     def stored(self) -> Analysis:
         """The same analysis, with a row of facts per clean order and a row of rates per seller written out once.
 
@@ -137,10 +163,9 @@ class Analysis:
         seven of the ten exports then read a narrow table and join nothing; the two
         on sellers read the rates. ``close`` removes both folders.
         """
-        item_facts = ops.order_item_facts(self.tables["order_items"])
-        wide = self.scored.join(item_facts.withColumn("has_items", F.lit(True)), "order_id", "left")
         copy = Analysis(self.raw, self.parameters)
-        facts = copy._written(wide, "order-facts")
+        facts = copy._written(self.facts, "order-facts")
+        copy.facts = facts
         copy.measures = facts
         copy.scored = facts
         copy.reviewed = facts.where("is_reviewed")
@@ -254,6 +279,8 @@ class Analysis:
                 fixed["order_items"], q.PRIMARY_KEYS["order_items"]
             ),
             "foreign_key_check": lambda: q.foreign_key_summary(fixed, q.FOREIGN_KEYS),
+            "quarantine_summary": lambda: quarantine.rejection_summary(self.with_reasons),
+            "quarantined_order_items": lambda: quarantine.rejected(self.with_reasons["order_items"]),
             "foreign_key_check_before_fixes": lambda: q.foreign_key_summary(raw, [q.CATEGORY_KEY]),
         }
 
@@ -348,7 +375,7 @@ def register_views(analysis: Analysis, prefix: str = "") -> None:
 def export_reports(analysis: Analysis, directory: str) -> list[str]:
     """Write the ten main reports as CSV, each in its own new folder; returns the folders."""
     facts = analysis.stored()
-    jobs = facts.jobs()
+    jobs = {**facts.jobs(), **facts.counted_reports()}
     paths = []
     try:
         for name in EXPORTED:

@@ -7,6 +7,7 @@ Thresholds and made-up labels are those of the sample tables.
 
 from __future__ import annotations
 
+from orderlens.plans.combined import REPORTS
 from orderlens.plans.workflow import EXPORTED
 from orderlens.sample.queries import PARAMETERS
 from orderlens.sample.tables import ESTIMATE_DAYS, RAW_LABELS, UNTRANSLATED
@@ -712,4 +713,107 @@ def sample_oracle() -> dict[str, str]:
             "seller_groups",
         ),
     }
-    return {**queries, **{f"exported_{name}": queries[name] for name in EXPORTED}}
+    queries |= _quarantine(primary_keys, foreign_keys, sources, key_tables)
+    queries |= {
+        "published_translation": _with(
+            """SELECT product_category_name, product_category_name_english, count(p.product_category_name) AS product_count
+               FROM translation_fixed t LEFT JOIN products_fixed p USING (product_category_name) GROUP BY ALL""",
+            "translation_fixed",
+            "products_fixed",
+        ),
+        "published_profile": _with(
+            "\nUNION ALL ".join(
+                f"""SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS total_rows,
+                    count(*) - count({column}) AS null_rows FROM {source}"""
+                for table, (source, columns) in _PROFILED.items()
+                for column in columns.split()
+            ),
+            *[source for source, _ in _PROFILED.values()],
+        ),
+        "orders_clean_versions": _with(
+            """SELECT 1 AS version, count(*) AS order_count, min(delivery_days) AS min_days, max(delivery_days) AS max_days
+               FROM all_delivered
+               UNION ALL SELECT 2, count(*), min(delivery_days), max(delivery_days) FROM clean""",
+            "clean",
+        ),
+        "shared_review_gap_interval": "WITH gaps AS ("
+        + queries["shared_review_gap"]
+        + """)
+            SELECT review_id, order_id, row_number, seconds_to_next_order // 86400 AS gap_days,
+                seconds_to_next_order % 86400 // 3600 AS gap_hours, seconds_to_next_order % 3600 // 60 AS gap_minutes,
+                seconds_to_next_order > 30 * 86400 AS over_30_days
+            FROM gaps""",
+    }
+    counted = {f"counted_{name}": queries[name] for name in REPORTS}
+    return {**queries, **counted, **{f"exported_{name}": queries[name] for name in EXPORTED}}
+
+
+# Columns of the tables that are profiled while they are published.
+_PROFILED = {
+    "orders": (
+        "t_orders",
+        """order_id customer_id order_status order_purchase_timestamp order_delivered_customer_date
+           order_estimated_delivery_date""",
+    ),
+    "order_items": ("t_items", "order_id order_item_id product_id seller_id price freight_value"),
+    "reviews": (
+        "t_reviews",
+        """review_id order_id review_score review_comment_title review_comment_message review_creation_date
+           review_answer_timestamp""",
+    ),
+    "products": (
+        "t_products",
+        "product_id product_category_name product_weight_g product_length_cm product_height_cm",
+    ),
+}
+
+
+def _quarantine(
+    primary_keys: dict[str, tuple[str, ...]],
+    foreign_keys: list[tuple[str, str, str]],
+    sources: dict[str, str],
+    key_tables: tuple[str, ...],
+) -> dict[str, str]:
+    """Rows of each table with the first reason to reject them."""
+
+    def reasons(name: str) -> str:
+        keys = primary_keys.get(name, ())
+        whens = []
+        if keys:
+            whens.append(f"WHEN {' OR '.join(f'{k} IS NULL' for k in keys)} THEN 'null key'")
+            whens.append(f"WHEN count(*) OVER (PARTITION BY {', '.join(keys)}) > 1 THEN 'repeated key'")
+        for child, parent, key in foreign_keys:
+            if child == name:
+                known = f"SELECT {key} FROM {sources[parent]} WHERE {key} IS NOT NULL"
+                whens.append(f"WHEN {key} NOT IN ({known}) THEN 'orphan {key}'")
+        return f"SELECT *, CASE {' '.join(whens)} END AS reject_reason FROM {sources[name]}"
+
+    names = list(dict.fromkeys([*primary_keys, *[child for child, _, _ in foreign_keys]]))
+    summary = "\nUNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, coalesce(reject_reason, 'accepted') AS reject_reason, count(*) AS row_count
+            FROM ({reasons(name)}) GROUP BY ALL"""
+        for name in names
+    )
+    csv = """WITH written AS (
+            SELECT CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN event_id - 1 ELSE event_id END AS review_id,
+                event_id // 2 AS order_id, event_id % 41 = 0 AS broken FROM events
+        ),
+        repeated AS (
+            SELECT review_id FROM written WHERE NOT broken AND review_id IS NOT NULL GROUP BY review_id HAVING count(*) > 1
+        )
+        SELECT 'reviews' AS table_name,
+            CASE WHEN broken THEN 'unreadable' WHEN review_id IS NULL THEN 'null key'
+                WHEN review_id IN (FROM repeated) THEN 'repeated key'
+                WHEN order_id NOT IN (SELECT o_orderkey FROM orders) THEN 'orphan order_id'
+                ELSE 'accepted' END AS reject_reason,
+            count(*) AS row_count
+        FROM written GROUP BY ALL"""
+    return {
+        "quarantine_summary": _with(summary, *key_tables),
+        "quarantined_order_items": _with(
+            f"""SELECT * REPLACE (CAST(price AS DOUBLE) AS price, CAST(freight_value AS DOUBLE) AS freight_value)
+                FROM ({reasons('order_items')}) WHERE reject_reason IS NOT NULL""",
+            *key_tables,
+        ),
+        "quarantined_csv": csv,
+    }

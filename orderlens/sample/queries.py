@@ -8,11 +8,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.operators import quarantine
+from orderlens.operators.quality import shared_review_gap
 from orderlens.plans import delivery, risk
+from orderlens.plans.combined import REPORTS
 from orderlens.plans.workflow import EXPORTED, Analysis, Parameters, register_views
 from orderlens.sample.tables import DELIVERED, UNTRANSLATED, sample_tables
-from orderlens.sources.catalog import new_folder, register_tables
+from orderlens.sources.catalog import new_folder, register_tables, stored
 from orderlens.sources.csv import read_csv_table, write_csv, write_report
+from orderlens.sources.publish import profile, publish_tables, read_published
+from orderlens.sources.views import create_view, drop_view
 
 PARAMETERS = Parameters(
     delivered=DELIVERED,
@@ -30,6 +35,7 @@ PARAMETERS = Parameters(
 # Results to four places, so that both engines print the same digits.
 _ROUNDED = {
     "order_freight": ["total_freight"],
+    "quarantined_order_items": ["price", "freight_value"],
     "delivery_days_distribution": list(delivery.QUARTILES_AND_P90),
     "delivery_delay_distribution": list(delivery.QUARTILES_AND_P90),
     "score_vs_freight": ["median_freight"],
@@ -129,7 +135,7 @@ def _exported(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(spark: SparkSession, directory: str) -> DataFrame:
         facts = sample_analysis(spark, directory).stored()
-        report = facts.jobs()[name]()
+        report = {**facts.jobs(), **facts.counted_reports()}[name]()
         path = new_folder(spark, "exported-csv")
         write_report(report, path)
         facts.close()
@@ -138,6 +144,86 @@ def _exported(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _counted(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A report from the counts that several reports share."""
+
+    def query(spark: SparkSession, directory: str) -> DataFrame:
+        return sample_analysis(spark, directory).counted_reports()[name]()
+
+    return query
+
+
+def _quarantined_csv(spark: SparkSession, directory: str) -> DataFrame:
+    """Reviews in a CSV file with unreadable rows, and missing, repeated and orphan keys: rows per reason."""
+    lines = spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{directory}/events.parquet")
+    written = lines.selectExpr(
+        """CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN event_id - 1 ELSE event_id END AS review_id""",
+        "event_id DIV 2 AS order_id",
+        "CASE WHEN event_id % 41 = 0 THEN 'none' ELSE '5' END AS review_score",
+        "concat(event_type, '\n', 'again') AS review_comment_message",
+    )
+    path = new_folder(spark, "reviews-csv")
+    write_csv(written, path)
+    schema = "review_comment_message string, review_id long, review_score int, order_id long"
+    reviews = read_csv_table(spark, path, schema, multiline=True, corrupt_column="_corrupt_record")
+    orders = sample_tables(spark, directory)["orders"]
+    rows = quarantine.with_reasons(reviews, ["review_id"], {"order_id": orders}, "_corrupt_record")
+    return quarantine.rejection_summary({"reviews": rows})
+
+
+def _published(spark: SparkSession, directory: str) -> DataFrame:
+    """The fixed translation as others read it, after it was published together with the fixed products."""
+    tables = sample_analysis(spark, directory).tables
+    path = new_folder(spark, "published")
+    publish_tables(spark, {name: tables[name] for name in ("products", "category_translation")}, path)
+    published = read_published(spark, path)
+    products = published["products"].groupBy("product_category_name").agg(F.count("*").alias("product_count"))
+    return published["category_translation"].join(products, "product_category_name", "left").select(
+        "product_category_name", "product_category_name_english", F.coalesce("product_count", F.lit(0)).alias("product_count")
+    )
+
+
+def _published_profile(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows and NULLs of every column, counted by the one scan that published the tables."""
+    tables = sample_tables(spark, directory)
+    names = ("orders", "order_items", "reviews", "products")
+    return profile(spark, publish_tables(spark, {name: tables[name] for name in names}, new_folder(spark, "published")))
+
+
+def _orders_clean_versions(spark: SparkSession, directory: str) -> DataFrame:
+    """Both versions of the view, the first one read before it is dropped and defined anew."""
+    register_tables(sample_tables(spark, directory), prefix="versioned_")
+    versions = []
+    for version in (1, 2):
+        drop_view(spark, "orders_clean", "versioned_")
+        create_view(spark, "orders_clean", version, "versioned_", DELIVERED)
+        versions.append(
+            spark.sql(
+                f"""SELECT {version} AS version, count(*) AS order_count, min(delivery_days) AS min_days,
+                        max(delivery_days) AS max_days
+                    FROM versioned_orders_clean"""
+            )
+        )
+    return versions[0].unionByName(versions[1])
+
+
+def _shared_review_gap_interval(spark: SparkSession, directory: str) -> DataFrame:
+    """The gap to the next order as an interval, after it was written and read back; its parts as numbers."""
+    tables = sample_tables(spark, directory)
+    rows = shared_review_gap(tables["reviews"], tables["orders"], PARAMETERS.gaps_shown, as_interval=True)
+    gaps = stored(rows.select("review_id", "order_id", "row_number", "time_to_next_order"), "gaps")
+    gap = F.col("time_to_next_order")
+    return gaps.select(
+        "review_id",
+        "order_id",
+        "row_number",
+        F.extract(F.lit("DAY"), gap).cast("long").alias("gap_days"),
+        F.extract(F.lit("HOUR"), gap).cast("long").alias("gap_hours"),
+        F.extract(F.lit("MINUTE"), gap).cast("long").alias("gap_minutes"),
+        (gap > F.expr("INTERVAL '30' DAY")).alias("over_30_days"),
+    )
+
+
 def sample_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_reviews_csv": _load_reviews_csv,
@@ -147,5 +233,11 @@ def sample_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "register_all_views": _register_all_views,
         "export_report_csv": _export_report_csv,
         **{f"exported_{name}": _exported(name) for name in EXPORTED},
+        **{f"counted_{name}": _counted(name) for name in REPORTS},
+        "quarantined_csv": _quarantined_csv,
+        "published_translation": _published,
+        "published_profile": _published_profile,
+        "orders_clean_versions": _orders_clean_versions,
+        "shared_review_gap_interval": _shared_review_gap_interval,
         **{name: _job(name) for name in Analysis({}, PARAMETERS).jobs()},
     }

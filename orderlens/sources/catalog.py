@@ -35,6 +35,11 @@ def register_tables(tables: Mapping[str, DataFrame], prefix: str = "") -> None:
         df.createOrReplaceTempView(prefix + name)
 
 
+def new_id() -> str:
+    """A name that nothing has yet."""
+    return uuid.uuid4().hex
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path not yet in use, below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -48,7 +53,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master!r} share")
         shared = tempfile.mkdtemp(prefix="orderlens-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{new_id()}"
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -45,18 +45,22 @@ def read_csv_table(
     files of a folder need one header; another one is an error that names the file.
 
     A malformed row is an error too, unless ``corrupt_column`` is given: then such a
-    row's cells are what could be read of it, and this last column holds its text.
+    row's cells are what could be read of it, and this last column holds its text. All
+    cells are then read whatever columns are used, so that the same rows are malformed
+    in every query; such files are read as ``multiline`` ones are.
 
     Set ``multiline`` when cells hold newlines, as review comments do; such files are
     split by size all the same, even inside a cell. Lines may end in LF, CRLF or CR. A
     quote opens a cell only at its start.
     """
+    # Spark's CSV source would parse, and so check, only the columns that a query uses.
+    multiline = multiline or corrupt_column is not None
     wanted = spark.createDataFrame([], schema).schema
     in_file = T.StructType([wanted[name] for name in _header_order(spark, path, wanted, multiline)])
     names = list(in_file.names)
     blank = f"blank-{uuid.uuid4().hex}"
     options = _read_options(blank)
-    if corrupt_column is not None or multiline:
+    if multiline:
         bad = corrupt_column or f"bad-{uuid.uuid4().hex}"
         in_file = T.StructType([*in_file.fields, T.StructField(bad, T.StringType())])
         options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
