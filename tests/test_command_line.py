@@ -9,33 +9,33 @@ from orderlens.__main__ import main
 from orderlens.plans.workflow import EXPORTED
 
 TABLES = {
-    "customers": "customer_id,customer_unique_id,zip,city,state\nc1,u1,1,x,SP\nc2,u2,1,x,SP\nc3,u2,1,x,SP\n",
-    "orders": """order_id,customer_id,status,purchase,approved,carrier,delivered,estimated
+    "customers": "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\nc1,u1,1,x,SP\nc2,u2,1,x,SP\nc3,u2,1,x,SP\n",
+    "orders": """order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,order_delivered_carrier_date,order_delivered_customer_date,order_estimated_delivery_date
 o1,c1,delivered,2018-01-01 10:00:00,,,2018-01-04 12:00:00,2018-01-20 00:00:00
 o2,c2,delivered,2018-01-01 10:00:00,,,2018-02-20 12:00:00,2018-01-20 00:00:00
 o3,c3,delivered,2018-01-01 10:00:00,,,,2018-01-20 00:00:00
 """,
-    "order_items": """order_id,order_item_id,product_id,seller_id,limit,price,freight
+    "order_items": """order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value
 o1,1,p1,s1,2018-01-03 00:00:00,10.00,1.50
 o1,2,p1,s1,2018-01-03 00:00:00,10.00,1.50
 o2,1,p2,s2,2018-01-03 00:00:00,20.00,9.90
 o2,2,p1,s1,2018-01-03 00:00:00,20.00,0.10
 """,
-    "reviews": '''id,order,score,title,message,created,answered
+    "reviews": '''review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp
 r1,o1,5,,"very
 good ""indeed""",2018-01-05 00:00:00,2018-01-05 00:00:00
 r2,o2,1,,late,2018-02-21 00:00:00,2018-02-21 00:00:00
 r3,o2,4,"",,2018-02-21 00:00:00,2018-02-21 00:00:00
 ''',
-    "products": """id,category,a,b,c,weight,length,height,width
+    "products": """product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm
 p1,telefonia_fixa,1,1,1,660.5,20,10,10
 p2,pc_gamer,1,1,1,5000,40,30,20
 p3,"",1,1,1,1,1,1,1
 """,
-    "sellers": "id,zip,city,state\ns1,1,x,SP\ns2,1,x,SP\n",
-    "payments": "order,seq,type,installments,value\no1,1,card,1,23.00\n",
-    "geolocation": "zip,lat,lng,city,state\n1,-23.5,-46.6,x,SP\n",
-    "category_translation": "name,english\ntelefonia_fixa,fixed_telephony\n",
+    "sellers": "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,1,x,SP\ns2,1,x,SP\n",
+    "payments": "order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,1,card,1,23.00\n",
+    "geolocation": "geolocation_zip_code_prefix,geolocation_lat,geolocation_lng,geolocation_city,geolocation_state\n1,-23.5,-46.6,x,SP\n",
+    "category_translation": "product_category_name,product_category_name_english\ntelefonia_fixa,fixed_telephony\n",
 }
 
 
