@@ -40,11 +40,16 @@ def _fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFram
     )
 
 
+def row_hash(id_column: str) -> Column:
+    """A number that spreads rows, also those with one identifier, over slices. Any slice is right for a row."""
+    return F.xxhash64(id_text(id_column), F.monotonically_increasing_id())
+
+
 def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, hashes: DataFrame, kept: Column) -> DataFrame:
     """One row per text: ``kept`` of its smallest identifier as ``kept``, and its number of rows as ``size``.
 
     ``hashes`` has the hash of every row. A text with very many copies is dealt to
-    several ranges by identifier; what is left of it, a row per slice, is compared
+    several ranges by row, as identifiers may be null or repeat; what is left of it, a row per slice, is compared
     in a second, small step.
     """
     rows = hashes.count()
@@ -60,15 +65,15 @@ def _sorted_groups(docs: DataFrame, id_column: str, text_column: str, hashes: Da
     contents = (
         docs.select(
             first.alias("first"),
-            F.xxhash64(id_text(id_column)).alias("id_hash"),
+            row_hash(id_column).alias("row_hash"),
             F.xxhash64(whole_text(text_column)).alias("text_hash"),
             kept.alias("kept"),
             normalised(text_column).alias("norm"),
         )
         .withColumns({"head": F.substring("norm", 1, _HEAD_CHARACTERS), "hash": F.xxhash64("norm")})
         .join(F.broadcast(listed), "hash", "left")
-        .withColumn("slice", F.when(F.col("slices").isNotNull(), F.pmod("id_hash", "slices")))
-        .drop("slices", "id_hash")
+        .withColumn("slice", F.when(F.col("slices").isNotNull(), F.pmod("row_hash", "slices")))
+        .drop("slices", "row_hash")
     )
     content = ["head", "hash", "slice", "norm"]
     ordered = contents.repartitionByRange("head", "hash", "slice").sortWithinPartitions(*content, "first")

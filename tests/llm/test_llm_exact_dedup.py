@@ -68,3 +68,18 @@ def test_texts_of_equal_beginning(spark):
 def test_sorts_without_python(spark, capsys):
     exact_dedup.exact_duplicates(cases.edge_table(spark)).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_rows_with_one_identifier_are_spread_over_slices(spark):
+    rows = spark.range(30_000, numPartitions=4).selectExpr("CASE WHEN id % 3 = 0 THEN 7 END AS doc_id", "'same' AS text")
+    slices = rows.groupBy(F.pmod(exact_dedup.row_hash("doc_id"), F.lit(30)).alias("slice")).count().collect()
+    assert len(slices) == 30 and max(r["count"] for r in slices) < 1300
+
+
+def test_many_copies_without_identifier(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SLICE_ROWS", 100)
+    rows = spark.range(9_000).selectExpr("CASE WHEN id % 3 <> 0 THEN id END AS doc_id", "CASE WHEN id % 9 < 8 THEN 'same' ELSE concat('t', id) END AS text")
+    out = exact_dedup.exact_duplicates(rows)
+    assert out.where("kept").count() == 1001
+    same = out.where("group_size > 1").select("keep_id", "group_size").distinct().collect()
+    assert [tuple(r) for r in same] == [(1, 8000)]
