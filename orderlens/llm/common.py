@@ -26,12 +26,6 @@ def id_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
-def hash_fraction(*parts: Column) -> Column:
-    """A number in (0, 1) that the parts decide, the same on every engine."""
-    digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
-
-
 def hash_long(*parts: Column) -> Column:
     """A number from 0 below 2**48 that the parts decide, the same on every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
