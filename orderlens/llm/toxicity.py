@@ -6,10 +6,11 @@ follows from a bias, a weight per term, and for each pair of terms the product o
 their factors, so a pair can say what neither term says alone.
 
 The machine is fitted on a sample of labelled rows of bounded number, those of the
-smallest hashes of their identifier, so every run takes the same. Weights shrink to
-exactly zero unless many rows speak for them, and only terms of some weight have
-factors: the model stays small, and common words, however many a text has, add
-nothing. Scoring covers every row and whole texts.
+smallest hashes of their identifier, so every run takes the same. Every term of enough
+rows has factors, whatever its weight, so two terms that say nothing alone can say
+something together. Weights and factors shrink to exactly zero unless the rows keep
+speaking for them: the model stays small, and common words, however many a text has,
+add nothing. Scoring covers every row and whole texts.
 
 A null text is empty and gets the bias alone. Rows without identifier are scored and
 never learnt from; of several texts of an identifier, the one of the smallest hash is
@@ -50,7 +51,7 @@ def hashed_terms(text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class FactorizationMachine:
-    """Bias, and for each term with a say its row in ``weights`` and ``factors``."""
+    """Bias, and for each term with a weight or factors its row in ``weights`` and ``factors``."""
 
     bias: float
     places: dict[int, int]
@@ -66,28 +67,49 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
+def gradients(
+    terms: np.ndarray, row: np.ndarray, labels: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Error of each row of a batch, and the slopes of its loss by weights and by factors.
+
+    ``row`` says to which row of the batch each of ``terms`` belongs.
+    """
+    size, (n, factors) = len(labels), v.shape
+    own = v[terms]
+    sums = np.stack([np.bincount(row, own[:, k], size) for k in range(factors)], axis=1)
+    pairs = 0.5 * ((sums**2).sum(axis=1) - np.bincount(row, (own**2).sum(axis=1), size))
+    odds = bias + np.bincount(row, w[terms], size) + pairs
+    error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels
+    slope = error[row, None] * (sums[row] - own)
+    by_factors = np.stack([np.bincount(terms, slope[:, k], n) for k in range(factors)], axis=1)
+    return error, np.bincount(terms, error[row], n), by_factors
+
+
 def fitted(
     rows: list[np.ndarray],
     labels: np.ndarray,
     factors: int = 4,
-    epochs: int = 12,
+    epochs: int = 20,
     batch: int = 256,
     rate: float = 1.0,
+    factor_rate: float = 0.05,
     sparsity: float | None = None,
+    shrinkage: float = 1.5,
     decay: float = 1e-3,
     least_rows: int = 5,
     seed: int = 0,
 ) -> FactorizationMachine:
     """Fits by proximal stochastic gradient steps with a rate per term.
 
-    ``sparsity`` is the evidence, in summed gradients, that a term needs for a weight. By
-    default it grows with the rows, and for few rows with the noise of their sums.
-    Terms of fewer than ``least_rows`` rows have no weight.
+    ``sparsity`` is the evidence, in summed gradients, that a term needs for a weight; by
+    default it follows the noise of such sums. ``shrinkage`` is how much shorter the
+    factors of a term get in an epoch, in lengths that they start with: those to which no
+    pair speaks end at zero. Terms of fewer than ``least_rows`` rows have neither.
     """
     share = float(labels.mean()) if len(labels) else 0.5
     bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if sparsity is None:
-        sparsity = 0.01 * len(labels) + 0.6 * len(labels) ** 0.5
+        sparsity = 0.6 * len(labels) ** 0.5
     empty = FactorizationMachine(bias, {}, np.zeros(0), np.zeros((0, factors)))
     if share in (0.0, 1.0) or not len(labels):
         return empty
@@ -105,45 +127,42 @@ def fitted(
     random = np.random.default_rng(seed)
     n = len(places)
     w, summed, squares = np.zeros(n), np.zeros(n), np.full(n, 1e-8)
-    v, v_squares = random.normal(0, 0.05, (n, factors)), np.ones((n, factors))
+    # Pairs of a whole row start with little to say, however many terms it has.
+    spread = 0.3 / (len(flat) / len(rows)) ** 0.5
+    v, v_squares = random.normal(0, spread, (n, factors)), np.ones((n, factors))
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
-            chosen = order[at : at + batch]
-            span = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])
-            terms = flat[span]
-            has_say = w[terms] != 0
-            local = np.searchsorted(np.sort(chosen), owner[span])
-            chosen = np.sort(chosen)
-            size = len(chosen)
-            # Only terms of some weight take part in pairs.
-            paired, of = terms[has_say], local[has_say]
-            sums = np.zeros((size, factors))
-            np.add.at(sums, of, v[paired])
-            own = np.bincount(of, (v[paired] ** 2).sum(axis=1), size)
-            odds = bias + np.bincount(local, w[terms], size) + 0.5 * ((sums**2).sum(axis=1) - own)
-            error = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[chosen]
+            chosen = np.sort(order[at : at + batch])
+            lengths = starts[chosen + 1] - starts[chosen]
+            local = np.repeat(np.arange(len(chosen)), lengths)
+            span = np.arange(len(local)) + (starts[chosen] - np.cumsum(lengths) + lengths)[local]
+            error, step, slope = gradients(flat[span], local, labels[chosen], bias, w, v)
             bias -= rate * error.mean()
             # Weights: gradients are summed, and what stays below the sparsity is zero.
-            step = np.bincount(terms, error[local], n)
             now = np.sqrt(squares + step**2)
             summed += step - (now - np.sqrt(squares)) / rate * w
             squares += step**2
             w = np.where(
                 np.abs(summed) > sparsity, (np.sign(summed) * sparsity - summed) / ((1 + now) / rate + decay), 0.0
             )
-            if len(paired):
-                slope = error[of, None] * (sums[of] - v[paired]) + decay * v[paired]
-                np.add.at(v_squares, paired, slope**2)
-                np.add.at(v, paired, -0.05 * slope / np.sqrt(v_squares[paired]))
-    say = np.flatnonzero(w)
+            # Factors: a step, then all of a term get shorter together, down to zero.
+            v_squares += slope**2
+            v -= factor_rate * slope / np.sqrt(v_squares)
+            shorter = shrinkage * spread * len(chosen) / len(rows)
+            length = np.sqrt((v**2).sum(axis=1))
+            v *= np.maximum(0, 1 - shorter / np.maximum(length, 1e-12))[:, None]
+    say = np.flatnonzero((w != 0) | v.any(axis=1))
     return FactorizationMachine(bias, {int(places[i]): k for k, i in enumerate(say)}, w[say], v[say])
 
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, learn: Column, id_column: str, text_column: str, label_column: str
 ) -> tuple[list[np.ndarray], np.ndarray]:
-    """Terms and labels of at most ``TRAINING_ROWS`` rows for which ``learn`` holds."""
+    """Terms and labels of at most ``TRAINING_ROWS`` rows for which ``learn`` holds.
+
+    A row has at most 2**20 terms of four bytes, so 4 MB; ordinary texts have a few hundred.
+    """
     chosen = (
         labels.where(learn & F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
         .groupBy(F.col(id_column).alias("chosen"))

@@ -13,7 +13,9 @@ LABELS = "doc_id long, quality int, toxic int"
 def test_held_out_accuracy(spark):
     directory = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{directory}/labels.parquet")
-    rows = queries.op9_toxicity(spark, directory).join(labels, "doc_id").where("held_out").collect()
+    langs = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "lang")
+    scored = queries.op9_toxicity(spark, directory)
+    rows = scored.join(labels, "doc_id").join(langs, "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
     toxic = [r for r in rows if r.toxic]
@@ -21,22 +23,69 @@ def test_held_out_accuracy(spark):
     assert len(toxic) > 50
     assert sum(r.predicted for r in toxic) / len(toxic) > 0.75
     assert sum(r.predicted for r in clean) / len(clean) < 0.01
+    for lang in ("en", "fr", "de"):
+        of = [r.predicted for r in toxic if r.lang == lang]
+        assert len(of) < 15 or np.mean(of) >= 0.6
     above = np.mean([[a.score > b.score for b in clean[::5]] for a in toxic])
     assert above > 0.93
 
 
 def test_pairs_say_what_terms_alone_do_not():
-    """An insult or a group alone is harmless; both together are toxic, as is neither."""
+    """An insult or a group alone is harmless; both together are toxic, as is neither. Defaults of the query."""
     r = np.random.default_rng(1)
     insult, group, other = 1, 2, np.arange(10, 30)
     rows, labels = [], []
-    for _ in range(4000):
+    for _ in range(8000):
         a, b = r.integers(0, 2, 2)
         rows.append(np.array(sorted({insult + 100 * (1 - a), group + 100 * (1 - b), *r.choice(other, 5)})))
         labels.append(float(a == b))
-    machine = toxicity.fitted(rows, np.array(labels), epochs=30, sparsity=0.5, rate=0.3)
+    machine = toxicity.fitted(rows, np.array(labels))
     scores = np.array([machine.score(list(x)) for x in rows])
     assert ((scores >= 0.5) == np.array(labels)).mean() > 0.97
+    assert {1, 2, 101, 102} <= set(machine.places)
+
+
+def test_a_rare_pair_in_long_texts(spark):
+    """Both terms together are toxic; each alone, as common in clean texts, is not."""
+    r = np.random.default_rng(2)
+    texts = []
+    for i in range(3000):
+        a, b = map(int, r.random(2) < 0.25)
+        words = [f"w{x}" for x in r.choice(2000, 100)] + ["fool"] * a + ["tribe"] * b
+        r.shuffle(words)
+        texts.append((i, " ".join(words), int(a and b)))
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int").repartition(4)
+    scored = toxicity.toxicity(df.drop("toxic"), df.drop("text"), F.col("doc_id") % 5 != 0).collect()
+    held_out = [(r.score >= 0.5) == texts[r.doc_id][2] for r in scored if r.doc_id % 5 == 0]
+    assert len(held_out) == 600 and np.mean(held_out) > 0.98
+
+
+def test_gradients_against_every_pair():
+    """Slopes by small differences of the loss, with every pair of terms written out."""
+    r = np.random.default_rng(3)
+    rows = [[0, 2, 3], [1], [], [0, 1, 2, 3, 4], [2, 4]]
+    labels, bias, w, v = np.array([1.0, 0, 1, 0, 1]), -0.3, r.normal(size=6), r.normal(size=(6, 3))
+
+    def odds(row, w, v):
+        pairs = sum(v[i] @ v[j] for k, i in enumerate(row) for j in row[k + 1 :])
+        return bias + sum(w[i] for i in row) + pairs
+
+    def loss(w, v):
+        return sum(np.logaddexp(0, -odds(x, w, v) if y else odds(x, w, v)) for x, y in zip(rows, labels))
+
+    terms, local = np.concatenate(rows).astype(int), np.repeat(np.arange(5), [len(x) for x in rows])
+    error, by_weight, by_factor = toxicity.gradients(terms, local, labels, bias, w, v)
+    assert error == pytest.approx([1 / (1 + np.exp(-odds(x, w, v))) - y for x, y in zip(rows, labels)])
+    for at in np.ndindex(6):
+        up = np.zeros(6)
+        up[at] = 1e-5
+        assert by_weight[at] == pytest.approx((loss(w + up, v) - loss(w - up, v)) / 2e-5, abs=1e-7)
+    for at in np.ndindex(6, 3):
+        up = np.zeros((6, 3))
+        up[at] = 1e-5
+        assert by_factor[at] == pytest.approx((loss(w, v + up) - loss(w, v - up)) / 2e-5, abs=1e-7)
+    machine = toxicity.FactorizationMachine(bias, {i: i for i in range(6)}, w, v)
+    assert [machine.score(x) for x in rows] == pytest.approx(list(error + labels))
 
 
 def test_score_is_bias_weights_and_pairs():
