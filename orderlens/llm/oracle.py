@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from orderlens.llm.license_scan import TEMPLATES
+from orderlens.llm.license_scan import (
+    TEMPLATES,
+    THRESHOLD,
+    anchor_places,
+    every_template,
+    template_bigrams,
+    template_numbers,
+    template_words,
+)
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -69,41 +77,90 @@ FROM mixed
 
 
 
+_EVERY = every_template(TEMPLATES)
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+
+
 _TEMPLATES = ", ".join(
-    "({}, '{}')".format(f"'{name}'", text.replace("'", "''")) for name, texts in TEMPLATES.items() for text in texts
+    f"({at}, '{name}', {_list(template_bigrams(text))}, {_list(template_numbers(text))})"
+    for at, (name, text) in enumerate(_EVERY)
+)
+_PLACES = ", ".join(
+    f"({at}, '{bigram}', {place}, {len(template_words(text))})"
+    for at, (_, text) in enumerate(_EVERY)
+    for bigram, place in anchor_places(text, THRESHOLD)
 )
 
+# Neither documents nor templates are left out by anchors or sizes.
 LICENSE_SCAN = rf"""
-WITH cut AS (
-    SELECT doc_id, unnest(
-        string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10))
-        || string_split_regex(
-            regexp_replace(text, '\n[\x20\x09\x0B-\x0D]*\n', chr(10) || chr(10), 'g'), '\n\n+')
-        || [text]) AS span
+WITH RECURSIVE marked AS (
+    SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(lower(
+        regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), chr(1) || chr(2), '  '),
+            '\n(?:[\x20\x09\x0B-\x0D]*\n)+', ' ' || chr(2) || ' ', 'g'),
+            '([.!?])[\x20\x09-\x0D]+', '\1 ' || chr(1) || ' ', 'g'),
+            '\n', ' ' || chr(1) || ' ', 'g')), '[^a-z0-9\x01\x02]+') IF x <> ''] AS t
     FROM documents
 ),
-words AS (
-    SELECT doc_id, span, string_split(span, ' ') AS w
-    FROM (SELECT DISTINCT doc_id, trim(regexp_replace(lower(span), '[^a-z0-9]+', ' ', 'g')) AS span FROM cut)
+texts AS (
+    SELECT r, doc_id, [x FOR x IN t IF x <> chr(1) AND x <> chr(2)] AS w FROM marked
+),
+marks AS (
+    SELECT r, x, i - row_number() OVER (PARTITION BY r ORDER BY i) AS cut
+    FROM (SELECT r, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM marked) WHERE x IN (chr(1), chr(2))
+),
+cuts AS (
+    SELECT r, 'line' AS kind, cut FROM marks
+    UNION SELECT r, 'paragraph', cut FROM marks WHERE x = chr(2)
+    UNION SELECT r, kind, edge FROM texts, (VALUES ('line'), ('paragraph'), ('whole')) AS k(kind),
+        (VALUES (true), (false)) AS e(first), LATERAL (SELECT CASE WHEN first THEN 0 ELSE len(w) END AS edge)
+),
+ranges AS (
+    SELECT DISTINCT r, cut AS first, following AS last
+    FROM (SELECT r, cut, lead(cut) OVER (PARTITION BY r, kind ORDER BY cut) AS following FROM cuts)
+    WHERE following > cut + 1
+),
+places(template, bigram, place, length) AS (VALUES {_PLACES}),
+templates(template, license, bigrams, numbers) AS (VALUES {_TEMPLATES}),
+bigrams AS (
+    SELECT r, x || ' ' || lead(x) OVER (PARTITION BY r ORDER BY i) AS bigram, i - 1 AS spot
+    FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts)
+),
+candidates AS (
+    SELECT r, first, last, template FROM ranges, templates
+    UNION
+    SELECT r, greatest(spot - place, 0), least(spot - place + length, len(w)), template
+    FROM bigrams JOIN places USING (bigram) JOIN texts USING (r)
 ),
 spans AS (
-    SELECT doc_id, span, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS bigrams FROM words
+    SELECT r, first, last, words, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS own
+    FROM (
+        SELECT r, first, last, w[first + 1 : last] AS words
+        FROM (SELECT DISTINCT r, first, last FROM candidates) JOIN texts USING (r)
+    )
 ),
-template_words AS (
-    SELECT license, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
-    FROM (VALUES {_TEMPLATES}) AS t(license, text)
+counted AS (
+    SELECT r, first, last, license, len(list_intersect(own, bigrams)) AS common, len(own) + len(bigrams) AS sizes
+    FROM candidates JOIN spans USING (r, first, last) JOIN templates USING (template)
+    WHERE list_has_all(words, numbers)
 ),
-templates AS (
-    SELECT license, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS bigrams FROM template_words
+hits AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY common DESC, dice DESC, license, first, last) AS k
+    FROM (SELECT r, first, last, license, common, common * 2.0::DOUBLE / sizes AS dice FROM counted)
+    WHERE dice >= 0.8
 ),
-likeness AS (
-    SELECT doc_id, span, license,
-        2.0::DOUBLE * len(list_intersect(s.bigrams, t.bigrams)) / (len(s.bigrams) + len(t.bigrams)) AS dice
-    FROM spans s, templates t
+sweep AS (
+    SELECT r, k, [{{'first': first, 'last': last, 'license': license, 'dice': dice}}] AS kept FROM hits WHERE k = 1
+    UNION ALL
+    SELECT r, h.k, CASE WHEN len([x FOR x IN kept IF x.first < h.last AND h.first < x.last]) > 0 THEN kept
+        ELSE list_append(kept, {{'first': h.first, 'last': h.last, 'license': h.license, 'dice': h.dice}}) END
+    FROM sweep s JOIN hits h USING (r) WHERE h.k = s.k + 1
 ),
 best AS (
-    SELECT doc_id, span, license, dice FROM likeness WHERE dice >= 0.8
-    QUALIFY row_number() OVER (PARTITION BY doc_id, span ORDER BY dice DESC, license DESC) = 1
+    SELECT doc_id, notice.license AS license, notice.dice AS dice
+    FROM (SELECT r, unnest(max_by(kept, k)) AS notice FROM sweep GROUP BY r) JOIN texts USING (r)
 )
 SELECT doc_id, license, count(*) AS n_spans, round(max(dice), 6) AS best_dice FROM best GROUP BY doc_id, license
 """

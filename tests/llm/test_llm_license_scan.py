@@ -1,3 +1,4 @@
+import random
 import re
 
 import cases
@@ -18,50 +19,101 @@ def bigrams(text):
     return set(zip(w, w[1:]))
 
 
-def spans(text):
-    cut = re.sub(r"([.!?])[\x20\x09-\x0D]+", r"\1\n", text).split("\n")
-    cut += re.split("\n\n+", re.sub("\n[\x20\x09\x0b-\x0d]*\n", "\n\n", text)) + [text]
-    return {" ".join(words(s)) for s in cut}
-
-
-def brute(text):
-    """Best template of each span of a text, over all pairs."""
-    found = {}
-    for span in spans(text or ""):
-        own = bigrams(span)
-        best = max(
-            (2 * len(own & bigrams(t)) / (len(own) + len(bigrams(t))), name)
-            for name, texts in TEMPLATES.items()
-            for t in texts
-        )
-        if best[0] >= THRESHOLD:
-            found[span] = best
-    return found
+EVERY = ls.every_template(TEMPLATES)
+
+
+def dice(window, template):
+    own, other = bigrams(" ".join(window)), bigrams(template)
+    return 2 * len(own & other) / (len(own) + len(other)) if own else 0.0
+
 
+def best_window(text, template):
+    """The highest coefficient of all windows of a template's length."""
+    w, length = words(text), len(words(template))
+    return max(dice(w[i : i + length], template) for i in range(max(1, len(w) - length + 1)))
 
-def check(df):
-    got = {}
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = {i: [] for i in range(len(texts))}
     for r in ls.license_spans(df).collect():
-        got.setdefault(r.doc_id, {})[r.span] = (r.dice, r.license)
-    expected = {r.doc_id: brute(r.text) for r in df.select("doc_id", "text").collect()}
-    assert got == {i: e for i, e in expected.items() if e}
-
-
-def test_against_all_pairs(spark):
-    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-
-
-def test_full_notices_and_variants(spark):
-    texts = [t for texts in TEMPLATES.values() for t in texts]
-    altered = [re.sub("license", "LICENCE", t, count=1, flags=re.I) for t in texts]
-    within = [f"{cases.PROSE}.\n\n{t.replace(' ', chr(10), 3)}\n\n{cases.PROSE}" for t in texts]
-    shorter = [" ".join(t.split()[: int(len(t.split()) * 0.9)]) for t in texts]
-    every = texts + altered + within + shorter
-    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
-    check(df)
-    named = {r.doc_id: r.license for r in ls.license_spans(df).collect() if r.dice == 1}
-    names = [name for name, ts in TEMPLATES.items() for _ in ts]
-    assert all(named[i] == name for i, name in enumerate(names))
+        found[r.doc_id].append((r.license, r.dice, r.span, r.start))
+    return found
+
+
+def test_every_template_is_found_in_prose_wrapped_at_each_word(spark):
+    """No sentence or paragraph begins or ends at the notice; nothing else is named."""
+    texts, expected = [], []
+    for name, template in EVERY:
+        parts = template.split()
+        for at in range(1, len(parts), 1 if len(parts) < 40 else 7):
+            notice = " ".join(parts[:at]) + "\n" + " ".join(parts[at:])
+            texts.append(f"{cases.PROSE} and so {notice.rstrip('.')} and then {cases.PROSE}")
+            expected.append((name, 1.0, " ".join(words(template)), len(words(cases.PROSE)) + 2))
+    found = scanned(spark, texts)
+    assert len(texts) > 400
+    assert {i: f for i, f in found.items() if f != [expected[i]]} == {}
+
+
+def test_edited_notices_keep_their_license(spark):
+    """A notice of which some words are replaced, left out or added is found if some window of its length is alike."""
+    r = random.Random(5)
+    texts, expected, alike = [], [], []
+    for name, template in EVERY:
+        for _ in range(6):
+            parts = words(template)
+            for _ in range(len(parts) // 12):
+                at = r.randrange(len(parts))
+                if not parts[at].isdigit():
+                    parts[at : at + 1] = r.choice(([], ["edited"], [parts[at], "edited"]))
+            texts.append(f"{cases.PROSE} and so {' '.join(parts)} and then {cases.PROSE}")
+            expected.append(name)
+            alike.append(best_window(texts[-1], template))
+    found = scanned(spark, texts)
+    sure = [i for i in range(len(texts)) if alike[i] >= 0.88]
+    assert len(sure) > 120
+    # An edit can take away the word that tells two licenses apart; then the other must be as much alike.
+    for i in sure:
+        names = {f[0] for f in found[i]}
+        assert names == {expected[i]} or len(names) == 1 and max(
+            best_window(texts[i], t) for name, t in EVERY if name in names
+        ) >= alike[i], (texts[i], found[i])
+
+
+def test_versions_and_families_are_told_apart(spark):
+    """Whole notices of one license never name another."""
+    for name, template in EVERY:
+        for other, text in EVERY:
+            if name != other and set(ls.template_numbers(text)) - set(words(template)):
+                assert best_window(template, text) < 1
+    found = scanned(spark, [t for _, t in EVERY] + [t.replace("version 3", "version 7") for _, t in EVERY])
+    assert [{f[0] for f in found[i]} for i in range(len(EVERY))] == [{name} for name, _ in EVERY]
+    for i, (_, template) in enumerate(EVERY):
+        if "version 3" in template:
+            assert found[len(EVERY) + i] == []
+
+
+def test_notices_one_after_the_other(spark):
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0.", TEMPLATES["ISC"][0], TEMPLATES["MIT"][2]]
+    found = scanned(spark, [" ".join(notices), "\n\n".join(notices), notices[0] * 3, (notices[0] + " ") * 200])
+    for i in (0, 1):
+        assert [f[0] for f in sorted(found[i], key=lambda f: f[3])] == ["MIT", "CC-BY-4.0", "ISC", "MIT"]
+    assert len(found[3]) == 200 and sorted(f[3] for f in found[3]) == list(range(0, 1000, 5))
+
+
+def test_sentences_and_paragraphs_of_other_lengths(spark):
+    """Notices that lack their last words are found as a sentence or paragraph within the size bounds."""
+    texts, expected = [], []
+    for name, template in EVERY:
+        shorter = " ".join(template.split()[: int(len(template.split()) * 0.9)]).rstrip(".")
+        if dice(words(shorter), template) >= THRESHOLD and set(ls.template_numbers(template)) <= set(words(shorter)):
+            texts.append(f"{cases.PROSE}.\n \n{shorter}\n\n{cases.PROSE}")
+            expected.append(name)
+    found = scanned(spark, texts)
+    # What is left of the longest is at least the shorter notice of the same family.
+    near = {"0BSD": "ISC", "ISC": "0BSD"}
+    wrong = {i: found[i] for i in found if {f[0] for f in found[i]} not in ({expected[i]}, {near.get(expected[i])})}
+    assert len(texts) > 15 and wrong == {}
 
 
 @settings(max_examples=300, deadline=None)
