@@ -31,6 +31,16 @@ def hash_long(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
 
 
+def unfolded(groups: DataFrame, count: str, number: str, chunk: int = 20_000) -> DataFrame:
+    """Each row ``count`` times, with ``number`` from 0. A row of very many is dealt to tasks in chunks."""
+    chunked = groups.withColumn(
+        number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk)))
+    )
+    spread = chunked.repartition(number, *[c for c in groups.columns if c != count])
+    last = F.least(F.col(count), (F.col(number) + 1) * chunk) - 1
+    return spread.withColumn(number, F.explode(F.sequence(F.col(number) * chunk, last)))
+
+
 def unused_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores in front while a column already has the name."""
     names = {name.lower() for name in taken}

@@ -10,8 +10,11 @@ size, so that the words taken come near the target as well as the copies.
 Sizes count words; a null or empty text has none. A null source is a source of its
 own, the last. Sums are exact: expectations are multiples of 2**-24. The same rows
 and seed give the same copies, whatever their order; rows that are equal in
-identifier, source and size are interchangeable. An empty table gives an empty
-result; sources without words get no copies.
+identifier, source and size are interchangeable, so they are counted, ranked together
+and unfolded again. The order has size classes first, then parts of about 20,000 rows
+that a hash of identifiers deals, then sizes; when a class outgrows a part its rows are
+dealt anew, so other documents may then be taken. An empty table gives an empty result;
+sources without words get no copies.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WORD, hash_long, id_text, unused_name, whole_text
+from orderlens.llm.common import WORD, hash_long, id_text, unfolded, unused_name, whole_text
 from orderlens.sources.catalog import stored
 
 WEIGHTS = (3, 1, 2)
@@ -82,47 +85,58 @@ def systematic_copies(
     """For each row: its size, source_size, target and number of ``copies``.
 
     If ``row_column`` names a key of the rows, it is given instead of the identifier,
-    and rows equal in identifier, source and size are ordered by their texts.
+    and rows are dealt and ordered by their texts as well.
     """
+    keys = ["source", "size", "size_class", "id"]
     tie = [F.md5(whole_text(text_column).cast("binary")).alias("tie"), F.col(row_column).alias("row")] if row_column else []
     ties = ["tie", "row"] if row_column else []
-    rows = stored(
-        docs.select(
-            *tie,
-            F.col(id_column).alias("id"),
-            F.col(source_column).alias("source"),
-            F.regexp_count(whole_text(text_column), F.lit(WORD)).cast("long").alias("size"),
-        ).withColumn("size_class", F.floor(F.ln(F.col("size") + 1) * _SIZE_STEPS).cast("int")),
-        "mix-sizes",
+    every = docs.select(
+        *tie,
+        F.col(id_column).alias("id"),
+        F.col(source_column).alias("source"),
+        F.regexp_count(whole_text(text_column), F.lit(WORD)).cast("long").alias("size"),
+    ).withColumn("size_class", F.floor(F.ln(F.col("size") + 1) * _SIZE_STEPS).cast("int"))
+    counted = (
+        every.withColumn("times", F.lit(1).cast("long"))
+        if row_column
+        else every.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
     )
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share)
+    rows = stored(counted, "mix-sizes")
+    goals = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size")), weights, share)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * (1 << _UNIT_BITS)))
     source_text = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     offset = F.pmod(hash_long(F.lit(str(seed)), F.lit("offset"), source_text), F.lit(1 << _UNIT_BITS))
     goals = goals.select("*", F.coalesce(rate, F.lit(0)).alias("rate"), offset.alias("offset"))
 
     # A class of a source with many rows is numbered in parts, dealt by identifier.
-    classes = rows.groupBy("source", "size_class").agg(
-        F.ceil(F.count(F.lit(1)) / _BLOCK_ROWS).alias("parts")
-    )
+    classes = rows.groupBy("source", "size_class").agg(F.ceil(F.sum("times") / _BLOCK_ROWS).alias("parts"))
     same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    dealt = (
-        rows.join(classes, same(rows, classes, "source", "size_class"))
-        .select(rows["*"], F.pmod(hash_long(F.lit(str(seed)), id_text("id")), "parts").alias("part"))
+    deal = hash_long(F.lit(str(seed)), id_text("id"), *(["tie"] if row_column else []))
+    dealt = rows.join(classes, same(rows, classes, "source", "size_class")).select(
+        rows["*"], F.pmod(deal, "parts").alias("part")
     )
     part = ["source", "size_class", "part"]
     earlier = Window.partitionBy("source").orderBy("size_class", "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         dealt.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("rows_in_part"))
+        .agg(F.sum("times").alias("rows_in_part"))
         .select(*part, F.coalesce(F.sum("rows_in_part").over(earlier), F.lit(0)).alias("rows_before"))
     )
     in_part = Window.partitionBy(*part).orderBy("size", F.col("id").asc_nulls_last(), *ties)
-    ranked = dealt.withColumn("in_part", F.row_number().over(in_part))
-    placed = ranked.join(counts, same(ranked, counts, *part)).select(ranked["*"], "rows_before")
+    before = in_part.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("in_part", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    placed = ranked.join(counts, same(ranked, counts, *part)).select(
+        ranked["*"], (F.col("rows_before") + F.col("in_part")).alias("rank_before")
+    )
+    if row_column:
+        each = placed.withColumn("rank", F.col("rank_before") + 1)
+    else:
+        many = unfolded(placed.where("times > 1"), "times", "equal")
+        one = placed.where("times = 1").withColumn("equal", F.lit(0).cast("long"))
+        each = one.unionByName(many).withColumn("rank", F.col("rank_before") + F.col("equal") + 1)
     crossed = lambda rank: F.shiftright(rank * F.col("rate") + F.col("offset"), _UNIT_BITS)
-    rank = F.col("rows_before") + F.col("in_part")
-    return placed.join(goals, same(placed, goals, "source")).select(
+    rank = F.col("rank")
+    return each.join(goals, same(each, goals, "source")).select(
         F.col("row").alias(row_column) if row_column else F.col("id").alias(id_column),
         "size",
         "source_size",

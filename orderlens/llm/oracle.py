@@ -11,6 +11,7 @@ from orderlens.llm.license_scan import (
     template_numbers,
     template_words,
 )
+from orderlens.llm.sharding import Shard, default_tree
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -166,5 +167,65 @@ SELECT doc_id, license, count(*) AS n_spans, round(max(dice), 6) AS best_dice FR
 """
 
 
+
+def _tree(tree: list[Shard]) -> str:
+    """Each child of each node: the node's path, the child's path and number, and the weight below it."""
+    below: dict[tuple[str, str, int], float] = {}
+    for s in tree:
+        region = f"/region {s.region}"
+        rack = f"{region}/rack {s.rack}"
+        for key in (("", region, s.region), (region, rack, s.rack), (rack, f"{rack}/shard {s.shard}", s.shard)):
+            below[key] = below.get(key, 0.0) + s.weight
+    return ", ".join(f"('{parent}', '{path}', {child}, {weight}::DOUBLE)" for (parent, path, child), weight in below.items())
+
+
+def _descended(name: str, tree: list[Shard]) -> str:
+    """(key, shard) by going down the tree level by level."""
+    draw = "-ln((CAST(('0x' || substr(md5(path || '|' || key), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) / weight"
+    levels = []
+    for level in range(3):
+        parent = "''" if level == 0 else "d.path"
+        source = "keys AS d" if level == 0 else f"{name}_{level - 1} AS d"
+        levels.append(
+            f"{name}_{level} AS (SELECT key, arg_min(t.path, (draw, child)) AS path, arg_min(child, (draw, child)) AS shard "
+            f"FROM (SELECT key, t.path, child, {draw.replace('path', 't.path')} AS draw "
+            f"FROM {source} JOIN {name}_tree t ON t.parent = {parent}) t GROUP BY key)"
+        )
+    return f"{name}_tree(parent, path, child, weight) AS (VALUES {_tree(tree)}),\n" + ",\n".join(levels)
+
+
+SHARDING = rf"""
+WITH crc_table AS (
+    SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+        ORDER BY i) AS steps
+    FROM (SELECT unnest(range(256)) AS i)
+),
+sized AS (
+    SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+        xor(list_reduce([4294967295] || [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')],
+            lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+    FROM documents, crc_table
+),
+keys AS (SELECT DISTINCT key FROM sized),
+{_descended("now", default_tree(16))},
+{_descended("grown", default_tree(17))},
+dealt AS (
+    SELECT s.*, now_2.shard AS shard, grown_2.shard AS grown_shard, CAST(('0x' || substr(md5(
+        key || '|' || text_crc32 || '|' || size), 1, 12)) AS BIGINT)
+        % greatest(64, (SELECT count(*) // 20000 FROM documents)) AS block
+    FROM sized s JOIN now_2 USING (key) JOIN grown_2 USING (key)
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law,
+    CAST(shard AS INTEGER) AS shard, CAST(grown_shard AS INTEGER) AS grown_shard,
+    row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM dealt
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op3_license_scan": LICENSE_SCAN, "op8_mixing": MIXING}
+    return {
+        "op2_exact_dedup": EXACT_DEDUP,
+        "op3_license_scan": LICENSE_SCAN,
+        "op8_mixing": MIXING,
+        "op10_sharding": SHARDING,
+    }

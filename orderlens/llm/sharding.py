@@ -11,8 +11,9 @@ which is how ``default_tree`` grows. Put into an old region, it also makes that
 whole region draw more documents, of which its neighbours get their share.
 
 Null identifiers are drawn as one identifier of their own; a null text has no
-bytes. Rows that are equal get different slots. Other columns are not looked at;
-an empty table gives an empty result.
+bytes. Rows that are equal get different slots: they are counted, the counts are
+numbered, and each is unfolded again, so that very many equal rows are no burden to one
+task. Other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import id_text, whole_text
+from orderlens.llm.common import hash_long, id_text, unfolded, whole_text
 from orderlens.sources.catalog import stored
 
 # Rows that one task numbers at a time, about.
@@ -52,8 +53,8 @@ def default_tree(shards: int, first: int = 16, racks: int = 2, per_rack: int = 2
 
 def _draw(id_column: str, name: str, weight: float) -> Column:
     """Smaller for heavier children: the first arrival at a rate of ``weight``."""
-    bits = F.xxhash64(F.lit(name), id_text(id_column)).bitwiseAND(F.lit((1 << 53) - 1))
-    return -F.ln((bits.cast("double") + 0.5) / float(1 << 53)) / F.lit(float(weight))
+    bits = hash_long(F.lit(name), id_text(id_column))
+    return -F.ln((bits.cast("double") + 0.5) / float(1 << 48)) / F.lit(float(weight))
 
 
 def _descend(shards: Sequence[Shard], id_column: str, levels: Sequence[str], name: str = "") -> Column:
@@ -82,28 +83,32 @@ def tree_shard(tree: Sequence[Shard], id_column: str = "doc_id") -> Column:
     return _descend(alive, id_column, ["region", "rack", "shard"]).cast("int")
 
 
-def numbered(rows: DataFrame, group: str, order: Sequence[str], tie: str) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """``rows`` with ``slot``: 0, 1, 2, ... within each value of ``group``.
 
-    Rows are numbered in blocks that the hash of ``order`` decides, so a group is
-    never in one task; the sizes of earlier blocks are added. ``rows`` must be
-    stored, as it is read twice.
+    Equal rows are numbered together. What is left is numbered in blocks that the hash
+    of ``order`` decides, so a group is never in one task; the sizes of earlier blocks
+    are added. ``order`` must decide the other columns.
     """
-    blocks = max(_LEAST_BLOCKS, rows.count() // _BLOCK_ROWS)
-    dealt = rows.withColumn(tie, F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    earlier = Window.partitionBy(group).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
+    counted = stored(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times")), "shard-rows")
+    total = counted.agg(F.sum("times")).first()[0] or 0
+    blocks = max(_LEAST_BLOCKS, total // _BLOCK_ROWS)
+    dealt = counted.withColumn("block", hash_long(*[id_text(c) for c in order]) % blocks)
+    earlier = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        dealt.groupBy(group, tie)
-        .agg(F.count(F.lit(1)).alias("rows_in_block"))
-        .select(group, tie, F.coalesce(F.sum("rows_in_block").over(earlier), F.lit(0)).alias("rows_before"))
+        dealt.groupBy(group, "block")
+        .agg(F.sum("times").alias("rows_in_block"))
+        .select(group, "block", F.coalesce(F.sum("rows_in_block").over(earlier), F.lit(0)).alias("rows_before"))
     )
-    in_block = Window.partitionBy(group, tie).orderBy(*order)
-    return (
-        dealt.withColumn("in_block", F.row_number().over(in_block))
-        .join(before, [group, tie])
-        .withColumn("slot", F.col("rows_before") + F.col("in_block") - 1)
-        .drop(tie, "in_block", "rows_before")
+    in_block = Window.partitionBy(group, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        dealt.withColumn("in_block", F.coalesce(F.sum("times").over(in_block), F.lit(0)))
+        .join(before, [group, "block"])
+        .withColumn("first_slot", F.col("rows_before") + F.col("in_block"))
     )
+    many = unfolded(placed.where("times > 1"), "times", "equal")
+    each = placed.where("times = 1").withColumn("equal", F.lit(0).cast("long")).unionByName(many)
+    return each.select(*rows.columns, (F.col("first_slot") + F.col("equal")).alias("slot"))
 
 
 def shards_by_key(
@@ -114,19 +119,16 @@ def shards_by_key(
     text_column: str = "text",
 ) -> DataFrame:
     """Shard and slot of each row, its size and text checksum, and its shard in the ``grown`` tree."""
-    rows = stored(
-        docs.select(
-            F.col(id_column).alias("id"),
-            (F.octet_length(whole_text(text_column)) + 1).cast("long").alias("size"),
-            F.crc32(whole_text(text_column).cast("binary")).alias("text_crc32"),
-        ).select(
-            "*",
-            tree_shard(tree, "id").alias("shard"),
-            (F.lit(None).cast("int") if grown is None else tree_shard(grown, "id")).alias("grown_shard"),
-        ),
-        "shards",
+    rows = docs.select(
+        F.col(id_column).alias("id"),
+        (F.octet_length(whole_text(text_column)) + 1).cast("long").alias("size"),
+        F.crc32(whole_text(text_column).cast("binary")).alias("text_crc32"),
+    ).select(
+        "*",
+        tree_shard(tree, "id").alias("shard"),
+        (F.lit(None).cast("int") if grown is None else tree_shard(grown, "id")).alias("grown_shard"),
     )
-    return numbered(rows, "shard", ["id", "text_crc32", "size"], "block").select(
+    return numbered(rows, "shard", ["id", "text_crc32", "size"]).select(
         F.col("id").alias(id_column),
         "size",
         "text_crc32",

@@ -78,6 +78,24 @@ def test_mixed_rows_keep_their_columns(spark):
     assert counts == {i: n for i, n in copies.items() if n}
 
 
+def test_very_many_rows_without_identifier(spark, monkeypatch):
+    """They are counted before they are ranked, and dealt by their texts where rows have keys of their own."""
+    df = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, null, id) AS doc_id", "concat('w ', id) AS text", "if(id % 3 = 1, 'x', 'y') AS source", "id AS row"
+    )
+    tables, stored = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda d, n: tables.append(stored(d, n)) or tables[-1])
+    rows = mixing.systematic_copies(df, 5).collect()
+    assert len(rows) == 30_000 and tables[0].count() == 20_001
+    monkeypatch.setattr(mixing, "_BLOCK_ROWS", 500)
+    keyed = mixing.systematic_copies(df, 5, row_column="row").collect()
+    assert len({r.row for r in keyed}) == 30_000
+    for found in (rows, keyed):
+        for size in {r.source_size for r in found}:
+            of = [r for r in found if r.source_size == size]
+            assert abs(sum(r.copies * r.size for r in of) - of[0].target) <= 4
+
+
 def test_empty(spark):
     assert mixing.systematic_copies(cases.empty_table(spark)).count() == 0
     assert mixing.mixed(cases.empty_table(spark)).count() == 0

@@ -1,10 +1,10 @@
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
 
 import cases
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from orderlens.llm import queries
@@ -82,6 +82,21 @@ def test_slots_have_no_gaps(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_very_many_equal_rows(spark, monkeypatch):
+    """A third of all rows has no identifier and one text: they are one row until they have their slots."""
+    from orderlens.llm import sharding
+
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, 't', 'u') AS text")
+    counted, stored = [], sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda d, n: counted.append(stored(d, n)) or counted[-1])
+    rows = shards_by_key(df, default_tree(16), default_tree(17)).collect()
+    assert len(rows) == 30_000 and counted[0].count() == 20_001
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_empty(spark):
     assert shards_by_key(cases.empty_table(spark), default_tree(16)).count() == 0
 
@@ -98,9 +113,9 @@ def drawn(tree, doc_id):
         draws = []
         for child in sorted({getattr(s, key) for s in below}):
             path = f"{name}/{key} {child}"
-            bits = xxhash.xxh64_intdigest(str(doc_id).encode(), xxhash.xxh64_intdigest(path.encode(), 42))
+            bits = int(hashlib.md5(f"{path}|{doc_id}".encode()).hexdigest()[:12], 16)
             weight = sum(s.weight for s in below if getattr(s, key) == child)
-            draws.append((-math.log(((bits & ((1 << 53) - 1)) + 0.5) / (1 << 53)) / weight, child, path))
+            draws.append((-math.log((bits + 0.5) / (1 << 48)) / weight, child, path))
         _, child, name = min(draws)
         below = [s for s in below if getattr(s, key) == child]
     return below[0].shard
