@@ -3,7 +3,8 @@
 Words are lower case runs of ASCII letters and digits. Compared are the sentences and
 paragraphs of a document, the whole of it, and windows: wherever a bigram that holds an
 anchor word of a template occurs, the run of as many words as the template has that puts
-the bigram in its place. So a notice is found in the middle of prose, wrapped anywhere.
+the bigram in its place, and a run of some more words, for notices with words added. So a
+notice is found in the middle of prose, wrapped anywhere.
 
 A span matches a template when twice their common bigrams over the sum of their sizes
 reaches the threshold, and the span holds every number of the template, so that a notice
@@ -211,6 +212,11 @@ def anchor_places(text: str, threshold: float) -> list[tuple[str, int]]:
     return [(f"{a} {b}", i) for i, (a, b) in enumerate(zip(words, words[1:])) if a in chosen or b in chosen]
 
 
+def window_lengths(words: int) -> tuple[int, int]:
+    """Words of the windows for a template: its own number, and room for one word more in eight."""
+    return words, words + words // 8 + 1
+
+
 def every_template(templates: Mapping[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     return [(name, text) for name, texts in sorted(templates.items()) for text in texts]
 
@@ -274,7 +280,8 @@ def license_spans(
             {"at": at, "name": name, "bigrams": bigrams, "low": low, "high": high, "numbers": template_numbers(text)}
         )
         for bigram, place in anchor_places(text, threshold):
-            places.setdefault(bigram, []).append({"at": at, "place": place, "length": length})
+            for wide in window_lengths(length):
+                places.setdefault(bigram, []).append({"at": at, "place": place, "length": wide})
     # Both are constants of the plan: the templates' words, not the documents'.
     by_bigram = F.from_json(F.lit(json.dumps(places)), "map<string,array<struct<at:int,place:int,length:int>>>")
     patterns = F.from_json(

@@ -10,6 +10,7 @@ from orderlens.llm.license_scan import (
     template_bigrams,
     template_numbers,
     template_words,
+    window_lengths,
 )
 from orderlens.llm.sharding import Shard, default_tree
 
@@ -90,9 +91,10 @@ _TEMPLATES = ", ".join(
     for at, (name, text) in enumerate(_EVERY)
 )
 _PLACES = ", ".join(
-    f"({at}, '{bigram}', {place}, {len(template_words(text))})"
+    f"({at}, '{bigram}', {place}, {length})"
     for at, (_, text) in enumerate(_EVERY)
     for bigram, place in anchor_places(text, THRESHOLD)
+    for length in window_lengths(len(template_words(text)))
 )
 
 # Neither documents nor templates are left out by anchors or sizes.
