@@ -5,8 +5,9 @@ from collections import Counter
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from orderlens.llm import ngram_join, queries
+from orderlens.llm import components, ngram_join, queries
 from orderlens.llm.components import connected_components
 from orderlens.llm.ngram_join import Forest
 
@@ -133,6 +134,23 @@ def test_components_of_paths_stars_and_random_graphs(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def test_components_of_nulls_loops_and_no_edges(spark):
+    edges = spark.createDataFrame([(1, None), (None, 2), (None, None), (3, 3), (7, 5), (5, 7)], "u long, v long")
+    assert [tuple(r) for r in connected_components(edges).collect()] == [(7, 5)]
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_star_is_dealt_to_many_join_keys(spark):
+    """A centre that has every edge is joined by parts, each a small share of its edges."""
+    edges = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    rows = components._with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    assert rows.count() == 40_000
+    assert rows.where("m <> if(u = 0, 1, 0)").count() == 0
+    part = F.pmod(F.xxhash64("v"), F.lit(components._PARTS))
+    assert rows.groupBy("u", part).count().agg(F.max("count")).first()[0] < 200
+    assert connected_components(edges).agg(F.count("*"), F.max("root")).first() == (20_000, 0)
+
+
 def test_one_row_stays_of_each_class_whatever_the_identifiers(spark):
     r = random.Random(8)
     fresh = lambda: [f"w{r.randrange(5000)}" for _ in range(120)]
