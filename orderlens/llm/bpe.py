@@ -8,6 +8,10 @@ stand next to each other exactly when merging their joined bytes gives these two
 tokens; the answers are remembered. The result is that of the merges, while each
 position is left for good at most once, so time is linear in the text.
 
+Where only the number of tokens is asked for, the new short pieces of many texts are
+merged together: they are rows of byte arrays, and each round does the next merge of
+every row.
+
 A null text is empty and has no tokens. Any text is allowed; strings of special
 tokens are ordinary text. Rows keep their identifiers, repeated ones too.
 """
@@ -16,7 +20,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -32,6 +37,14 @@ from orderlens.llm.common import whole_text
 _PIECES_KEPT = 200_000
 _PAIRS_KEPT = 400_000
 _LONGEST_PIECE_KEPT = 64
+_LENGTHS_KEPT = 500_000
+# Counting learns the new ones among this many pieces at a time.
+_BATCH_PIECES = 200_000
+# Pieces of up to so many bytes are merged together, with others whose length is less than a step away and
+# whose bytes are not more than these in all.
+_LONGEST_MERGED_TOGETHER = 64
+_ROW_STEP = 8
+_MERGED_BYTES = 500_000
 # An output batch ends at this many tokens.
 _BATCH_TOKENS = 200_000
 
@@ -52,6 +65,7 @@ class BytePairCoder:
         self._known: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._shorter: dict[int, int] = {}
+        self._lengths: dict[str, int] = {}
         self._automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             # A token that merging never makes of its own bytes can only be a whole piece.
@@ -131,9 +145,107 @@ class BytePairCoder:
             extend(known(piece) or self._piece(piece))
         return ids
 
+    @cached_property
+    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The rank of each byte, keys of the pairs that merge, sorted, their ranks, and a rank for none."""
+        ranks = self._ranks
+        none = max(ranks.values(), default=-1) + 1
+        pairs = {
+            ranks[token[:n]] * (none + 1) + ranks[token[n:]]: rank
+            for token, rank in ranks.items()
+            for n in range(1, len(token))
+            if token[:n] in ranks and token[n:] in ranks
+        }
+        pairs[(none + 1) ** 2] = none  # above every key
+        keys = np.array(sorted(pairs), np.int64)
+        singles = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        return singles, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), none
+
+    def _merged_lengths(self, pieces: list[bytes]) -> np.ndarray:
+        """How many tokens merging leaves of each piece: each round merges every row's first pair of lowest rank."""
+        singles, keys, key_ranks, none = self._merges
+
+        def pair_ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            pairs = left * (none + 1) + right
+            at = np.searchsorted(keys, pairs)
+            return np.where(keys[at] == pairs, key_ranks[at], none)
+
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(lengths.max())
+        data = np.array(pieces, f"S{width}").view(np.uint8).reshape(len(pieces), width)
+        # A part that merges with none stands at both ends.
+        parts = np.full((len(pieces), width + 2), none)
+        parts[:, 1:-1] = np.where(np.arange(width) < lengths[:, None], singles[data], none)
+        if parts.min() < 0:
+            raise KeyError("a byte of the text has no rank")
+        ranks = pair_ranks(parts[:, :-1], parts[:, 1:])
+        rows = np.arange(len(pieces))
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            going = best < none
+            rows, at, best, parts, ranks = rows[going], at[going], best[going], parts[going], ranks[going]
+            each = np.arange(len(rows))
+            lengths[rows] -= 1
+            parts[each, at] = best
+            stay = np.ones(parts.shape, bool)
+            stay[each, at + 1] = False
+            parts = parts[stay].reshape(len(rows), parts.shape[1] - 1)
+            ranks = ranks[stay[:, 1:]].reshape(len(rows), ranks.shape[1] - 1)
+            ranks[each, at - 1] = pair_ranks(parts[each, at - 1], best)
+            ranks[each, at] = pair_ranks(best, parts[each, at + 1])
+        return lengths
+
+    def _learn_lengths(self, pieces: Iterable[str]) -> list[str]:
+        """Remembers the number of tokens of each piece; returns those too long to be kept."""
+        lengths, long = self._lengths, []
+        alike: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            data = piece.encode("utf-8")
+            if data in self._ranks:
+                lengths[piece] = 1
+            elif len(data) <= _LONGEST_MERGED_TOGETHER:
+                alike.setdefault(len(data) // _ROW_STEP, []).append((piece, data))
+            else:
+                lengths[piece] = len(self._backtracked(data))
+            if len(piece) > _LONGEST_PIECE_KEPT:
+                long.append(piece)
+        for most, group in alike.items():
+            step = _MERGED_BYTES // ((most + 1) * _ROW_STEP)
+            for start in range(0, len(group), step):
+                names, rows = zip(*group[start : start + step])
+                lengths.update(zip(names, self._merged_lengths(rows).tolist()))
+        return long
+
+    def _add_lengths(self, counts: list[int], waiting: list[tuple[int, list[str]]]) -> None:
+        lengths = self._lengths
+        new = set().union(*[pieces for _, pieces in waiting]).difference(lengths)
+        long = self._learn_lengths(new)
+        for row, pieces in waiting:
+            counts[row] += sum(map(lengths.__getitem__, pieces))
+        for piece in long:
+            del lengths[piece]
+        # The oldest are forgotten; what is frequent is soon learnt again.
+        for piece in list(islice(lengths, max(len(lengths) - _LENGTHS_KEPT, 0))):
+            del lengths[piece]
+
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        """How many tokens each text has."""
+        counts, waiting, total = [], [], 0
+        for row, text in enumerate(texts):
+            counts.append(0)
+            pieces = self._pieces(text)
+            for start in range(0, len(pieces), _BATCH_PIECES):
+                waiting.append((row, pieces[start : start + _BATCH_PIECES]))
+                total += len(waiting[-1][1])
+                if total >= _BATCH_PIECES:
+                    self._add_lengths(counts, waiting)
+                    waiting, total = [], 0
+        self._add_lengths(counts, waiting)
+        return counts
+
     def count(self, text: str) -> int:
-        known = self._known.get
-        return sum(len(known(piece) or self._piece(piece)) for piece in self._pieces(text))
+        return self.counts([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
@@ -210,9 +322,9 @@ def token_counts(
     id_type = docs.schema[id_column].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count_text = coder(path, pattern).count
+        table = coder(path, pattern)
         for batch in batches:
-            counts = [count_text(text.as_py()) for text in batch.column(1)]
+            counts = table.counts(text.as_py() for text in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType())])

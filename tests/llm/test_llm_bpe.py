@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 
 import cases
 import hypothesis.strategies as st
@@ -50,6 +51,44 @@ def test_memory_of_pieces_is_bounded(monkeypatch, library):
     assert len(small._known) <= 3 and len(small._pairs) <= 3
 
 
+WORDS = [" " + "".join(p) for p in itertools.product(["th", "qu", "é", "x", "ing", "文"], repeat=4)]
+
+
+def test_counting_merges_short_pieces_together(monkeypatch, library):
+    """A new word takes no walk of its own, nor when words were forgotten."""
+
+    def walk(self, piece):
+        raise AssertionError(f"{piece} alone")
+
+    monkeypatch.setattr(bpe, "_LENGTHS_KEPT", 100)
+    monkeypatch.setattr(bpe, "_BATCH_PIECES", 300)
+    small = bpe.BytePairCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe.BytePairCoder, "_backtracked", walk)
+    texts = ["".join(WORDS[i::7]) + "\u0000!?" * i for i in range(7)] + ["", "".join(WORDS)]
+    assert small.counts(texts) == [len(library.encode_ordinary(t)) for t in texts]
+
+
+def test_memory_of_lengths_is_bounded(monkeypatch, library):
+    monkeypatch.setattr(bpe, "_LENGTHS_KEPT", 3)
+    monkeypatch.setattr(bpe, "_BATCH_PIECES", 5)
+    monkeypatch.setattr(bpe, "_MERGED_BYTES", 100)
+    small = bpe.BytePairCoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    # Two texts of many batches, pieces at both sides of the longest ones merged together.
+    texts = ["".join(WORDS[:40]), "x" * 63 + " " + "x" * 64 + "é" * 32 + " " + "é" * 33, "=" * 3000, "".join(WORDS[20:60])]
+    assert small.counts(texts * 2) == [len(library.encode_ordinary(t)) for t in texts * 2]
+    assert len(small._lengths) <= 3 and max(map(len, small._lengths)) <= 64
+
+
+def test_counting_with_a_vocabulary_of_few_bytes():
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 7, b"abab": 9, b"abc": 4, b"cabc": 5}
+    own = bpe.BytePairCoder(ranks, r"\S+")
+    library = tiktoken.Encoding("x", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    texts = ["".join(t) for n in range(1, 8) for t in itertools.product("abc", repeat=n)]
+    assert own.counts(texts) == [len(library.encode_ordinary(t)) for t in texts]
+    with pytest.raises(KeyError):
+        own.counts(["abd"])
+
+
 def test_tokens_that_merges_never_make():
     """``abc`` has a rank but no merge leads to it: it can be a whole piece, not a part of one."""
     ranks = {b"a": 0, b"b": 1, b"c": 2, b"d": 3, b"abc": 4}
